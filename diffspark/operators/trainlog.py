@@ -28,8 +28,14 @@ def _positions(log: DataFrame, keys, order, metric, blocks) -> DataFrame:
     """Blocks with ``position`` and the best earlier metric (NaN never counts)."""
     blocked = cut_blocks(log, keys, order, blocks)
     value = F.when(~F.isnan(metric), F.col(metric))
-    placed = running(blocked, keys, order, {"position": ("sum", F.lit(1).cast("long"))})
-    return running(placed, keys, order, {"_best_before": ("max", value)}, inclusive=False)
+    placed = running(
+        blocked,
+        keys,
+        order,
+        {"_earlier": ("sum", F.lit(1).cast("long")), "_best_before": ("max", value)},
+        inclusive=False,
+    )
+    return placed.withColumn("position", F.col("_earlier") + 1).drop("_earlier")
 
 
 def _accepted_with_delta(records: DataFrame, keys: Sequence[str], metric: str, min_delta: float) -> DataFrame:
@@ -77,6 +83,27 @@ def _accepted_with_delta(records: DataFrame, keys: Sequence[str], metric: str, m
     return found
 
 
+def _tracked(log, keys, order, metric, min_delta, blocks) -> DataFrame:
+    """Epochs with ``position``, ``improved``, ``no_improve`` and the last improvement ``_last``."""
+    rows = _positions(log, keys, order, metric, blocks)
+    before = F.greatest(F.coalesce("_best_before", F.lit(START)), F.lit(START))
+    beats = ~F.isnan(metric) & F.col(metric).isNotNull() & (F.col(metric) > before)
+    if min_delta == 0.0:
+        marked = rows.withColumn("improved", beats)
+    else:
+        counted = running(rows, keys, order, {"_record": ("sum", beats.cast("long"))})
+        accepted = _accepted_with_delta(counted.where(beats), keys, metric, min_delta)
+        marked = (
+            rows.join(accepted.withColumn("_hit", F.lit(True)), [*keys, "position"], "left")
+            .withColumn("improved", F.coalesce("_hit", F.lit(False)))
+            .drop("_hit")
+        )
+    improvement = F.when(F.col("improved"), F.struct("position", F.col(metric).alias("value")))
+    tracked = running(marked, keys, order, {"_last": ("max", improvement)})
+    waited = F.col("position") - F.coalesce("_last.position", F.lit(0))
+    return tracked.withColumn("no_improve", waited).drop("_best_before")
+
+
 def mark_improvements(
     log: DataFrame,
     keys: Sequence[str],
@@ -92,27 +119,11 @@ def mark_improvements(
     Training stops at the first epoch that is the ``patience``-th in a row without improvement;
     later rows have ``kept`` false.
     """
-    rows = _positions(log, keys, order, metric, blocks)
-    before = F.greatest(F.coalesce("_best_before", F.lit(START)), F.lit(START))
-    real = ~F.isnan(metric) & F.col(metric).isNotNull()
-    if min_delta == 0.0:
-        marked = rows.withColumn("improved", real & (F.col(metric) > before))
-    else:
-        is_record = (real & (F.col(metric) > before)).cast("long")
-        counted = running(rows, keys, order, {"_record": ("sum", is_record)}).withColumn("_is", is_record)
-        records = counted.where(F.col("_is") == 1)
-        accepted = _accepted_with_delta(records, keys, metric, min_delta).withColumn("_hit", F.lit(True))
-        marked = (
-            rows.join(accepted, [*keys, "position"], "left")
-            .withColumn("improved", F.coalesce("_hit", F.lit(False)))
-            .drop("_hit")
-        )
-    last_seen = F.when(F.col("improved"), F.col("position"))
-    tracked = running(marked, keys, order, {"_last": ("max", last_seen)})
-    waited = tracked.withColumn("no_improve", F.col("position") - F.coalesce("_last", F.lit(0)))
-    stops = F.when(F.col("no_improve") >= patience, 1).otherwise(0)
-    flagged = running(waited, keys, order, {"_stops": ("sum", stops)}, inclusive=False)
-    return flagged.withColumn("kept", F.col("_stops") == 0).drop(BLOCK, "_best_before", "_last", "_stops")
+    tracked = _tracked(log, keys, order, metric, min_delta, blocks)
+    stop = F.when(F.col("no_improve") >= patience, F.col("position"))
+    marked = running(tracked, keys, order, {}, totals={"_stop": ("min", stop)})
+    kept = F.col("_stop").isNull() | (F.col("position") <= F.col("_stop"))
+    return marked.withColumn("kept", kept).drop(BLOCK, "_last", "_stop")
 
 
 def early_stopping(
@@ -124,12 +135,21 @@ def early_stopping(
     min_delta: float = 0.0,
     blocks: int | None = None,
 ) -> DataFrame:
-    """Per run: last epoch run, whether it stopped early, and the best epoch and value."""
-    marked = mark_improvements(log, keys, order, metric, patience, min_delta, blocks)
-    kept = marked.where("kept")
-    return kept.groupBy(*keys).agg(
-        F.max("position").alias("last_epoch"),
-        (F.max("no_improve") >= patience).alias("stopped_early"),
-        F.coalesce(F.max(F.when(F.col("improved"), F.col("position"))), F.lit(0)).alias("best_epoch"),
-        F.coalesce(F.max(F.when(F.col("improved"), F.col(metric))), F.lit(START)).alias("best_value"),
+    """Per run: last epoch run, whether it stopped early, and the best epoch and value.
+
+    The last improvement as seen from the stopping epoch is the best epoch, so one aggregate after
+    the ranking passes is enough.
+    """
+    tracked = _tracked(log, keys, order, metric, min_delta, blocks)
+    row = F.struct("position", "_last")
+    ends = tracked.groupBy(*keys).agg(
+        F.min(F.when(F.col("no_improve") >= patience, row)).alias("_stop"), F.max(row).alias("_final")
+    )
+    end = F.coalesce("_stop", "_final")
+    return ends.select(
+        *keys,
+        end["position"].alias("last_epoch"),
+        F.col("_stop").isNotNull().alias("stopped_early"),
+        F.coalesce(end["_last"]["position"], F.lit(0)).alias("best_epoch"),
+        F.coalesce(end["_last"]["value"], F.lit(START)).alias("best_value"),
     )
