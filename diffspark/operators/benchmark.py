@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.constants import CROSS_DETECTOR, DETECTORS, IN_DOMAIN_TEST
-from diffspark.operators.metrics import NAN, evaluate
+from diffspark.operators.metrics import evaluate, nan
 from diffspark.operators.ordered import require
 
 
@@ -31,7 +31,7 @@ def fold_results(scored: DataFrame, blocks: int | None = None) -> DataFrame:
     sides = (("cross", CROSS_DETECTOR), ("in_domain", IN_DOMAIN_TEST))
     return metrics.groupBy("fold_id", "test_detector").agg(
         *[
-            F.coalesce(F.max(F.when(F.col("bucket") == b, F.col(m))), NAN).alias(f"{side}_{m}")
+            F.coalesce(F.max(F.when(F.col("bucket") == b, F.col(m))), nan()).alias(f"{side}_{m}")
             for side, b in sides
             for m in names
         ]
@@ -44,7 +44,7 @@ def summarise_folds(results: DataFrame, by: Sequence[str] = (), ap: str = "ap")
     return checked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("folds"),
         F.avg(ap).alias("mean_ap"),
-        F.coalesce(F.stddev_samp(ap), NAN).alias("std_ap"),
+        F.coalesce(F.stddev_samp(ap), nan()).alias("std_ap"),
     )
 
 
@@ -136,7 +136,7 @@ def results_table(
     rule = "-" * len(header)
     folds = _fold_dimension(spark, detectors).join(results.select("fold_id", "test_detector", "ap"), "fold_id", "left")
     folds = folds.select(
-        "fold_id", F.coalesce("test_detector", "detector").alias("test_detector"), F.coalesce("ap", NAN).alias("ap")
+        "fold_id", F.coalesce("test_detector", "detector").alias("test_detector"), F.coalesce("ap", nan()).alias("ap")
     )
     line = F.concat(
         _left(F.concat(F.lit("fold_"), F.col("fold_id").cast("string")), 8),

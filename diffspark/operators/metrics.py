@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from diffspark.operators.ordered import BLOCK, cut_blocks, running
 
-NAN = F.lit(float("nan"))
+def nan() -> Column:
+    return F.lit(float("nan"))
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:
@@ -29,12 +30,12 @@ def _ratio(numerator: Column, denominator: Column) -> Column:
 
 def _rank_values(count: Column, positives: Column, score: str) -> tuple[dict, dict]:
     values = {"tp": ("sum", positives), "seen": ("sum", count)}
-    nan = F.isnan(score)
+    is_nan = F.isnan(score)
     totals = {
         "n_pos": ("sum", positives),
         "n_all": ("sum", count),
-        "nan_pos": ("sum", F.when(nan, positives).otherwise(0)),
-        "nan_all": ("sum", F.when(nan, count).otherwise(0)),
+        "nan_pos": ("sum", F.when(is_nan, positives).otherwise(0)),
+        "nan_all": ("sum", F.when(is_nan, count).otherwise(0)),
     }
     return values, totals
 
@@ -85,14 +86,14 @@ def _cells_of_rows(ranked: DataFrame, keys: Sequence[str], y: str, score: str) -
 
 def _summarise(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """One row per key from ranked score cells, with the counts predicted at the chosen threshold."""
-    nan = F.isnan(score)
+    is_nan = F.isnan(score)
     hits = F.col("tp") - F.col("nan_pos")
     predicted = F.col("seen") - F.col("nan_all")
     precision = _ratio(hits, predicted)
     recall = _ratio(hits, F.col("n_pos"))
     f1 = 2 * precision * recall / (precision + recall)
     cell_neg = (F.col("cell_all") - F.col("cell_pos")).cast("double")
-    above = F.when(nan, F.col("n_pos")).otherwise(hits).cast("double")
+    above = F.when(is_nan, F.col("n_pos")).otherwise(hits).cast("double")
     candidate = F.struct(
         f1.alias("f1"), (-F.col(score)).alias("low"), hits.alias("tp"), predicted.alias("predicted")
     )
@@ -102,12 +103,12 @@ def _summarise(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
         F.max("nan_all").alias("_nan"),
         F.sum("ap_part").alias("_ap"),
         F.sum(cell_neg * above).alias("_auc"),
-        F.max(F.when(~nan & (hits > 0), candidate)).alias("_best"),
-        F.min(F.when(~nan, F.col(score))).alias("_lowest"),
+        F.max(F.when(~is_nan & (hits > 0), candidate)).alias("_best"),
+        F.min(F.when(~is_nan, F.col(score))).alias("_lowest"),
     )
     pos, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
     none = F.col("n_pos") == 0
-    threshold = F.coalesce(-F.col("_best.low") + F.lit(0.0), F.col("_lowest"), NAN)
+    threshold = F.coalesce(-F.col("_best.low") + F.lit(0.0), F.col("_lowest"), nan())
     return raw.select(
         *keys,
         "n",
@@ -115,7 +116,7 @@ def _summarise(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
         F.when(none, 0.0).otherwise(F.coalesce("_ap", F.lit(0.0)) / F.nullif(pos, F.lit(0.0))).alias("ap"),
         F.when(none | (neg == 0), 0.5).otherwise(F.col("_auc") / F.nullif(pos * neg, F.lit(0.0))).alias("auc_roc"),
         F.when(none, 0.0).otherwise(F.coalesce("_best.f1", F.lit(0.0))).alias("f1"),
-        F.when(none, NAN).otherwise(threshold).alias("threshold"),
+        F.when(none, nan()).otherwise(threshold).alias("threshold"),
         F.coalesce("_best.tp", F.lit(0)).alias("tp"),
         F.when(none, 0).otherwise(F.coalesce("_best.predicted", F.col("n") - F.col("_nan"))).alias("predicted"),
     )
@@ -149,7 +150,7 @@ def evaluate(
     return filled.select(
         *keys,
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_pos")],
-        *[F.when(F.col("n").isNull(), NAN).otherwise(F.col(c)).alias(c) for c in metrics],
+        *[F.when(F.col("n").isNull(), nan()).otherwise(F.col(c)).alias(c) for c in metrics],
     )
 
 
