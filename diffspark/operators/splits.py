@@ -63,20 +63,20 @@ def require_fold_detectors(session_table: DataFrame, detectors=DETECTORS, fold_i
         raise ValueError(f"no sessions for held-out detectors: {sorted(missing)}")
 
 
-def _seats_before(target: Column, level: Column, n: Column, ties_count: Column) -> Column:
+def _seats_before(target: Column, level: Column, n: Column, ties_count: bool) -> Column:
     """Seats ``j = 0..n-1`` of a bucket whose priority ``target - j`` beats ``level``.
 
-    The floor estimate can be off by one either way in floating point, so the four seats around it
-    are compared exactly.
+    The floor estimate can be off by one either way in floating point, so the seats around it are
+    compared exactly.
     """
     guess = F.floor(target - level)
     sure = F.least(F.greatest(guess - 1, F.lit(0)), n)
-    for shift in (-1, 0, 1, 2):
-        j = guess + shift
+
+    def beats(j: Column) -> Column:
         priority = target - j.cast("double")
-        beats = (priority > level) | (ties_count & (priority == level))
-        sure = sure + F.when((j >= 0) & (j < n) & beats, 1).otherwise(0)
-    return sure
+        return (j >= 0) & (j < n) & ((priority >= level) if ties_count else (priority > level))
+
+    return sure + F.size(F.filter(F.sequence(guess - 1, guess + 2), beats))
 
 
 def session_split(
@@ -113,21 +113,29 @@ def session_split(
     n = F.col("_n")
     targets = [F.lit(float(r)) * n.cast("double") for r in ratios]
     seat = F.col("_place") - 1
-    seats = []
+    who = F.struct(*session_table.columns)
+    fields = F.struct(F.col("_place"), F.lit(None).cast("string").alias("bucket"), who.alias("_who"))
+    nobody = F.when(F.lit(False), who)
+    entries = [fields]
     for i, name in enumerate(BUCKETS):
         level = targets[i] - seat.cast("double")
         place = seat + 1
         for k in range(len(BUCKETS)):
             if k != i:
-                place = place + _seats_before(targets[k], level, n, F.lit(k < i))
-        seats.append(F.struct(place.cast("long").alias("_place"), F.lit(name).alias("bucket")))
-    offered = pool.select(*keys, n.alias("_seats"), F.inline(F.array(*seats)))
-    taken = offered.where(F.col("_place") <= F.col("_seats")).drop("_seats")
-    assigned = pool.join(taken.hint("merge"), [*keys, "_place"]).drop("_place", "_n")
+                place = place + _seats_before(targets[k], level, n, k < i)
+        entries.append(F.struct(place.cast("long").alias("_place"), F.lit(name).alias("bucket"), nobody.alias("_who")))
+    # A session and the seat of its place meet in one group of two rows: every session offers one
+    # seat per bucket, and of all seats exactly the first n are filled.
+    offers = pool.select(*keys, "test_detector", n.alias("_seats"), F.inline(F.array(*entries)))
+    assigned = (
+        offers.where(F.col("_place") <= F.col("_seats"))
+        .groupBy(*keys, "test_detector", "_place")
+        .agg(F.max("bucket").alias("bucket"), F.max("_who").alias("_who"))
+        .select("fold_id", "test_detector", "_who.*", "bucket")
+    )
 
     outside = table.where(held).withColumn("bucket", F.lit(CROSS_DETECTOR))
-    both = assigned.unionByName(outside)
-    return both.withColumn("variant", F.lit(variant).cast("string"))
+    return assigned.unionByName(outside).withColumn("variant", F.lit(variant).cast("string"))
 
 
 def bucket_shares(split: DataFrame) -> DataFrame:

@@ -1,2 +1,109 @@
+"""Epoch logs, early stopping and per-fold fitting."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from diffspark.operators import splits, trainlog
+from diffspark.plans import fit
+from registry.common import q6, r6, rounded, table
+
 QUERIES = {}
 ORACLES = {}
+
+
+def query(sql=None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+ORDER = ("ts", "event_id")
+
+
+def _log(spark, d):
+    """Events as epoch logs: one run per user in time order, the value as validation F1."""
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("run"), "ts", "event_id", (F.col("value") / 500.0).alias("val_f1")
+    )
+
+
+_EPOCHS = """e AS (
+  SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position,
+    value / CAST(500 AS DOUBLE) AS v FROM events
+)"""
+
+# One run after another would be a loop; SQL walks all runs together, one epoch per step.
+_WALK = """WITH RECURSIVE {epochs}, walk AS (
+  SELECT run, position, v AS best, position AS best_at, CAST(0 AS BIGINT) AS waited FROM e WHERE position = 1
+  UNION ALL
+  SELECT e.run, e.position, CASE WHEN e.v > walk.best + {delta} THEN e.v ELSE walk.best END,
+    CASE WHEN e.v > walk.best + {delta} THEN e.position ELSE walk.best_at END,
+    CASE WHEN e.v > walk.best + {delta} THEN 0 ELSE walk.waited + 1 END
+  FROM walk JOIN e ON e.run = walk.run AND e.position = walk.position + 1 WHERE walk.waited < {patience}
+), ends AS (SELECT run, max(position) AS position FROM walk GROUP BY run)
+SELECT run, position AS last_epoch, waited >= {patience} AS stopped_early, best_at AS best_epoch, {best} AS best_value
+FROM walk JOIN ends USING (run, position)"""
+
+
+def _walk(delta, patience):
+    return _WALK.format(epochs=_EPOCHS, delta=f"CAST('{delta}' AS DOUBLE)", patience=patience, best=q6("best"))
+
+
+def _stop(spark, d, patience, delta=0.0):
+    done = trainlog.early_stopping(_log(spark, d), ["run"], [F.col(c) for c in ORDER], "val_f1", patience, delta)
+    return rounded(done, "best_value")
+
+
+@query(_walk(0, 5))
+def early_stop(spark, d):
+    return _stop(spark, d, 5)
+
+
+@query(_walk(0, 1000))
+def best_epoch(spark, d):
+    return _stop(spark, d, 1000)
+
+
+@query(_walk("0.02", 8))
+def early_stop_min_delta(spark, d):
+    return _stop(spark, d, 8, 0.02)
+
+
+@query(
+    f"""WITH {_EPOCHS}, b AS (SELECT *, coalesce(max(v) OVER (PARTITION BY run ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM e),
+i AS (SELECT *, v > before AS improved FROM b),
+w AS (SELECT *, position - coalesce(max(CASE WHEN improved THEN position END) OVER (PARTITION BY run ORDER BY position), 0) AS no_improve FROM i),
+s AS (SELECT run, min(position) AS stop FROM w WHERE no_improve >= 5 GROUP BY run)
+SELECT w.run, event_id, position, improved, no_improve, stop IS NULL OR position <= stop AS kept FROM w LEFT JOIN s ON w.run = s.run"""
+)
+def improvement_marks(spark, d):
+    marked = trainlog.mark_improvements(_log(spark, d), ["run"], [F.col(c) for c in ORDER], "val_f1", 5)
+    return marked.select("run", "event_id", "position", "improved", "no_improve", "kept")
+
+
+@query(f"SELECT event_type, {q6('sum(value * (event_id % 5)) / greatest(sum(event_id % 5), 1)')} AS loss FROM events GROUP BY event_type")
+def weighted_loss(spark, d):
+    batches = table(spark, d, "events").select("event_type", F.col("value").alias("loss"), (F.col("event_id") % 5).alias("n"))
+    return rounded(trainlog.weighted_loss(batches, ["event_type"]), "loss")
+
+
+@query()
+def fit_lodo(spark, d):
+    """Embeddings in four groups; sessions are vectors with equal id modulo 40."""
+    rows = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("ordinal"),
+        F.concat(F.lit("g"), F.col("vec_id") % 4).alias("detector"),
+        F.concat(F.lit("s"), F.col("vec_id") % 40).alias("session_id"),
+        (F.col("label") >= 5).cast("double").alias("label"),
+        F.col("embedding").cast("array<double>").alias("features"),
+    )
+    table_of_sessions = rows.groupBy("detector", "session_id").agg(F.count(F.lit(1)).alias("frame_count"))
+    split = splits.session_split(table_of_sessions, ("g0", "g1", "g2", "g3"))
+    assigned = splits.frames_of_split(rows.drop("detector"), split)
+    fitted = fit.fit_folds(assigned, (1, 2, 3, 4), reg_params=(0.01, 0.3), max_iter=5)
+    return fitted.withColumns({c: r6(c) for c in ("cross_ap", "cross_auc_roc", "in_domain_ap")})
