@@ -171,6 +171,12 @@ def frames_of_split(
     return frames.join(chosen.select(*session, "fold_id", "test_detector", "bucket"), list(session))
 
 
+def buckets_per_session(split: DataFrame, session: Sequence[str] = ("session_id",)) -> DataFrame:
+    """One row per session with its bucket in every fold as ``buckets map<int,string>``."""
+    entry = F.struct(F.col("fold_id").cast("int"), "bucket")
+    return split.groupBy(*session).agg(F.map_from_entries(F.collect_list(entry)).alias("buckets"))
+
+
 def semi_supervised_frames(frames: DataFrame, split: DataFrame, session: Sequence[str] = ("session_id",)) -> DataFrame:
     """Pretraining rows per fold: the train frames with labels and the held-out frames without."""
     parts = frames_of_split(frames, split, session, (TRAIN, CROSS_DETECTOR))

@@ -91,7 +91,8 @@ def _tracked(log, keys, order, metric, min_delta, blocks) -> DataFrame:
     if min_delta == 0.0:
         marked = rows.withColumn("improved", beats)
     else:
-        counted = running(rows, keys, order, {"_record": ("sum", beats.cast("long"))})
+        # Written once: the walk below reads the records several times.
+        counted = checkpointed(running(rows, keys, order, {"_record": ("sum", beats.cast("long"))}))
         accepted = _accepted_with_delta(counted.where(beats), keys, metric, min_delta)
         marked = (
             rows.join(accepted.withColumn("_hit", F.lit(True)), [*keys, "position"], "left")

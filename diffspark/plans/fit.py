@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +16,23 @@ from pyspark.sql import functions as F
 from diffspark.constants import CROSS_DETECTOR, IN_DOMAIN_TEST, TRAIN, VAL
 from diffspark.operators.benchmark import fold_results
 from diffspark.operators.metrics import best_f1
+from diffspark.operators.splits import buckets_per_session
+from diffspark.plans.evaluation import concat_scores
+from diffspark.session import checkpointed
 
 
-def _estimator(reg: float, max_iter: int, features: str) -> Pipeline:
-    scaler = StandardScaler(inputCol=features, outputCol="scaled", withMean=True)
-    model = LogisticRegression(
-        featuresCol="scaled", labelCol="label", regParam=reg, maxIter=max_iter, probabilityCol="probability"
+def _estimator(reg: float, max_iter: int, features: str) -> LogisticRegression:
+    """Logistic regression; it standardises the features itself, so no scaling pass is added."""
+    return LogisticRegression(
+        featuresCol=features, labelCol="label", regParam=reg, maxIter=max_iter, probabilityCol="probability"
     )
-    return Pipeline(stages=[scaler, model])
 
 
 def fit_folds(
-    assigned: DataFrame,
-    fold_ids: Sequence[int],
+    frames: DataFrame,
+    split: DataFrame,
+    folds: Sequence[tuple[int, str]],
+    session: Sequence[str] = ("session_id",),
     reg_params: Sequence[float] = (0.0, 0.1),
     max_iter: int = 20,
     features: str = "features",
@@ -38,46 +40,54 @@ def fit_folds(
 ) -> DataFrame:
     """Fit every fold on ``train``, choose the candidate with the best F1 on ``val``, score both test buckets.
 
-    ``assigned`` is ``(fold_id, test_detector, bucket, ordinal, label, features array)``.  Folds in
-    ``done`` (stored results) are skipped.  The loop is over folds and candidates, never over rows.
-    The result has the layout of ``benchmark.fold_results`` plus the chosen parameter.
+    ``frames`` is ``(session..., ordinal, label, features array)``, ``folds`` lists ``(fold_id,
+    test_detector)``.  Folds in ``done`` (stored results) are skipped; None comes back when nothing
+    is left.  The frames are written once with their bucket in every fold, so each fit scans that
+    table instead of repeating the joins, and no frame is stored once per fold.  The loops are over
+    folds and candidates, never over rows.
     """
     finished = set() if done is None else {r["fold_id"] for r in done.select("fold_id").distinct().collect()}
-    rows = assigned.withColumn("_x", array_to_vector(F.col(features)))
-    scored = None
-    for fold in fold_ids:
-        if fold in finished:
-            continue
-        part = rows.where(F.col("fold_id") == fold)
-        train = part.where(F.col("bucket") == TRAIN)
-        candidates = None
-        models = []
-        for reg in reg_params:
-            model = _estimator(reg, max_iter, "_x").fit(train)
-            models.append(model)
-            val = _scores(model, part.where(F.col("bucket") == VAL)).withColumn("candidate", F.lit(reg))
-            candidates = val if candidates is None else candidates.unionByName(val)
-        # At most one row per candidate.
-        f1 = {r["candidate"]: r["f1"] for r in best_f1(candidates, ["candidate"]).collect()}
-        chosen = max(range(len(reg_params)), key=lambda i: (f1.get(reg_params[i], -1.0), -i))
-        test = part.where(F.col("bucket").isin(CROSS_DETECTOR, IN_DOMAIN_TEST))
-        result = _scores(models[chosen], test).withColumn("reg_param", F.lit(reg_params[chosen]))
-        scored = result if scored is None else scored.unionByName(result)
-    if scored is None:
+    open_folds = [f for f in folds if f[0] not in finished]
+    if not open_folds:
         return done
-    params = scored.groupBy("fold_id").agg(F.first("reg_param").alias("reg_param"))
-    return fold_results(scored).join(params, "fold_id")
+    rows = frames.select(
+        *session, "ordinal", F.col("label").cast("double").alias("label"), array_to_vector(F.col(features)).alias("_x")
+    )
+    rows = checkpointed(rows.join(buckets_per_session(split, session), list(session)))
+
+    models, val_scores = {}, []
+    for fold in open_folds:
+        train = _bucket(rows, fold, TRAIN)
+        for reg in reg_params:
+            models[fold, reg] = _estimator(reg, max_iter, "_x").fit(train)
+            val_scores.append(_scores(models[fold, reg], _bucket(rows, fold, VAL), fold, reg))
+    # At most one row per fold and candidate.
+    found = best_f1(concat_scores(val_scores), ["fold_id", "reg_param"]).collect()
+    f1 = {(r["fold_id"], r["reg_param"]): r["f1"] for r in found}
+
+    test_scores = []
+    for fold in open_folds:
+        chosen = max(reg_params, key=lambda reg: (f1.get((fold[0], reg), -1.0), -reg_params.index(reg)))
+        test_scores.append(_scores(models[fold, chosen], _bucket(rows, fold, CROSS_DETECTOR, IN_DOMAIN_TEST), fold, chosen))
+    scored = concat_scores(test_scores)
+    chosen_params = scored.groupBy("fold_id").agg(F.max("reg_param").alias("reg_param"))
+    return fold_results(scored).join(chosen_params, "fold_id")
+
+
+def _bucket(rows: DataFrame, fold: tuple[int, str], *names: str) -> DataFrame:
+    bucket = F.try_element_at("buckets", F.lit(fold[0]))
+    return rows.withColumn("bucket", bucket).where(F.col("bucket").isin(*names))
 
 
-def _scores(model, rows: DataFrame) -> DataFrame:
-    probability = vector_to_array("probability")[1]
+def _scores(model, rows: DataFrame, fold: tuple[int, str], reg: float) -> DataFrame:
     return model.transform(rows).select(
-        "fold_id",
-        "test_detector",
+        F.lit(fold[0]).alias("fold_id"),
+        F.lit(fold[1]).alias("test_detector"),
         "bucket",
         "ordinal",
         F.col("label").cast("int").alias("y_true"),
-        probability.alias("y_score"),
+        vector_to_array("probability")[1].alias("y_score"),
+        F.lit(reg).alias("reg_param"),
     )
 
 

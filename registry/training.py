@@ -103,7 +103,7 @@ def fit_lodo(spark, d):
         F.col("embedding").cast("array<double>").alias("features"),
     )
     table_of_sessions = rows.groupBy("detector", "session_id").agg(F.count(F.lit(1)).alias("frame_count"))
-    split = splits.session_split(table_of_sessions, ("g0", "g1", "g2", "g3"))
-    assigned = splits.frames_of_split(rows.drop("detector"), split)
-    fitted = fit.fit_folds(assigned, (1, 2, 3, 4), reg_params=(0.01, 0.3), max_iter=5)
+    groups = ("g0", "g1", "g2", "g3")
+    split = splits.session_split(table_of_sessions, groups)
+    fitted = fit.fit_folds(rows, split, tuple(enumerate(groups, start=1)), reg_params=(0.01, 0.3), max_iter=5)
     return fitted.withColumns({c: r6(c) for c in ("cross_ap", "cross_auc_roc", "in_domain_ap")})
