@@ -58,14 +58,16 @@ def resize_matrix(n_in: int, n_out: int) -> np.ndarray:
     steps = np.arange(-radius, radius + 1)
     bell = np.exp(-0.5 * (steps / sigma) ** 2) if sigma > 0 else np.ones(1)
     bell = bell / bell.sum()
-    rows = np.arange(n_in)
-    smooth = np.zeros((n_in, n_in))
-    for step, weight in zip(steps, bell, strict=True):
-        np.add.at(smooth, (rows, reflect_pixel(rows + step, n_in)), weight)
     centre = (np.arange(n_out) + 0.5) * factor - 0.5
     low = np.floor(centre).astype(int)
-    share = (centre - low)[:, None]
-    return smooth[reflect_pixel(low, n_in)] * (1.0 - share) + smooth[reflect_pixel(low + 1, n_in)] * share
+    share = centre - low
+    rows = np.arange(n_out)
+    matrix = np.zeros((n_out, n_in))
+    for corner, part in ((low, 1.0 - share), (low + 1, share)):
+        middle = reflect_pixel(corner, n_in)
+        for step, weight in zip(steps, bell, strict=True):
+            np.add.at(matrix, (rows, reflect_pixel(middle + step, n_in)), weight * part)
+    return matrix
 
 
 def nonzero(matrix: np.ndarray) -> list[tuple[int, int, float]]:

@@ -10,7 +10,7 @@ Two forms with the same results:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from diffspark.constants import GCN_EPSILON, LCN_EPSILON, LCN_WINDOW, TARGET_SIZ
 from diffspark.functions.arrays import doubles, mean, population_std
 from diffspark.operators.axis_weights import box_matrix, nonzero, reflect_edge, resize_matrix, window_span
 
-_PIXELS_AT_ONCE = 16_000_000  # bounds the working memory of one task (doubles)
+_PIXELS_AT_ONCE = 2_000_000  # bounds the working arrays of one task to 16 MB each
 _SMALL_SIDE = 64  # sides up to this use the box matrix, larger ones running slices
 
 
@@ -51,13 +51,29 @@ def _box_mean(images: np.ndarray, window: int) -> np.ndarray:
     before, after = window_span(window)
     for axis, n in ((1, h), (2, w)):
         padded = np.take(images, reflect_edge(np.arange(-before, n + after), n), axis=axis)
-        total = np.zeros_like(images)
-        for shift in range(window):
-            total += padded[:, shift : shift + n, :] if axis == 1 else padded[:, :, shift : shift + n]
-        images = total / window
+        images = _window_sums(padded, n, window, axis) / window
     return images
 
 
+def _window_sums(padded: np.ndarray, n: int, window: int, axis: int) -> np.ndarray:
+    """Sums of ``window`` neighbours along an axis, from sums of 1, 2, 4, ... neighbours."""
+
+    def part(a: np.ndarray, first: int, length: int) -> np.ndarray:
+        return a[:, first : first + length, :] if axis == 1 else a[:, :, first : first + length]
+
+    total, offset, width = None, 0, 1
+    while True:
+        if window & width:
+            piece = part(padded, offset, n)
+            total = piece.copy() if total is None else total + piece
+            offset += width
+        if 2 * width > window:
+            return total
+        length = padded.shape[axis] - width
+        padded = part(padded, 0, length) + part(padded, width, length)
+        width *= 2
+
+
 def _lcn(images: np.ndarray, window: int, eps: float) -> np.ndarray:
     local = _box_mean(images, window)
     variance = np.maximum(_box_mean(images**2, window) - local**2, 0.0)
@@ -79,13 +95,18 @@ def normalize_frames(
     lcn: bool = True,
     gcn_eps: float = GCN_EPSILON,
     lcn_eps: float = LCN_EPSILON,
+    assembly: Mapping[str, tuple[int, np.ndarray]] | None = None,
+    assemble_as: str | None = None,
 ) -> DataFrame:
     """GCN, LCN and resize of frames ``(..., h, w, pixels)``; other columns pass through.
 
     ``size=None`` keeps the frame size.  ``window_column`` takes the LCN window from the row.
+    ``assembly`` maps names to ``(side, sources)``; a frame whose ``assemble_as`` column holds such
+    a name is first placed on that square image (``sources`` as in ``geometry.assembly_lists``).
     Output pixels are float32.
     """
-    carried = [c for c in frames.columns if c not in ("h", "w", pixels)]
+    carried = [c for c in frames.columns if c not in ("h", "w", pixels, assemble_as)]
+    shared = frames.sparkSession.sparkContext.broadcast(dict(assembly)) if assembly else None
     schema = T.StructType(
         [frames.schema[c] for c in carried]
         + [
@@ -113,18 +134,28 @@ def normalize_frames(
                 if window_column
                 else np.full(len(hs), window)
             )
-            shapes = np.stack([hs, ws, wins], axis=1).astype(np.int64)
+            places = list(shared.value.values()) if shared else []
+            codes = np.full(len(hs), -1)
+            if shared:
+                numbers = {name: i for i, name in enumerate(shared.value)}
+                codes = np.array([numbers.get(name, -1) for name in batch.column(assemble_as).to_pylist()])
+            shapes = np.stack([hs, ws, wins, codes], axis=1).astype(np.int64)
             arrays = batch.column(pixels)
             starts = arrays.offsets.to_numpy()
             flat = arrays.values.to_numpy(zero_copy_only=False)
-            for h, w, win in np.unique(shapes, axis=0):
-                rows = np.flatnonzero((shapes == (h, w, win)).all(axis=1))
+            for h, w, win, code in np.unique(shapes, axis=0):
+                rows = np.flatnonzero((shapes == (h, w, win, code)).all(axis=1))
+                side, sources = places[code] if code >= 0 else (None, None)
                 if (starts[rows + 1] - starts[rows] != h * w).any():
                     raise ValueError(f"a frame does not hold {h} x {w} pixels")
-                at_once = max(1, int(_PIXELS_AT_ONCE // max(1, h * w)))
+                at_once = max(1, int(_PIXELS_AT_ONCE // max(1, h * w, (side or 0) ** 2)))
                 for first in range(0, len(rows), at_once):
                     part = rows[first : first + at_once]
-                    images = np.stack([flat[s : s + h * w] for s in starts[part]]).reshape(len(part), h, w)
+                    taken = [flat[s : s + h * w] for s in starts[part]]
+                    if side is None:
+                        images = np.stack(taken).reshape(len(part), h, w)
+                    else:  # source -1 picks the appended zero
+                        images = np.stack([np.append(t, 0)[sources] for t in taken]).reshape(len(part), side, side)
                     out = transform(images.astype(np.float64), int(win)).astype(np.float32)
                     area = out.shape[1] * out.shape[2]
                     offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * area)
@@ -136,7 +167,8 @@ def normalize_frames(
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[*carried, "h", "w", pixels])
 
-    return frames.select(*carried, "h", "w", pixels).mapInArrow(run, schema)
+    inputs = [*carried, "h", "w", pixels, *([assemble_as] if shared else [])]
+    return frames.select(*inputs).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- one row per pixel

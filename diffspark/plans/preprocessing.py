@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.constants import AGIPD_MODULE_SS, LCN_WINDOW, LCN_WINDOWS_COMPARED, TARGET_SIZE
 from diffspark.functions.arrays import all_finite
 from diffspark.operators import catalog, geometry
+from diffspark.operators.lookup import BROADCAST_UNITS
 from diffspark.operators.normalize import normalize_frames
 from diffspark.session import checkpointed
 
@@ -29,11 +31,31 @@ def preprocess_assembled(
     return normalize_frames(frames, size, window)
 
 
+def assembly_arrays(lists: DataFrame) -> dict[str, tuple[int, np.ndarray]] | None:
+    """Assembly lists as arrays to hand to the tasks, or None when they are too large together.
+
+    Their size is measured first; it is one number per image cell and detector type.
+    """
+    cells = lists.agg(F.sum(F.size("sources").cast("long")).alias("n")).first()["n"] or 0
+    if cells > BROADCAST_UNITS:
+        return None
+    found = lists.select("detector", "side", "sources").toArrow()
+    rows = zip(found["detector"].to_pylist(), found["side"].to_pylist(), found["sources"], strict=True)
+    return {name: (side, sources.values.to_numpy(zero_copy_only=False)) for name, side, sources in rows}
+
+
 def preprocess_panels(
     frames: DataFrame, lists: DataFrame, window: int = LCN_WINDOW, size: tuple[int, int] | None = TARGET_SIZE
 ) -> DataFrame:
-    """Assemble, then GCN, LCN, resize."""
-    return normalize_frames(geometry.assemble_frames(frames, lists), size, window)
+    """Assemble by ``detector``, then GCN, LCN, resize, in one pass over the frames.
+
+    A frame of a detector without geometry is taken as an image.
+    """
+    arrays = assembly_arrays(lists)
+    if arrays is None:
+        return normalize_frames(geometry.assemble_frames(frames, lists).drop("assembled"), size, window)
+    named = frames.withColumn("_assemble_as", F.col("detector"))
+    return normalize_frames(named, size, window, assembly=arrays, assemble_as="_assemble_as")
 
 
 def preprocess_routed(
@@ -45,20 +67,26 @@ def preprocess_routed(
     has no list falls back to the assembled route, with the reason kept.
     """
     routed = catalog.route_frames(frames)
-    named = routed.withColumnRenamed("detector", "_detector").withColumn(
-        "detector", F.when(F.col("route") != "assembled", F.col("_detector"))
-    )
-    placed = geometry.assemble_frames(named, lists)
-    lost = (F.col("route") != "assembled") & ~F.col("assembled")
-    placed = placed.withColumns(
+    usable = [r["detector"] for r in lists.select("detector").collect()]  # one row per detector type
+    wanted = F.col("route") != "assembled"
+    lost = wanted & ~F.coalesce(F.col("detector").isin(*usable), F.lit(False))
+    marked = routed.withColumns(
         {
             "route_reason": F.when(lost, "no geometry").otherwise(F.col("route_reason")),
             "route": F.when(lost, "assembled").otherwise(F.col("route")),
         }
     )
-    return normalize_frames(
-        placed.drop("detector", "assembled").withColumnRenamed("_detector", "detector"), size, window
+    name = F.when(F.col("route") != "assembled", F.col("detector"))
+    arrays = assembly_arrays(lists)
+    if arrays is not None:
+        return normalize_frames(
+            marked.withColumn("_assemble_as", name), size, window, assembly=arrays, assemble_as="_assemble_as"
+        )
+    renamed = marked.withColumnRenamed("detector", "_detector").withColumn(
+        "detector", F.when(F.col("route") != "assembled", F.col("_detector"))
     )
+    placed = geometry.assemble_frames(renamed, lists).drop("detector", "assembled")
+    return normalize_frames(placed.withColumnRenamed("_detector", "detector"), size, window)
 
 
 def apply_preprocess(frames: DataFrame, fn: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
