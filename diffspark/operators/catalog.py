@@ -33,7 +33,8 @@ def resolve_data_key(
     place = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col(key))
     best = F.min(F.when(place > 0, place))
     found = container_keys.groupBy(*by).agg(best.alias("priority"))
-    name = F.element_at(F.array(*[F.lit(c) for c in candidates]), F.col("priority").cast("int"))
+    # get() and not element_at(): the latter is taken for never NULL, even at a NULL position.
+    name = F.get(F.array(*[F.lit(c) for c in candidates]), F.col("priority").cast("int") - 1)
     if strict:
         name = require(name, "no known data key; tried " + ", ".join(candidates))
     return found.select(*by, "priority", name.alias("data_key"))
