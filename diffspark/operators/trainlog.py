@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffspark.operators.ordered import BLOCK, cut_blocks, running
-from diffspark.session import checkpointed
 
 START = -1.0  # the value the first epoch has to beat
-RECORDS_PER_ROUND = 1_000_000
 
 
 def weighted_loss(batches: DataFrame, by: Sequence[str], loss: str = "loss", n: str = "n") -> DataFrame:
@@ -41,46 +39,29 @@ def _positions(log: DataFrame, keys, order, metric, blocks) -> DataFrame:
 def _accepted_with_delta(records: DataFrame, keys: Sequence[str], metric: str, min_delta: float) -> DataFrame:
     """Positions of accepted improvements when an epoch must beat the accepted best by ``min_delta``.
 
-    An accepted epoch always beats every earlier one, so only strict prefix maxima
-    (``records``, numbered per key in ``_record``) can be accepted.  The accepted best depends on
-    the chain of earlier decisions, so a key's records are walked in rounds of bounded size, all
-    keys at once, carrying one number per key; logs of usual length need one round.
+    An accepted epoch always beats every earlier one, so only strict prefix maxima (``records``)
+    can be accepted.  The accepted best depends on the chain of earlier decisions; the records of
+    a run therefore stream through one task in order, which keeps two values at a time and never
+    holds a run in memory.
     """
-    schema = T.StructType(
-        [records.schema[k] for k in keys]
-        + [T.StructField("position", T.LongType()), T.StructField("_carry", T.DoubleType())]
-    )
-
-    def walk(group: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        frame = group.sort_values("position")
-        best = frame["_carry"].iloc[0]
-        kept = []
-        for at, value in zip(frame["position"].to_numpy(), frame[metric].to_numpy(), strict=True):
-            if value > best + min_delta:
-                best = value
-                kept.append(at)
-        rows = pd.DataFrame({"position": [*kept, -1], "_carry": best})
-        for k in reversed(keys):
-            rows.insert(0, k, frame[k].iloc[0])
-        return rows
-
-    spark = records.sparkSession
-    last_round = records.agg(F.max("_record").alias("r")).first()["r"]
-    rounds = 0 if last_round is None else (last_round - 1) // RECORDS_PER_ROUND + 1
-    carry = None
-    found = spark.createDataFrame([], T.StructType([*[records.schema[k] for k in keys], schema["position"]]))
-    for r in range(rounds):
-        part = records.where(F.floor((F.col("_record") - 1) / RECORDS_PER_ROUND) == r)
-        if carry is None:
-            part = part.withColumn("_carry", F.lit(START))
-        else:
-            part = part.join(carry, list(keys), "left")
-        walked = part.select(*keys, "position", metric, "_carry").groupBy(*keys).applyInPandas(walk, schema)
-        if rounds > 1:
-            walked = checkpointed(walked)
-        carry = walked.where(F.col("position") == -1).select(*keys, "_carry")
-        found = found.unionByName(walked.where(F.col("position") > 0).select(*keys, "position"))
-    return found
+    schema = T.StructType([*[records.schema[k] for k in keys], T.StructField("position", T.LongType())])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, best = None, START
+        for batch in batches:
+            kept = []
+            runs = zip(*[batch[k] for k in keys], strict=True) if keys else [()] * len(batch)
+            for i, (run, value) in enumerate(zip(runs, batch[metric], strict=True)):
+                if run != current:
+                    current, best = run, START
+                if value > best + min_delta:
+                    best = value
+                    kept.append(i)
+            yield batch.iloc[kept][[*keys, "position"]]
+
+    rows = records.select(*keys, "position", metric)
+    together = rows.repartition(*keys) if keys else rows.coalesce(1)
+    return together.sortWithinPartitions(*keys, "position").mapInPandas(walk, schema)
 
 
 def _tracked(log, keys, order, metric, min_delta, blocks) -> DataFrame:
@@ -91,9 +72,7 @@ def _tracked(log, keys, order, metric, min_delta, blocks) -> DataFrame:
     if min_delta == 0.0:
         marked = rows.withColumn("improved", beats)
     else:
-        # Written once: the walk below reads the records several times.
-        counted = checkpointed(running(rows, keys, order, {"_record": ("sum", beats.cast("long"))}))
-        accepted = _accepted_with_delta(counted.where(beats), keys, metric, min_delta)
+        accepted = _accepted_with_delta(rows.where(beats), keys, metric, min_delta)
         marked = (
             rows.join(accepted.withColumn("_hit", F.lit(True)), [*keys, "position"], "left")
             .withColumn("improved", F.coalesce("_hit", F.lit(False)))

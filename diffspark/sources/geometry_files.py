@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from diffspark.sources.files import read_lines
 
 _NUMBER = r"([+-]?\s*(?:\d+\.?\d*|\.\d+)?(?:[eE][+-]?\d+)?)\s*"
-_PANEL_KEYS = (
-    "fs ss corner_x corner_y coffset clen res min_fs max_fs min_ss max_ss".split()
-)
-_GLOBAL_KEYS = ("clen", "coffset", "res")
+_NUMBERS = "corner_x corner_y coffset clen res min_fs max_fs min_ss max_ss".split()
+_SHARED = ("clen", "coffset", "res")
 
 
 def geometry_entries(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -19,15 +17,20 @@ def geometry_entries(lines: DataFrame, text: str = "value") -> DataFrame:
 
     Text after ``;`` is a comment.  Bad-region and rigid-group entries are left out.
     """
-    code = F.trim(F.regexp_replace(text, r";.*$", ""))
-    name = F.trim(F.regexp_extract(code, r"^([^=]+)=", 1))
-    value = F.trim(F.regexp_extract(code, r"^[^=]+=(.*)$", 1))
-    panel = F.regexp_extract(name, r"^(.+)/[^/]+$", 1)
-    key = F.regexp_extract(name, r"([^/]+)$", 1)
     others = [c for c in lines.columns if c != text]
+    code = F.substring_index(text, ";", 1)
+    pairs = lines.select(
+        *others,
+        F.trim(F.substring_index(code, "=", 1)).alias("_name"),
+        F.when(F.instr(code, "=") > 0, F.trim(F.substr(code, F.instr(code, "=") + 1))).alias("value"),
+    ).where(F.col("value").isNotNull())
+    key = F.substring_index("_name", "/", -1)
+    owner = F.substr(F.col("_name"), F.lit(1), F.length("_name") - F.length(key) - 1)
+    entries = pairs.select(
+        *others, F.when(F.contains("_name", F.lit("/")), owner).alias("panel"), key.alias("key"), "value"
+    )
     return (
-        lines.select(*others, F.nullif(panel, F.lit("")).alias("panel"), key.alias("key"), value.alias("value"))
-        .where(F.col("key") != "")
+        entries.where(F.col("key") != "")
         .where(F.coalesce(~F.col("panel").startswith("bad"), F.lit(True)))
         .where(~F.col("key").startswith("rigid_group"))
     )
@@ -36,9 +39,8 @@ def geometry_entries(lines: DataFrame, text: str = "value") -> DataFrame:
 def _axis(vector: Column, axis: str) -> Column:
     """Coefficient of ``x``, ``y`` or ``z`` in a vector such as ``-0.99x +0.004y``; a bare sign is one."""
     raw = F.regexp_replace(F.regexp_extract(vector, _NUMBER + axis, 1), r"\s", "")
-    present = vector.contains(axis)
     return (
-        F.when(~present, 0.0)
+        F.when(~vector.contains(axis), 0.0)
         .when(raw.isin("", "+"), 1.0)
         .when(raw == "-", -1.0)
         .otherwise(raw.try_cast("double"))
@@ -48,31 +50,39 @@ def _axis(vector: Column, axis: str) -> Column:
 def panels_from_entries(entries: DataFrame, order: str, detector: str = "detector") -> DataFrame:
     """Panel rows from geometry entries; a repeated key takes its last value by ``order``.
 
+    Values become numbers before they are grouped, which keeps the aggregation a hash aggregation.
     One aggregation by panel and one by detector; panel values override the detector's.
     """
+    is_vector = F.col("key").isin("fs", "ss")
+    typed = entries.withColumns(
+        {
+            "_number": F.when(~is_vector, F.col("value").try_cast("double")),
+            **{f"_{a}": F.when(is_vector, _axis(F.col("value"), a)) for a in "xyz"},
+        }
+    )
 
-    def latest(key: str, where: Column) -> Column:
-        hit = (F.col("key") == key) & where
-        return F.max_by(F.when(hit, F.col("value")), F.when(hit, F.col(order)))
+    def latest(key: str, column: str = "_number") -> Column:
+        hit = F.col("key") == key
+        return F.max_by(F.when(hit, F.col(column)), F.when(hit, F.col(order)))
 
     here = F.col("panel").isNotNull()
-    per_panel = entries.where(here).groupBy(detector, "panel").agg(
-        *[latest(k, F.lit(True)).alias(k) for k in _PANEL_KEYS], F.min(order).alias("panel_order")
+    per_panel = typed.where(here).groupBy(detector, "panel").agg(
+        *[latest(k).alias(k) for k in _NUMBERS],
+        *[latest(v, f"_{a}").alias(f"{v}_{a}") for v in ("fs", "ss") for a in "xyz"],
+        F.min(order).alias("panel_order"),
     )
-    shared = entries.where(~here).groupBy(detector).agg(
-        *[latest(k, F.lit(True)).alias(f"_all_{k}") for k in _GLOBAL_KEYS]
+    shared = (
+        typed.where(~here).where(F.col("key").isin(*_SHARED)).groupBy(detector).agg(*[latest(k).alias(f"_all_{k}") for k in _SHARED])
     )
     rows = per_panel.join(shared, detector, "left")
 
     def number(key: str) -> Column:
-        value = F.coalesce(key, f"_all_{key}") if key in _GLOBAL_KEYS else F.col(key)
-        return value.try_cast("double")
+        return F.coalesce(key, f"_all_{key}") if key in _SHARED else F.col(key)
 
     def place(key: str) -> Column:
-        return number(key).cast("int")
+        return F.col(key).cast("int")
 
     pixel = 1.0 / number("res")
-    vector = lambda key: F.array(*[_axis(F.col(key), a) * pixel for a in "xyz"])
     depth = F.coalesce(number("clen"), F.lit(0.0)) + F.coalesce(number("coffset"), F.lit(0.0))
     return rows.select(
         detector,
@@ -80,9 +90,8 @@ def panels_from_entries(entries: DataFrame, order: str, detector: str = "detecto
         "panel_order",
         (place("max_ss") - place("min_ss") + 1).alias("n_ss"),
         (place("max_fs") - place("min_fs") + 1).alias("n_fs"),
-        vector("fs").alias("fs_vec"),
-        vector("ss").alias("ss_vec"),
-        F.array(number("corner_x") * pixel, number("corner_y") * pixel, depth).alias("t_vec"),
+        *[F.array(*[F.col(f"{v}_{a}") * pixel for a in "xyz"]).alias(f"{v}_vec") for v in ("fs", "ss")],
+        F.array(F.col("corner_x") * pixel, F.col("corner_y") * pixel, depth).alias("t_vec"),
         place("min_ss").alias("ss0"),
         (place("max_ss") + 1).alias("ss1"),
         place("min_fs").alias("fs0"),

@@ -44,11 +44,14 @@ def test_early_stopping_equals_the_loop(spark, patience, delta):
         assert tuple(row)[1:] == walk(made[row["run"]], patience, delta), row["run"]
 
 
-def test_min_delta_in_several_rounds(spark, monkeypatch):
-    monkeypatch.setattr(trainlog, "RECORDS_PER_ROUND", 3)
-    made = logs(2)
-    got = trainlog.early_stopping(frame(spark, made), ["run"], [F.col("epoch")], patience=6, min_delta=0.015)
-    for row in got.collect():
+def test_min_delta_over_many_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = logs(2)
+        got = trainlog.early_stopping(frame(spark, made), ["run"], [F.col("epoch")], patience=6, min_delta=0.015).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for row in got:
         assert tuple(row)[1:] == walk(made[row["run"]], 6, 0.015), row["run"]
 
 
