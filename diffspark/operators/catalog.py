@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from diffspark.constants import DATA_KEYS, DESCRIPTIONS, EXPECTED_KEY
 from diffspark.functions.arrays import all_finite
 from diffspark.functions.labels import rounded_label
-from diffspark.functions.paths import reader, suffix
+from diffspark.functions.paths import key_depth, reader, suffix
 from diffspark.operators.ordered import require
 
 
@@ -57,6 +57,25 @@ def audit_keys(
     )
 
 
+def key_listing(container_keys: DataFrame, key: str = "key", expected_key: str = EXPECTED_KEY) -> DataFrame:
+    """Every container key with its nesting depth and whether it is the expected one."""
+    return container_keys.withColumns({"depth": key_depth(F.col(key)), "expected": F.col(key) == expected_key})
+
+
+def attach_descriptions(
+    files: DataFrame, descriptions: DataFrame, on: Sequence[str] = ("path",), strict: bool = True
+) -> DataFrame:
+    """Detector description of every file, stored bytes decoded; a missing one fails the job (or is NULL)."""
+    stored = descriptions.select(*on, F.col("description"))
+    if dict(stored.dtypes)["description"] == "binary":
+        stored = stored.withColumn("description", F.decode("description", "UTF-8"))
+    joined = files.join(stored, list(on), "left")
+    if not strict:
+        return joined
+    what = F.concat_ws(" ", F.lit("no description in"), *[F.col(c).cast("string") for c in on])
+    return joined.withColumn("description", require(F.col("description"), what))
+
+
 def expand_frames(files: DataFrame, n_frames: str = "n_frames") -> DataFrame:
     """One row per frame, ``frame_idx`` from 0; a file with no frame gives no row, repeats are kept."""
     indices = F.when(F.col(n_frames) > 0, F.sequence(F.lit(0), F.col(n_frames).cast("int") - 1))

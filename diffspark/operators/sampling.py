@@ -95,9 +95,15 @@ def train_val(rows: DataFrame, row_id: str, train: float = 0.8, seed: int = 42)
 
 
 def number_batches(
-    rows: DataFrame, order: Sequence[Column], batch_size: int, keys: Sequence[str] = (), blocks: int | None = None
+    rows: DataFrame, row_id: str, batch_size: int, order: Column | None = None, blocks: int | None = None
 ) -> DataFrame:
-    """``batch_id`` from 0 in the given order, the last batch possibly short."""
-    numbered = number_rows(rows, keys, order, "_at", blocks)
-    batch = F.floor((F.col("_at") - 1) / batch_size).cast("long")
-    return numbered.withColumn("batch_id", batch).drop("_at")
+    """``batch_id`` from 0 in the given order of a unique ``row_id``, the last batch possibly short.
+
+    Only the ids are sorted and numbered; the rows, which may carry whole frames, meet their
+    number in one join.
+    """
+    by = order if order is not None else F.col(row_id).asc()
+    numbered = number_rows(rows.select(row_id), [], [by], "_at", blocks)
+    batch = F.floor((F.col("_at") - 1) / batch_size).cast("long").alias("batch_id")
+    ids = numbered.select(row_id, batch)
+    return ids if rows.columns == [row_id] else rows.join(ids, row_id)

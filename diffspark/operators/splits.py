@@ -98,7 +98,7 @@ def session_split(
     arithmetic, so no step depends on the previous one.
     """
     table = with_folds(session_table, detectors, fold_ids)
-    held = F.col("detector") == F.col("test_detector")
+    held = F.col("detector").eqNullSafe(F.col("test_detector"))
     keys = ["fold_id", *stratify_by]
     order = [F.col("frame_count").desc(), *[F.col(t).asc() for t in ties]]
     one = F.lit(1).cast("long")

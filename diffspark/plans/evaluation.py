@@ -78,6 +78,12 @@ def lodo_table(results: DataFrame, detectors: Sequence[str] = DETECTORS, oracle:
     return benchmark.results_table(flat, benchmark.summarise_folds(flat), oracle, detectors)
 
 
+def stored_table(results: DataFrame, detectors: Sequence[str] = DETECTORS, oracle: DataFrame | None = None) -> DataFrame:
+    """The printed table of one run's stored fold results; a fold stored twice counts once."""
+    once = benchmark.one_result_per_fold(results)
+    return benchmark.results_table(once, benchmark.summarise_folds(once), oracle, detectors)
+
+
 def aggregate_runs(results: DataFrame, detectors: Sequence[str] = DETECTORS) -> DataFrame:
     """Stored fold results of many runs: one per run and fold, then mean and deviation per run."""
     once = benchmark.one_result_per_fold(results)

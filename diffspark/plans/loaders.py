@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +16,15 @@ def unlabelled_tensors(frames: DataFrame, paths: DataFrame | None = None) -> Dat
     return catalog.frame_tensor(chosen.drop("label"))
 
 
-def session_tensors(frames: DataFrame, label_files: DataFrame, session_files: DataFrame, session_ids: Sequence[str]) -> DataFrame:
-    """Labelled frames of the given sessions.
+def session_tensors(
+    frames: DataFrame, label_files: DataFrame, session_files: DataFrame, chosen: DataFrame
+) -> DataFrame:
+    """Labelled frames of the chosen sessions (``chosen`` has ``session_id``, e.g. one bucket of a split).
 
     ``session_files`` maps ``session_id`` to ``path``; ``label_files`` holds the label array per
     path, whose length decides which frames exist.
     """
-    files = session_files.where(F.col("session_id").isin(*session_ids))
+    files = session_files.join(chosen.select("session_id").distinct(), "session_id", "left_semi")
     index = catalog.embedded_labels(files.join(label_files.select("path", "labels"), "path", "left"))
     return catalog.frame_tensor(catalog.read_frames(index, frames))
 
@@ -38,8 +38,8 @@ def listed_tensors(frames: DataFrame, split_list: DataFrame, labels: DataFrame,
 
 def batches(tensors: DataFrame, row_id: str, batch_size: int, shuffle_seed: int | None = None) -> DataFrame:
     """Exact global batch numbers, in id order or in a seeded random order."""
-    order = F.col(row_id) if shuffle_seed is None else shuffle_key(F.col(row_id), shuffle_seed)
-    return number_batches(tensors, [order.asc()], batch_size)
+    order = None if shuffle_seed is None else shuffle_key(F.col(row_id), shuffle_seed)
+    return number_batches(tensors, row_id, batch_size, order)
 
 
 def processed_so_far(batch_sizes: DataFrame, blocks: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffspark.constants import GEOMETRY_NAMES, JUNGFRAU_DISTANCE
+from diffspark.operators.geometry import set_distance
 from diffspark.sources.files import read_lines
 
 _NUMBER = r"([+-]?\s*(?:\d+\.?\d*|\.\d+)?(?:[eE][+-]?\d+)?)\s*"
@@ -136,6 +138,23 @@ def read_geometry_json(spark: SparkSession, path: str, detector: str) -> DataFra
     return panels_from_json(spark.read.text(path, wholetext=True).withColumn("detector", F.lit(detector)))
 
 
+def load_geometry(
+    spark: SparkSession, name: str, files: dict[str, str], distance: float | None = None
+) -> DataFrame:
+    """Panels of a named detector from its geometry file (text, or JSON by suffix).
+
+    ``distance`` moves the panels to that average distance; without it the file's own distance
+    holds, except for JUNGFRAU_4M, which has a default.
+    """
+    if name not in GEOMETRY_NAMES:
+        raise ValueError(f"unknown detector {name!r}; valid: {sorted(GEOMETRY_NAMES)}")
+    read = read_geometry_json if files[name].endswith(".json") else read_geometry_text
+    panels = read(spark, files[name], name)
+    if distance is None and name == "JUNGFRAU_4M":
+        distance = JUNGFRAU_DISTANCE
+    return panels if distance is None else set_distance(panels, F.lit(distance))
+
+
 def geometry_matrix(rows: DataFrame, matrix: str = "geometry") -> DataFrame:
     """Geometry rows ``[distance mm, wavelength angstrom, pixel mm, ...]`` with lengths in metres."""
     at = lambda i: F.get(F.col(matrix), F.lit(i)).cast("double")

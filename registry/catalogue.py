@@ -140,6 +140,28 @@ def key_audit(spark, d):
     return catalog.audit_keys(expected, keys).withColumnRenamed("path", "user_id")
 
 
+@query(
+    """SELECT page_id, len(url) - len(replace(url, '/', '')) AS depth, url LIKE '%/en/%' AS expected FROM pages"""
+)
+def key_listing(spark, d):
+    key = F.when(F.col("url").contains("/en/"), EXPECTED_KEY).otherwise(F.col("url"))
+    pages = table(spark, d, "pages").select("page_id", "url", key.alias("key"))
+    flagged = catalog.key_listing(pages).select("page_id", "expected")
+    depths = catalog.key_listing(pages, "url").select("page_id", F.col("depth").cast("long").alias("depth"))
+    return depths.join(flagged, "page_id")
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT source, 'det ' || source AS description FROM documents WHERE source <> 'src7')
+SELECT doc_id, description FROM documents d LEFT JOIN k ON d.source = k.source"""
+)
+def description_lookup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"))
+    text = F.encode(F.concat(F.lit("det "), F.col("path")), "UTF-8")
+    stored = catalog.distinct_paths(docs.where("path <> 'src7'")).withColumn("description", text)
+    return catalog.attach_descriptions(docs, stored, strict=False).select("doc_id", "description")
+
+
 _PATH_SQL = """f AS (
   SELECT page_id, 'http://' || split_part(split_part(url, '?', 1), '#', 1)
     || CASE page_id % 5 WHEN 0 THEN '.h5' WHEN 1 THEN '.CXI' WHEN 2 THEN '.part.img' WHEN 3 THEN '.tiff' ELSE '' END AS path FROM pages

@@ -244,6 +244,24 @@ def bucket_label_balance(spark, d):
     )
 
 
+@query(
+    "WITH "
+    + _LANG_SQL
+    + ", m AS (SELECT avg(ap) AS mean_ap, stddev_samp(ap) AS std_ap FROM r) "
+    + _table_sql(
+        """SELECT 1 AS line_no, printf('%-8s %-15s %8s', 'Fold', 'Detector', 'AP') AS line
+  UNION ALL SELECT 2, repeat('-', 33) UNION ALL SELECT 7, repeat('-', 33)
+  UNION ALL SELECT fold_id + 2, printf('%-8s %-15s %8.4f', 'fold_' || fold_id, test_detector, ap) FROM r
+  UNION ALL SELECT 8, printf('%-8s %-15s %8.4f', 'Mean', '', mean_ap) || '  +/- ' || printf('%.4f', std_ap) FROM m"""
+    )
+)
+def stored_results_table(spark, d):
+    latest = _by_language(spark, d).withColumn("file", F.lit("b"))
+    stale = latest.withColumns({"file": F.lit("a"), "ap": F.lit(0.0)})
+    stored = stale.unionByName(latest).withColumns({"backbone": F.lit("net"), "seed": F.lit(1)})
+    return evaluation.stored_table(stored, LANGS)
+
+
 @query(
     """WITH r AS (SELECT user_id % 7 AS seed, user_id % 4 + 1 AS fold_id, event_id, value FROM events),
 k AS (SELECT seed, fold_id, arg_max(value, event_id) AS ap FROM r GROUP BY ALL)

@@ -240,7 +240,7 @@ def test_loaders(spark):
     frames = frame_rows(spark)
     session_files = spark.createDataFrame([("A_f0", "A/f0.cxi"), ("B_f1", "B/f1.cxi")], "session_id string, path string")
     label_files = spark.createDataFrame([("A/f0.cxi", [1.0, 0.0, 1.0]), ("B/f1.cxi", [0.0])], "path string, labels array<float>")
-    rows = loaders.session_tensors(frames, label_files, session_files, ["A_f0"]).orderBy("frame_idx").collect()
+    rows = loaders.session_tensors(frames, label_files, session_files, session_files.where("session_id = 'A_f0'")).orderBy("frame_idx").collect()
     assert [(r["frame_idx"], r["label"], r["c"], r["h"]) for r in rows] == [(0, 1, 1, 2), (1, 0, 1, 2), (2, 1, 1, 2)]
     listed = spark.createDataFrame([(0, "B/f0.cxi"), (1, "A/f1.cxi")], "ordinal int, path string")
     label_map = spark.createDataFrame([("B/f0.cxi", 1), ("A/f1.cxi", 0)], "path string, label int")
@@ -250,6 +250,28 @@ def test_loaders(spark):
     assert len(rows) == 10 and all(r["label"] is None for r in rows)
 
 
+def test_descriptions(spark):
+    files_df = spark.createDataFrame([("f1",), ("f1",), ("f2",)], "path string")
+    stored = spark.createDataFrame([("f1", bytearray(b"AGIPD 1M"))], "path string, description binary")
+    got = catalog.attach_descriptions(files_df, stored, strict=False).orderBy("path").collect()
+    assert [r["description"] for r in got] == ["AGIPD 1M", "AGIPD 1M", None]
+    with pytest.raises(Exception, match="no description in f2"):
+        catalog.attach_descriptions(files_df, stored).collect()
+
+
+def test_geometry_by_name(spark, tmp_path):
+    text = write(tmp_path / "g.geom", GEOMETRY)
+    panel = {"name": "m0", "n_ss": 1, "n_fs": 1, "fs_vec": [1e-4, 0, 0], "ss_vec": [0, 1e-4, 0], "t_vec": [0, 0, 0.2],
+             "parent_data_shape": [1, 1], "parent_data_slice": [[0, 1, None], [0, 1, None]]}
+    known = {"Eiger4M": text, "JUNGFRAU_4M": write(tmp_path / "j.json", json.dumps([panel]))}
+    distance = lambda p: geometry.geometry_summary(p).first()["distance"]
+    assert distance(geometry_files.load_geometry(spark, "Eiger4M", known)) == pytest.approx(0.115)
+    assert distance(geometry_files.load_geometry(spark, "Eiger4M", known, 0.3)) == pytest.approx(0.3)
+    assert distance(geometry_files.load_geometry(spark, "JUNGFRAU_4M", known)) == pytest.approx(0.103)
+    with pytest.raises(ValueError, match="AGIPD"):
+        geometry_files.load_geometry(spark, "Pilatus", known)
+
+
 def test_detector_names(spark):
     df = spark.createDataFrame([("AGIPD",), ("Pilatus",)], "detector string")
     with pytest.raises(Exception, match="unknown detector Pilatus; valid: A"):
