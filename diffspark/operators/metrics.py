@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffspark.operators.ordered import BLOCK, cut_blocks, running
+from diffspark.operators.ordered import BLOCK, cut_blocks, require, running
 
 def nan() -> Column:
     return F.lit(float("nan"))
@@ -40,6 +40,18 @@ def _rank_values(count: Column, positives: Column, score: str) -> tuple[dict, di
     return values, totals
 
 
+def _ranked(scored, keys, y, score, ordinal, blocks, per_block=None) -> DataFrame:
+    rows = scored.select(
+        *keys,
+        F.col(ordinal),
+        F.col(y).cast("long").alias(y),
+        require(F.col(score).cast("double"), "a score is NULL").alias(score),
+    )
+    order = [F.col(score).desc(), F.col(ordinal).desc()]
+    values, totals = _rank_values(F.lit(1).cast("long"), F.col(y), score)
+    return running(cut_blocks(rows, keys, order, blocks), keys, order, values, totals=totals, per_block=per_block)
+
+
 def rank_rows(
     scored: DataFrame,
     keys: Sequence[str],
@@ -49,76 +61,113 @@ def rank_rows(
     blocks: int | None = None,
 ) -> DataFrame:
     """Per row: ``tp`` and ``seen`` down the ranking (score desc, ordinal desc) and the key totals."""
-    rows = scored.select(
-        *keys, F.col(ordinal), F.col(y).cast("long").alias(y), F.col(score).cast("double").alias(score)
-    )
-    order = [F.col(score).desc(), F.col(ordinal).desc()]
-    values, totals = _rank_values(F.lit(1).cast("long"), F.col(y), score)
-    return running(cut_blocks(rows, keys, order, blocks), keys, order, values, totals=totals).drop(BLOCK)
+    return _ranked(scored, keys, y, score, ordinal, blocks).drop(BLOCK)
 
 
 def score_cells(
     scored: DataFrame, keys: Sequence[str], y: str = "y_true", score: str = "y_score"
 ) -> DataFrame:
     """Distinct scores with row and positive counts; combined map-side, so heavy ties are cheap."""
-    return scored.groupBy(*keys, F.col(score).cast("double").alias(score)).agg(
+    value = require(F.col(score).cast("double"), "a score is NULL")
+    return scored.groupBy(*keys, value.alias(score)).agg(
         F.count(F.lit(1)).alias("cell_all"), F.sum(F.col(y).cast("long")).alias("cell_pos")
     )
 
 
-def _ranked_cells(scored, keys, y, score, blocks) -> DataFrame:
+_TOTALS = ("n_pos", "n_all", "nan_pos", "nan_all")
+
+
+def _auc_part(score: str) -> Column:
+    """Negatives of a cell times the positives at or above it (a NaN cell comes last)."""
+    above = F.when(F.isnan(score), F.col("n_pos")).otherwise(F.col("tp") - F.col("nan_pos"))
+    return (F.col("cell_all") - F.col("cell_pos")).cast("double") * above.cast("double")
+
+
+def _f1_candidate(score: str) -> Column:
+    """``(f1, -score, tp, predicted)`` of a threshold, NULL when it predicts no positive."""
+    hits = F.col("tp") - F.col("nan_pos")
+    predicted = F.col("seen") - F.col("nan_all")
+    precision, recall = _ratio(hits, predicted), _ratio(hits, F.col("n_pos"))
+    f1 = 2 * precision * recall / (precision + recall)
+    whole = F.struct(f1.alias("f1"), (-F.col(score)).alias("low"), hits.alias("tp"), predicted.alias("predicted"))
+    return F.when(~F.isnan(score) & (hits > 0), whole)
+
+
+def _summarise_cells(scored, keys, y, score, blocks) -> DataFrame:
+    """Metrics with whole groups of equal scores as the unit: cells first, then the ranking."""
     cells = score_cells(scored, keys, y, score)
     order = [F.col(score).desc()]
     values, totals = _rank_values(F.col("cell_all"), F.col("cell_pos"), score)
-    return running(cut_blocks(cells, keys, order, blocks), keys, order, values, totals=totals).withColumn(
-        "ap_part", F.col("cell_pos") * _ratio(F.col("tp"), F.col("seen"))
+    ranked = running(cut_blocks(cells, keys, order, blocks), keys, order, values, totals=totals)
+    return _finish(
+        ranked.groupBy(*keys).agg(
+            F.sum(F.col("cell_pos") * _ratio(F.col("tp"), F.col("seen"))).alias("_ap"),
+            F.sum(_auc_part(score)).alias("_auc"),
+            F.max(_f1_candidate(score)).alias("_best"),
+            F.min(F.when(~F.isnan(score), F.col(score))).alias("_lowest"),
+            *[F.max(c).alias(c) for c in _TOTALS],
+        ),
+        keys,
     )
 
 
-def _cells_of_rows(ranked: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
-    return ranked.groupBy(*keys, score).agg(
+def _summarise_rows(scored, keys, y, score, ordinal, blocks) -> DataFrame:
+    """Metrics with the row order inside equal scores.
+
+    The ranked rows are already together by ``(key, block)``, so equal scores are combined there
+    without a shuffle.  Only a block's first and last score can continue in a neighbouring block;
+    those few partial cells are merged by score, everything else goes straight into the sums.
+    """
+    edges = {"_first": ("max", F.col(score)), "_last": ("min", F.col(score))}
+    ranked = _ranked(scored, keys, y, score, ordinal, blocks, edges)
+    at_edge = (F.col(score) == F.col("_first")) | (F.col(score) == F.col("_last"))
+    pieces = ranked.groupBy(*keys, BLOCK, score).agg(
         F.count(F.lit(1)).alias("cell_all"),
         F.sum(y).alias("cell_pos"),
         F.sum(F.when(F.col(y) == 1, _ratio(F.col("tp"), F.col("seen")))).alias("ap_part"),
-        *[F.max(c).alias(c) for c in ("tp", "seen", "n_pos", "n_all", "nan_pos", "nan_all")],
+        F.max("tp").alias("tp"),
+        F.max("seen").alias("seen"),
+        *[F.max(c).alias(c) for c in _TOTALS],
+        F.bool_or(at_edge).alias("_edge"),
     )
-
-
-def _summarise(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """One row per key from ranked score cells, with the counts predicted at the chosen threshold."""
-    is_nan = F.isnan(score)
-    hits = F.col("tp") - F.col("nan_pos")
-    predicted = F.col("seen") - F.col("nan_all")
-    precision = _ratio(hits, predicted)
-    recall = _ratio(hits, F.col("n_pos"))
-    f1 = 2 * precision * recall / (precision + recall)
-    cell_neg = (F.col("cell_all") - F.col("cell_pos")).cast("double")
-    above = F.when(is_nan, F.col("n_pos")).otherwise(hits).cast("double")
-    candidate = F.struct(
-        f1.alias("f1"), (-F.col(score)).alias("low"), hits.alias("tp"), predicted.alias("predicted")
-    )
-    raw = cells.groupBy(*keys).agg(
-        F.max("n_all").alias("n"),
-        F.max("n_pos").alias("n_pos"),
-        F.max("nan_all").alias("_nan"),
+    inner = ~F.col("_edge")
+    merged = pieces.groupBy(*keys, F.when(F.col("_edge"), F.col(score)).alias("_edge_score")).agg(
         F.sum("ap_part").alias("_ap"),
-        F.sum(cell_neg * above).alias("_auc"),
-        F.max(F.when(~is_nan & (hits > 0), candidate)).alias("_best"),
-        F.min(F.when(~is_nan, F.col(score))).alias("_lowest"),
+        F.sum(F.when(inner, _auc_part(score))).alias("_auc"),
+        F.max(F.when(inner, _f1_candidate(score))).alias("_best"),
+        F.min(F.when(~F.isnan(score), F.col(score))).alias("_lowest"),
+        *[F.sum(c).alias(c) for c in ("cell_all", "cell_pos")],
+        *[F.max(c).alias(c) for c in ("tp", "seen", *_TOTALS)],
+    )
+    edge = F.col("_edge_score").isNotNull()
+    return _finish(
+        merged.groupBy(*keys).agg(
+            F.sum("_ap").alias("_ap"),
+            F.sum(F.when(edge, _auc_part("_edge_score")).otherwise(F.col("_auc"))).alias("_auc"),
+            F.max(F.when(edge, _f1_candidate("_edge_score")).otherwise(F.col("_best"))).alias("_best"),
+            F.min("_lowest").alias("_lowest"),
+            *[F.max(c).alias(c) for c in _TOTALS],
+        ),
+        keys,
     )
-    pos, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
+
+
+def _finish(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key from its sums, with the counts predicted at the chosen threshold."""
+    n = F.col("n_all")
+    pos, neg = F.col("n_pos").cast("double"), (n - F.col("n_pos")).cast("double")
     none = F.col("n_pos") == 0
     threshold = F.coalesce(-F.col("_best.low") + F.lit(0.0), F.col("_lowest"), nan())
     return raw.select(
         *keys,
-        "n",
+        n.alias("n"),
         "n_pos",
         F.when(none, 0.0).otherwise(F.coalesce("_ap", F.lit(0.0)) / F.nullif(pos, F.lit(0.0))).alias("ap"),
         F.when(none | (neg == 0), 0.5).otherwise(F.col("_auc") / F.nullif(pos * neg, F.lit(0.0))).alias("auc_roc"),
         F.when(none, 0.0).otherwise(F.coalesce("_best.f1", F.lit(0.0))).alias("f1"),
         F.when(none, nan()).otherwise(threshold).alias("threshold"),
         F.coalesce("_best.tp", F.lit(0)).alias("tp"),
-        F.when(none, 0).otherwise(F.coalesce("_best.predicted", F.col("n") - F.col("_nan"))).alias("predicted"),
+        F.when(none, 0).otherwise(F.coalesce("_best.predicted", n - F.col("nan_all"))).alias("predicted"),
     )
 
 
@@ -137,12 +186,12 @@ def evaluate(
     ``evals`` lists keys that must appear even when they have no rows.
     """
     if ties == "position":
-        cells = _cells_of_rows(rank_rows(scored, keys, y, score, ordinal, blocks), keys, y, score)
+        result = _summarise_rows(scored, keys, y, score, ordinal, blocks)
     elif ties == "group":
-        cells = _ranked_cells(scored, keys, y, score, blocks)
+        result = _summarise_cells(scored, keys, y, score, blocks)
     else:
         raise ValueError("ties must be 'position' or 'group'")
-    result = _summarise(cells, keys, score).drop("tp", "predicted")
+    result = result.drop("tp", "predicted")
     if evals is None:
         return result
     filled = evals.select(*keys).distinct().join(result, list(keys), "left")
@@ -161,12 +210,12 @@ def average_precision(scored, keys, ties="position", blocks=None, **columns) ->
 
 def auc_roc(scored, keys, y="y_true", score="y_score", blocks=None) -> DataFrame:
     """``auc_roc`` per key; needs no ordinal, so only distinct scores are ranked."""
-    return _summarise(_ranked_cells(scored, keys, y, score, blocks), keys, score).select(*keys, "auc_roc")
+    return _summarise_cells(scored, keys, y, score, blocks).select(*keys, "auc_roc")
 
 
 def best_f1(scored, keys, y="y_true", score="y_score", blocks=None) -> DataFrame:
     """``f1`` and ``threshold`` per key; needs no ordinal, so only distinct scores are ranked."""
-    return _summarise(_ranked_cells(scored, keys, y, score, blocks), keys, score).select(*keys, "f1", "threshold")
+    return _summarise_cells(scored, keys, y, score, blocks).select(*keys, "f1", "threshold")
 
 
 def pr_curve(scored, keys, y="y_true", score="y_score", ordinal="ordinal", blocks=None) -> DataFrame:
@@ -232,8 +281,7 @@ def evaluation_report(
 
     The confusion counts ride along with the winning F1 candidate, so the scored rows are ranked once.
     """
-    ranked = rank_rows(scored, keys, y, score, ordinal, blocks)
-    metrics = _summarise(_cells_of_rows(ranked, keys, y, score), keys, score)
+    metrics = _summarise_rows(scored, keys, y, score, ordinal, blocks)
     fp = F.col("predicted") - F.col("tp")
     return metrics.select(
         *keys,

@@ -56,30 +56,38 @@ def running(
     *,
     inclusive: bool = True,
     totals: Mapping[str, tuple[str, Column]] | None = None,
+    per_block: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """Add one running aggregate per entry of ``values`` and one whole-key aggregate per ``totals``.
+    """Add one running aggregate per entry of ``values``, one whole-key aggregate per ``totals`` and
+    one aggregate of the row's own ``(key, block)`` per ``per_block``.
 
-    ``values`` maps an output name to ``(kind, expression)``, kind being sum, max or min.  With
+    Each maps an output name to ``(kind, expression)``, kind being sum, max or min.  With
     ``inclusive=False`` the current row is left out.  ``blocked`` comes from :func:`cut_blocks`,
-    possibly with more columns added since.
+    possibly with more columns added since.  The result is hash-partitioned on ``(keys, block)``.
     """
-    totals = totals or {}
-    temp = {f"_v_{name}": expr for name, (_, expr) in values.items()}
-    temp_totals = {f"_t_{name}": expr for name, (_, expr) in totals.items()}
-    rows = blocked.withColumns({**temp, **temp_totals})
+    totals, own = totals or {}, per_block or {}
+    rows = blocked.withColumns(
+        {
+            **{f"_v_{name}": expr for name, (_, expr) in values.items()},
+            **{f"_t_{name}": expr for name, (_, expr) in totals.items()},
+            **{f"_p_{name}": expr for name, (_, expr) in own.items()},
+        }
+    )
 
-    per_block = rows.groupBy(*keys, BLOCK).agg(
+    sums = rows.groupBy(*keys, BLOCK).agg(
         *[_COMBINE[kind][0](f"_v_{n}").alias(f"_b_{n}") for n, (kind, _) in values.items()],
         *[_COMBINE[kind][0](f"_t_{n}").alias(f"_bt_{n}") for n, (kind, _) in totals.items()],
+        *[_COMBINE[kind][0](f"_p_{n}").alias(n) for n, (kind, _) in own.items()],
     )
     group = [F.col(k) for k in keys] or [F.lit(0)]
     earlier = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    shift = per_block.select(
+    shift = sums.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(BLOCK).alias("_k_block"),
         *[_COMBINE[kind][0](f"_b_{n}").over(earlier).alias(f"_o_{n}") for n, (kind, _) in values.items()],
         *[_COMBINE[kind][0](f"_bt_{n}").over(whole).alias(n) for n, (kind, _) in totals.items()],
+        *own,
     )
 
     last = Window.currentRow if inclusive else -1
@@ -98,6 +106,7 @@ def running(
             for n, (kind, _) in values.items()
         ],
         *totals,
+        *own,
     )
 
 
