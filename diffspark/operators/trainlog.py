@@ -118,13 +118,14 @@ def early_stopping(
     """Per run: last epoch run, whether it stopped early, and the best epoch and value.
 
     The last improvement as seen from the stopping epoch is the best epoch, so one aggregate after
-    the ranking passes is enough.
+    the ranking passes is enough: first per ``(keys, block)``, as the rows lie, then per key.
     """
     tracked = _tracked(log, keys, order, metric, min_delta, blocks)
     row = F.struct("position", "_last")
-    ends = tracked.groupBy(*keys).agg(
+    per_block = tracked.groupBy(*keys, BLOCK).agg(
         F.min(F.when(F.col("no_improve") >= patience, row)).alias("_stop"), F.max(row).alias("_final")
     )
+    ends = per_block.groupBy(*keys).agg(F.min("_stop").alias("_stop"), F.max("_final").alias("_final"))
     end = F.coalesce("_stop", "_final")
     return ends.select(
         *keys,
