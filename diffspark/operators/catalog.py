@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffspark.constants import DATA_KEYS, DESCRIPTIONS, EXPECTED_KEY
+from diffspark.constants import DATA_KEYS, DESCRIPTIONS, EXPECTED_KEY, LABEL_KEY
 from diffspark.functions.arrays import all_finite
 from diffspark.functions.labels import rounded_label
 from diffspark.functions.paths import key_depth, reader, suffix
@@ -82,6 +82,12 @@ def expand_frames(files: DataFrame, n_frames: str = "n_frames") -> DataFrame:
     return files.withColumn("frame_idx", F.explode(indices))
 
 
+def label_arrays(files: DataFrame, datasets: DataFrame, label_key: str = LABEL_KEY) -> DataFrame:
+    """Files with the array stored under their label key (``datasets``: path, key, values), NULL without one."""
+    found = datasets.where(F.col("key") == label_key).select("path", F.col("values").alias("labels"))
+    return files.join(found, "path", "left")
+
+
 def embedded_labels(files: DataFrame, labels: str = "labels", strict: bool = True) -> DataFrame:
     """One row per stored label: ``frame_idx`` and the integer ``label``; a missing array fails."""
     array = F.col(labels)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diffspark.session import checkpointed
@@ -35,6 +35,13 @@ def require(value: Column, message: str | Column) -> Column:
     return F.coalesce(value, F.raise_error(text))
 
 
+def default_blocks(spark: SparkSession) -> int:
+    """The session's shuffle partitions; in local mode no more than twice its threads."""
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sc = spark.sparkContext
+    return min(count, 2 * sc.defaultParallelism) if sc.master.startswith("local") else count
+
+
 def cut_blocks(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: int | None = None
 ) -> DataFrame:
@@ -42,7 +49,7 @@ def cut_blocks(
 
     ``order`` must be unique within a key for the blocks to stay balanced.  NULL keys are an error.
     """
-    count = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = blocks or default_blocks(df.sparkSession)
     checked = df.withColumns({k: require(F.col(k), f"NULL in group column {k}") for k in keys})
     ranged = checked.repartitionByRange(count, *[F.col(k) for k in keys], *order)
     return checkpointed(ranged.withColumn(BLOCK, F.spark_partition_id()))

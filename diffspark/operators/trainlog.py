@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diffspark.constants import PATIENCE
 from diffspark.operators.ordered import BLOCK, cut_blocks, running
 
 START = -1.0  # the value the first epoch has to beat
@@ -89,7 +90,7 @@ def mark_improvements(
     keys: Sequence[str],
     order: Sequence[Column],
     metric: str = "val_f1",
-    patience: int = 10,
+    patience: int = PATIENCE,
     min_delta: float = 0.0,
     blocks: int | None = None,
 ) -> DataFrame:
@@ -111,7 +112,7 @@ def early_stopping(
     keys: Sequence[str],
     order: Sequence[Column],
     metric: str = "val_f1",
-    patience: int = 10,
+    patience: int = PATIENCE,
     min_delta: float = 0.0,
     blocks: int | None = None,
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diffspark.constants import EXPECTED_KEY
+from diffspark.constants import EXPECTED_KEY, LABEL_KEY
 from diffspark.functions import arrays, labels, paths
 from diffspark.operators import catalog, geometry
 from diffspark.operators.sampling import seeded_shuffle
@@ -110,6 +110,19 @@ def label_length_check(spark, d):
     return catalog.label_length_errors(e).select("vec_id", "n_frames", "n_labels")
 
 
+@query(
+    """WITH f AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings WHERE label <> 9)
+SELECT vec_id, CAST(i AS INTEGER) AS frame_idx, CAST(round_even(v * 3, 0) AS INTEGER) AS label FROM f"""
+)
+def label_key_lookup(spark, d):
+    e = table(spark, d, "embeddings")
+    values = F.transform("embedding", lambda v: v * 3)
+    key = F.when(F.col("label") == 9, "elsewhere").otherwise(LABEL_KEY)
+    datasets = e.select(F.col("vec_id").alias("path"), key.alias("key"), values.alias("values"))
+    found = catalog.label_arrays(e.select(F.col("vec_id").alias("path")), datasets)
+    return catalog.embedded_labels(found, strict=False).select(F.col("path").alias("vec_id"), "frame_idx", "label")
+
+
 # Event types as container keys of one file per user, in an arbitrary order of preference.
 _KEYS = ("purchase", "error", "signup")
 
