@@ -292,6 +292,19 @@ def frame_cells(spark, d):
     return _wide_index(frames.select("vec_id", "detector").join(cells, "detector").select("vec_id", "detector", "side", "y", "x", "source"))
 
 
+@query(f"WITH {_ASSEMBLED}, {chain('image', 3, 6)} SELECT {_OUT32} FROM r")
+def panels_preprocess(spark, d):
+    frames, panels = _two_detectors(spark, d)
+    lists = preprocessing.assembly_of(panels, {"even": 8, "odd": 8})
+    return _long(preprocessing.preprocess_panels(frames, lists, window=3, size=(6, 6)))
+
+
+@query(f"WITH {PX}, {gcn_cte('px', 'g')} SELECT {_OUT} FROM g")
+def user_preprocess(spark, d):
+    raw = preprocessing.apply_preprocess(images(spark, d), None)
+    return _long(preprocessing.apply_preprocess(raw, normalize.gcn_frames))
+
+
 _DESCRIPTION = {0: ("AGIPD", "AGIPD 1M"), 1: ("Eiger4M", "EIGER 4M"), 2: ("JUNGFRAU_4M", "Jungfrau 4M"), 3: ("ePix10k", "ePix10k 2.2M"), 4: ("other", None)}
 
 
