@@ -86,11 +86,3 @@ def split_sets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
-
-
-def latest_per(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The row with the largest ``order`` value per key (combined map-side)."""
-    others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_by"), *others)).alias("_row"))
-    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
-

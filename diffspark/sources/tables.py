@@ -39,7 +39,7 @@ def pack_split(split: DataFrame, sessions_per_row: int = SESSIONS_PER_ARTIFACT)
     """
     sizes = split.groupBy("fold_id").agg(F.ceil(F.count(F.lit(1)) / sessions_per_row).alias("_parts"))
     part = F.pmod(F.xxhash64("session_id"), F.col("_parts"))
-    rows = split.join(sizes, "fold_id").withColumn("_part", part)
+    rows = split.join(F.broadcast(sizes), "fold_id").withColumn("_part", part)  # one row per fold
     packed = rows.groupBy("fold_id", "variant", "test_detector", "_part").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("session_id", "bucket")))).alias("splits")
     )

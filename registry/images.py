@@ -166,7 +166,10 @@ def gcn_lcn_order(spark, d):
     return _long(normalize.normalize_frames(images(spark, d), None, 9))
 
 
-@query(f"WITH {PX}, {gcn_cte('px', 'g')}, {lcn_cte('g', 'l', [3, 9, 15, 31])} SELECT id AS vec_id, CAST(win AS INTEGER) AS lcn_window, y, x, {q6('CAST(v AS FLOAT)')} AS v FROM l")
+@query(
+    f"""WITH {PX}, {gcn_cte('px', 'g')}, {lcn_cte('g', 'l', [3, 9, 15, 31])}
+SELECT id AS vec_id, CAST(win AS INTEGER) AS lcn_window, y, x, {q6('CAST(v AS FLOAT)')} AS v FROM l"""
+)
 def lcn_window_sweep(spark, d):
     return _long(preprocessing.window_sweep(images(spark, d), size=None), ("vec_id", "lcn_window"))
 
