@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm import bpe, quality
+from diffspark.llm import bpe, ngram_join, quality, storage, tokenfile
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -31,7 +31,21 @@ def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as token files and read back: place, count and checksum of each."""
+    path = storage.shared_path(spark, "token-files")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicate documents for every document."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op3_token_file": op3_token_file,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
     "op7_rank_array_bpe": op7_rank_array_bpe,
 }
