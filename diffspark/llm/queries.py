@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm import bpe, ngram_join, quality, storage, tokenfile
+from diffspark.llm import bpe, chat, ngram_join, quality, storage, tokenfile
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -43,11 +43,50 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted along its reply path, with digests read back from the output."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], told.schema)
+    made = chat.conversations(chat.chain(told.union(extra)))
+    turns = chat.read_turns(F.col("formatted"))
+    read = made.withColumn("turns", turns).withColumn("trained", chat.masked_text(F.col("formatted"), F.col("mask")))
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
+    "op9_reply_trees": op9_reply_trees,
     "op3_token_file": op3_token_file,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
     "op7_rank_array_bpe": op7_rank_array_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_reply_trees": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+codes AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '#', ''))
+            + length(text) - length(replace(text, '<', '')) AS text_chars,
+         length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, '#', ''))
+            + length(role) - length(replace(role, '<', '')) + length(role) - length(replace(role, chr(10), '')) AS role_chars
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + role_chars + 1 + text_chars + 8) AS BIGINT) AS formatted_chars
+FROM codes GROUP BY conv_id""",
+}
