@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm import bpe, chat, ngram_join, quality, storage, tokenfile
+from diffspark.llm import bpe, chat, decontaminate, edit_counts, ngram_join, quality, storage, tokenfile
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -61,7 +61,35 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: a language mark in front, seven characters of the middle
+    cut, the character at three quarters replaced by the source."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    n = F.char_length(F.coalesce("text", F.lit("")))
+
+    def edit(start, stop, text):
+        return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), text.cast("string").alias("text"))
+
+    half, late = F.floor(n / 2), F.floor(n * 3 / 4)
+    edits = F.array(
+        edit(F.lit(0), F.lit(0), F.concat(F.lit("["), F.coalesce("lang", F.lit("")), F.lit("] "))),
+        edit(half, half + 7, F.lit("")),
+        edit(late, late + 1, F.coalesce("source", F.lit(""))),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    counted = edit_counts.apply_edits(edit_counts.build(docs, ranks, pattern, keep=("edits",)), ranks, pattern)
+    return counted.select("doc_id", "n_before", "n_tokens", "n_read", "n_edits")
+
+
+def op6_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds at least half of a test item, with the item."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("item", "item_id")
+
+
 QUERIES = {
+    "op2_edit_counts": op2_edit_counts,
+    "op6_benchmark_tiling": op6_benchmark_tiling,
     "op9_reply_trees": op9_reply_trees,
     "op3_token_file": op3_token_file,
     "op8_ngram_jaccard": op8_ngram_jaccard,
