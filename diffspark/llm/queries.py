@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm import bpe, chat, decontaminate, edit_counts, ngram_join, quality, storage, tokenfile
+from diffspark.llm import bpe, chat, decontaminate, edit_counts, main_text, ngram_join, quality, storage, tokenfile
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -87,7 +87,14 @@ def op6_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("item", "item_id")
 
 
+def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op10_crf_main_text": op10_crf_main_text,
     "op2_edit_counts": op2_edit_counts,
     "op6_benchmark_tiling": op6_benchmark_tiling,
     "op9_reply_trees": op9_reply_trees,
