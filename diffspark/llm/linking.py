@@ -48,13 +48,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
-def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
-    """``(id, component)`` of the rows linked with another one, from ``postings (key, id)``.
+def connect(postings: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 2) -> DataFrame:
+    """``(id, component)`` of the rows linked with another one, from distinct ``postings (key, id)``.
 
-    ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that are links.
+    ``verifier`` takes the ``id`` of all rows that share a key with another one and returns the test: a function of distinct pairs
+    ``(a, b)``, a < b, that returns those that are links.
     """
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    now = storage.kept(postings.join(shared.select("key"), "key", "left_semi").withColumn("label", F.col("id")), "postings")
+    # One row for each key on the hashed side, so a key of any size costs it one row.
+    many = postings.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi")
+    now = storage.kept(many.withColumn("label", F.col("id")), "postings")
+    verify = verifier(now.select("id"))
     links = None
     labels = None
 

@@ -180,7 +180,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return both.where(passes).where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
     postings = many.select(F.explode("prefix0").alias("key"), "id")
-    labels = linking.connect(postings, verify)
+    labels = linking.connect(postings, lambda _: verify)
     named = heads.join(labels, heads["node"] == labels["id"], "left").select("node", "head", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     named = storage.kept(named.join(lowest, "component").select("node", "component_id"), "set-components")

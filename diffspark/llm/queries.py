@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm import bpe, chat, decontaminate, edit_counts, main_text, ngram_join, quality, storage, tokenfile
+from diffspark.llm import bpe, chat, decontaminate, edit_counts, line_dedup, main_text, ngram_join, quality, storage, tokenfile
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -93,7 +93,14 @@ def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with words, the line that stands for it, and whether it is kept."""
+    found = line_dedup.line_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line_no", F.col("head_id").alias("head_doc_id"), "head_line", "kept")
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op10_crf_main_text": op10_crf_main_text,
     "op2_edit_counts": op2_edit_counts,
     "op6_benchmark_tiling": op6_benchmark_tiling,
