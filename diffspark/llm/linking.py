@@ -11,12 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.llm import storage
 
 
+#: Pivot rounds end when the pairs that are left are at most so many for each row, or after ``rounds``; the result is the same.
+PAIRS_PER_ROW = 2
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)
@@ -48,22 +52,30 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
-def connect(postings: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 2) -> DataFrame:
-    """``(id, component)`` of the rows linked with another one, from distinct ``postings (key, id)``.
+def connect(
+    postings: DataFrame,
+    verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    fits: Callable[[Column, Column], Column] | None = None,
+    rounds: int = 8,
+) -> DataFrame:
+    """``(id, component)`` of the rows linked with another one, from distinct ``postings (key, id, more columns)``.
 
-    ``verifier`` takes the ``id`` of all rows that share a key with another one and returns the test: a function of distinct pairs
-    ``(a, b)``, a < b, that returns those that are links.
+    ``fits`` says of two postings (structs of all columns) of one key whether they can make a candidate pair.  ``verifier`` takes the
+    ``id`` of all rows that share a key with another one and returns the test: a function of distinct pairs ``(a, b)``,
+    a < b, that returns those that are links.
     """
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # One row for each key on the hashed side, so a key of any size costs it one row.
     many = postings.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi")
-    now = storage.kept(many.withColumn("label", F.col("id")), "postings")
-    verify = verifier(now.select("id"))
+    now = storage.kept(many.select("key", F.struct(*postings.columns).alias("row"), F.col("id").alias("label")), "postings")
+    verify = verifier(now.select("row.id"))
     links = None
     labels = None
 
-    def pairs(left: str, right: str) -> list:
-        return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+    def candidates(both: DataFrame) -> DataFrame:
+        if fits is not None:
+            both = both.where(fits(F.col("row"), F.col("other")))
+        return both.select(F.least("row.id", "other.id").alias("a"), F.greatest("row.id", "other.id").alias("b")).distinct()
 
     def absorb(found: DataFrame):
         nonlocal links, labels, now
@@ -73,22 +85,34 @@ def connect(postings: DataFrame, verifier: Callable[[DataFrame], Callable[[DataF
             return
         links = new if links is None else links.union(new)
         labels = storage.kept(components(links), "labels")
-        known = labels.select("id", F.col("component").alias("known"))
-        fresh = now.join(known, "id", "left").select("key", "id", F.coalesce("known", "label").alias("label"))
+        known = labels.select(F.col("id").alias("known_id"), "component")
+        fresh = now.join(known, F.col("row.id") == F.col("known_id"), "left")
+        fresh = fresh.select("key", "row", F.coalesce("component", "label").alias("label"))
         mixed = fresh.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
         after = storage.kept(fresh.join(mixed.select("key"), "key", "left_semi"), "postings")
         storage.delete(now)
         now = after
 
     for turn in range(rounds):
-        pick = F.min if turn % 2 == 0 else F.max
-        pivots = storage.kept(now.groupBy("key").agg(pick(F.struct("label", "id")).alias("pivot")), "pivots")
-        near = now.join(pivots, "key").where("label != pivot.label").select(*pairs("id", "pivot.id")).distinct()
-        absorb(verify(near))
+        # One pivot for each key, from the label with most rows there, another one in each round.
+        chance = F.xxhash64("row.id", F.lit(turn))
+        by_label = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(chance.alias("chance"), "row")).alias("first"))
+        pivots = by_label.groupBy("key").agg(
+            F.max(F.struct("n", "first.chance", "label", "first.row")).alias("pivot"),
+            F.sum("n").alias("rows"),
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+        )
+        pivots = storage.kept(
+            pivots.select("key", F.col("pivot.label").alias("other_label"), F.col("pivot.row").alias("other"), "rows", "pairs"), "pivots"
+        )
+        left = pivots.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
+        if (left["pairs"] or 0) <= PAIRS_PER_ROW * (left["rows"] or 0):
+            storage.delete(pivots)
+            break
+        absorb(verify(candidates(now.join(pivots, "key").where("label != other_label"))))
         storage.delete(pivots)
-    other = now.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
-    rest = now.join(other, "key").where("label < other_label").select(*pairs("id", "other")).distinct()
-    absorb(verify(rest))
+    others = now.select("key", F.col("row").alias("other"), F.col("label").alias("other_label"))
+    absorb(verify(candidates(now.join(others, "key").where("label < other_label"))))
     storage.delete(now)
     if labels is None:
         return postings.sparkSession.createDataFrame([], "id bigint, component bigint")

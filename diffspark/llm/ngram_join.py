@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.llm import linking, storage
+from diffspark.llm import textbatch as tb
 from diffspark.llm.shingles import shingle_sets
 
 FLUSH = 3_000_000  # postings that a task gathers before it deals them out
@@ -44,10 +45,37 @@ def shared_tokens(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """``(node, tokens array<long>, counts array<long>)``: the tokens of each set that another set holds too, and how many do.
 
     Tasks deal (hash, node) postings out in packed blocks by hash range; equal sets of a task go out once.  The receiving
-    task counts the sets of every hash and gives each set back those that two or more hold.
+    task counts the sets of every hash and deals those that two or more hold back in blocks by node.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shift = np.uint64(64 - max(1, (4 * partitions - 1).bit_length()))
+    shift = np.uint64(64 - max(1, (partitions - 1).bit_length()))
+
+    def blocks(place, tokens, owner, names, counts=None):
+        """Rows of the postings of each ``place``, ascending: tokens, sets as places in a list of their own, and counts."""
+        used, begin = np.unique(place, return_index=True)
+        cuts = [*begin.tolist(), len(place)]
+        for k, bucket in enumerate(used.tolist()):
+            at = slice(cuts[k], cuts[k + 1])
+            own, short = np.unique(owner[at], return_inverse=True)
+            wide = np.uint16 if len(own) <= 1 << 16 else np.uint32
+            row = [bucket, tokens[at].tobytes(), names[own].tobytes(), short.astype(wide).tobytes()]
+            if counts is not None:
+                row.append(np.minimum(counts[at], np.iinfo(np.uint32).max).astype(np.uint32).tobytes())
+            kinds = [pa.int64(), *[pa.binary()] * (len(row) - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], ["bucket", "tokens", "names", "places", "counts"][: len(row)]
+            )
+
+    def unpacked(batches):
+        """All postings of the task: tokens, nodes and counts."""
+        tokens, nodes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for batch in batches:
+            for row in batch.to_pylist():
+                tokens.append(np.frombuffer(row["tokens"], np.uint64))
+                wide = np.uint16 if len(row["places"]) == 2 * len(tokens[-1]) else np.uint32
+                nodes.append(np.frombuffer(row["names"], np.int64)[np.frombuffer(row["places"], wide)])
+                counts.append(np.frombuffer(row.get("counts") or b"", np.uint32))
+        return np.concatenate(tokens), np.concatenate(nodes), np.concatenate(counts)
 
     def deal(batches):
         held: dict[int, np.ndarray] = {}
@@ -55,23 +83,11 @@ def shared_tokens(docs: DataFrame, text_col: str, size: int) -> DataFrame:
 
         def flush():
             tokens = np.concatenate(list(held.values()))
-            nodes = np.repeat(np.array(list(held), np.int64), [len(t) for t in held.values()])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for t in held.values()])
+            names = np.array(list(held), np.int64)
             held.clear()
             order = np.argsort(tokens, kind="stable")
-            tokens, nodes = tokens[order], nodes[order]
-            place = (tokens >> shift).astype(np.int64)
-            used, begin = np.unique(place, return_index=True)
-            cuts = [*begin.tolist(), len(place)]
-            for at in range(0, len(used), 64):
-                part = range(at, min(at + 64, len(used)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(used[at : at + 64].astype(np.int32)),
-                        pa.array([tokens[cuts[k] : cuts[k + 1]].tobytes() for k in part], pa.binary()),
-                        pa.array([nodes[cuts[k] : cuts[k + 1]].tobytes() for k in part], pa.binary()),
-                    ],
-                    ["bucket", "tokens", "nodes"],
-                )
+            yield from blocks(tokens[order] >> shift, tokens[order], owner[order], names)
 
         for batch in batches:
             for _, tokens in shingle_sets(batch.column(0), size):
@@ -96,13 +112,7 @@ def shared_tokens(docs: DataFrame, text_col: str, size: int) -> DataFrame:
         return np.repeat(np.diff(edge), np.diff(edge))
 
     def meet(batches):
-        tokens, nodes = [], []
-        for batch in batches:
-            tokens += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            nodes += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        if not tokens:
-            return
-        tokens, nodes = np.concatenate(tokens), np.concatenate(nodes)
+        tokens, nodes, _ = unpacked(batches)
         order = np.argsort(tokens, kind="stable")
         tokens, nodes = tokens[order], nodes[order]
         keep = repeats(tokens) > 1
@@ -114,11 +124,18 @@ def shared_tokens(docs: DataFrame, text_col: str, size: int) -> DataFrame:
         counts = repeats(tokens)
         keep = counts > 1
         tokens, nodes, counts = tokens[keep], nodes[keep], counts[keep]
+        names, owner = np.unique(nodes, return_inverse=True)
+        place = tb.mix(nodes.view(np.uint64)) >> shift
+        order = np.argsort(place, kind="stable")
+        yield from blocks(place[order], tokens[order], owner[order], names, counts[order])
+
+    def gather(batches):
+        tokens, nodes, counts = unpacked(batches)
         order = np.argsort(nodes, kind="stable")
         tokens, nodes, counts = tokens[order].view(np.int64), nodes[order], counts[order].astype(np.int64)
         edge = runs(nodes)
-        for at in range(0, len(edge) - 1, 10_000):
-            cut = edge[at : at + 10_001]
+        for at in range(0, len(edge) - 1, 1000):
+            cut = edge[at : at + 1001]
             offsets = pa.array((cut - cut[0]).astype(np.int32))
             a, b = int(cut[0]), int(cut[-1])
             yield pa.RecordBatch.from_arrays(
@@ -130,9 +147,10 @@ def shared_tokens(docs: DataFrame, text_col: str, size: int) -> DataFrame:
                 ["node", "tokens", "counts"],
             )
 
-    dealt = docs.select(text_col).mapInArrow(deal, "bucket int, tokens binary, nodes binary")
-    given = dealt.repartition(partitions, "bucket").mapInArrow(meet, "node bigint, tokens array<bigint>, counts array<bigint>")
-    return given.groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("counts")).alias("counts"))
+    packed = "bucket bigint, tokens binary, names binary, places binary"
+    dealt = docs.select(text_col).mapInArrow(deal, packed).repartition(partitions, "bucket")
+    back = dealt.mapInArrow(meet, packed + ", counts binary").repartition(partitions, "bucket")
+    return back.mapInArrow(gather, "node bigint, tokens array<bigint>, counts array<bigint>")
 
 
 def _order(k: int) -> Column:
@@ -179,8 +197,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.where(passes).where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
-    postings = many.select(F.explode("prefix0").alias("key"), "id")
-    labels = linking.connect(postings, lambda _: verify)
+    # Position of a token in the whole set under the first order: the tokens that only this row holds stand before.
+    alone = F.col("n") - F.size("tokens") + 1
+    postings = many.select(F.posexplode("prefix0").alias("place", "key"), "id", "n", alone.alias("alone"))
+    postings = postings.select("key", "id", "n", (F.col("place") + F.col("alone")).alias("place"))
+
+    def fits(x: Column, y: Column) -> Column:
+        """The first token that two sets share leaves enough tokens after it on both sides, if they are similar."""
+        rest = F.least(x["n"] - x["place"], y["n"] - y["place"]) + 1
+        return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (
+            (100 + percent) * rest >= percent * (x["n"] + y["n"])
+        )
+
+    labels = linking.connect(postings, lambda _: verify, fits)
     named = heads.join(labels, heads["node"] == labels["id"], "left").select("node", "head", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     named = storage.kept(named.join(lowest, "component").select("node", "component_id"), "set-components")

@@ -8,7 +8,7 @@ low bytes.  A block is decoded with two table lookups and no loop over tokens.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +46,14 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return wide & _KEEP[lengths - 1]
 
 
-@lru_cache(maxsize=2)
-def _pack16(path: str):
-    """Ids as two bytes each, or four where the vocabulary needs them."""
-    wide = np.dtype("<u2") if library(path).tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-    return wide, lambda ids: np.asarray(ids, wide).tobytes()
-
-
 def _tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        wide, packer = _pack16(vocabulary)
-        end = np.array([END_ID], wide).tobytes()
+        lib = library(vocabulary)
+        end = array(lib.code, [END_ID]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                raw = library(vocabulary).encode([t or "" for t in some.column(1).to_pylist()], packer)
-                ids = [np.frombuffer(r + end, wide) for r in raw]
+                ids = [np.frombuffer(lib.encode(t) + end, lib.code) for t in some.column(1).to_pylist()]
                 # Ids of such vocabularies rise as words get rarer, so they already pack well.
                 streams = [pack(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -32,6 +33,26 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
+class _Table(dict):
+    """What ``make`` gives for each piece.  Frequent pieces outlive a fresh start: they come back from the table before."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make = make
+        self.before: dict[str, object] = {}
+
+    def __missing__(self, piece: str):
+        got = self.before.get(piece)
+        if got is None:
+            got = self.make(piece)
+        if len(piece) < 200:
+            if len(self) >= TABLE_ENTRIES // 2:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class WordBPE:
     """Encoder and decoder over a vocabulary file with an end-of-word suffix."""
 
@@ -47,7 +68,7 @@ class WordBPE:
         self.ranks: dict[tuple[str, str], int] = {p: r for r, p in enumerate(pairs)}
         self.letters = byte_letters()
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._table: dict[str, tuple[int, ...]] = {}
+        self.table = _Table(lambda piece: self.entry(self._piece(piece)))
 
     def merge(self, letters: list[str]) -> list[str]:
         """Parts of one word.
@@ -78,16 +99,19 @@ class WordBPE:
 
     @lru_cache(maxsize=200_000)  # noqa: B019  one encoder for each worker
     def _word(self, word: str) -> tuple[int, ...]:
-        letters = [self.letters[b] for b in word.encode()]
+        return self.word_ids([self.letters[b] for b in word.encode()])
+
+    def word_ids(self, letters: list[str]) -> tuple[int, ...]:
         letters[-1] += self.end
         if len(letters) > 1:
             letters = self.merge(letters)
         return tuple(self.ids[p] for p in letters if p in self.ids)
 
     def _plain(self, text: str) -> tuple[int, ...]:
-        # Lower case letter by letter: the final sigma gets no form of its own.
-        text = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return tuple(i for w in _WORD.findall(text) for i in self._word(w))
+        if not text.isascii():
+            # Lower case letter by letter: the final sigma gets no form of its own.
+            text = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
+        return tuple(i for w in _WORD.findall(text.lower()) for i in self._word(w))
 
     def _piece(self, text: str) -> tuple[int, ...]:
         if self._cut is None or "<|" not in text:
@@ -97,19 +121,9 @@ class WordBPE:
             out += (self.special[part],) if k % 2 else self._plain(part)
         return tuple(out)
 
-    def pieces(self, text: str) -> list:
-        """What :meth:`kept` holds for each piece of ``text`` between spaces and line ends."""
-        return list(map(self.kept, text.replace("\n", " ").split(" ")))
-
-    def kept(self, piece: str):
-        got = self._table.get(piece)
-        if got is None:
-            got = self.entry(self._piece(piece))
-            if len(self._table) >= TABLE_ENTRIES:
-                self._table.clear()
-            if len(piece) < 200:
-                self._table[piece] = got
-        return got
+    def pieces(self, text: str):
+        """The entry of each piece of ``text`` between spaces and line ends."""
+        return map(self.table.__getitem__, text.replace("\n", " ").split(" "))
 
     def entry(self, ids: tuple[int, ...]):
         return ids
@@ -128,31 +142,25 @@ def encoder(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-class Library:
-    """The same pieces through the tokenizers library: ``encode`` gives the ids of a batch of texts."""
+class Library(WordBPE):
+    """The same cuts, with each word encoded by the tokenizers library's model; the entry of a piece is its ids as bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self._table: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], pack: Callable[[list[int]], bytes]) -> list[bytes]:
-        """Packed ids of each text.  Every distinct piece goes through the library once as long as the table holds it."""
-        table = self._table
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for parts in split for p in parts if p not in table})
-        if len(table) + len(new) > TABLE_ENTRIES:
-            table.clear()
-            new = list({p for parts in split for p in parts})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                table[piece] = pack(got.ids)
-        look = table.__getitem__
-        return [b"".join(map(look, parts)) for parts in split]
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.code = "H" if max(self.words) < 1 << 16 else "I"
+
+    def word_ids(self, letters: list[str]) -> tuple[int, ...]:
+        return tuple(t.id for t in self.model.tokenize("".join(letters)))
+
+    def entry(self, ids: tuple[int, ...]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as native unsigned integers of the size that ``code`` says."""
+        return b"".join(self.pieces(text or ""))
 
 
 @lru_cache(maxsize=4)

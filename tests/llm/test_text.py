@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -85,6 +86,4 @@ def test_pieces_table_starts_anew(monkeypatch, reference):
     for text in [t for t in odd_texts(80) if t]:
         want = reference.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == want
-        assert lib.encode([text], lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)) == [
-            b"".join(i.to_bytes(4, "little") for i in want)
-        ]
+        assert np.frombuffer(lib.encode(text), lib.code).tolist() == want
