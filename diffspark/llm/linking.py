@@ -1,8 +1,8 @@
 """Links and components of rows that share keys, without writing out all pairs of a group.
 
 Rows that share a key are candidates.  A key shared by many rows would give pairs with the square of their number; but rows
-already in one component need no test against each other.  So each round first tests every row of a key against one
-*pivot* of that key only and joins what the exact test confirms into components.  After the rounds, all pairs that share a
+already in one component need no test against each other.  So each round first tests every row of a key against a few *pivots* of
+that key only and joins what the exact test confirms into components.  After the rounds, all pairs that share a
 key and lie in *different* components are tested, so no link between components is lost; most keys are then of one component and
 give no pair.  Components are those of the full link graph.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from diffspark.llm import storage
 
 
-#: Pivot rounds end when the pairs that are left are at most so many for each row, or after ``rounds``; the result is the same.
+#: Pivot rounds end when the pairs that are left are not many more than the next round would test; the result is the same.
 PAIRS_PER_ROW = 2
 
 
@@ -56,7 +56,7 @@ def connect(
     postings: DataFrame,
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     fits: Callable[[Column, Column], Column] | None = None,
-    rounds: int = 8,
+    rounds: int = 6,
 ) -> DataFrame:
     """``(id, component)`` of the rows linked with another one, from distinct ``postings (key, id, more columns)``.
 
@@ -94,21 +94,16 @@ def connect(
         now = after
 
     for turn in range(rounds):
-        # One pivot for each key, from the label with most rows there, another one in each round.
-        chance = F.xxhash64("row.id", F.lit(turn))
-        by_label = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(chance.alias("chance"), "row")).alias("first"))
-        pivots = by_label.groupBy("key").agg(
-            F.max(F.struct("n", "first.chance", "label", "first.row")).alias("pivot"),
-            F.sum("n").alias("rows"),
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
-        )
-        pivots = storage.kept(
-            pivots.select("key", F.col("pivot.label").alias("other_label"), F.col("pivot.row").alias("other"), "rows", "pairs"), "pivots"
-        )
-        left = pivots.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
-        if (left["pairs"] or 0) <= PAIRS_PER_ROW * (left["rows"] or 0):
-            storage.delete(pivots)
+        sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        left = sizes.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("within")) / 2).alias("pairs")).first()
+        if (left["pairs"] or 0) <= PAIRS_PER_ROW * 4**turn * (left["rows"] or 0):
             break
+        # Pivots of each key by chance, four times as many as in the round before, so all rounds together cost what the last does.
+        chance = F.xxhash64("row.id", F.lit(turn))
+        pivots = now.groupBy("key", F.pmod(chance, F.lit(4**turn)).alias("lot")).agg(F.min(F.struct(chance, "label", "row")).alias("pivot"))
+        pivots = pivots.select("key", F.col("pivot.label").alias("other_label"), F.col("pivot.row").alias("other"))
+        pivots = storage.kept(pivots, "pivots")
         absorb(verify(candidates(now.join(pivots, "key").where("label != other_label"))))
         storage.delete(pivots)
     others = now.select("key", F.col("row").alias("other"), F.col("label").alias("other_label"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm import bpe, chat, decontaminate, edit_counts, line_dedup, main_text, ngram_join, quality, storage, tokenfile
+from diffspark.llm import bpe, chat, decontaminate, edit_counts, line_dedup, main_text, ngram_join, pii, quality, storage, tokenfile
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -99,7 +99,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "line_no", F.col("head_id").alias("head_doc_id"), "head_line", "kept")
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base hits, and spans of the terms that disclose them."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.concat("base", "terms")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op4_disclosure": op4_disclosure,
     "op1_line_dedup": op1_line_dedup,
     "op10_crf_main_text": op10_crf_main_text,
     "op2_edit_counts": op2_edit_counts,
