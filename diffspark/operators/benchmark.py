@@ -4,29 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.constants import CROSS_DETECTOR, DETECTORS, IN_DOMAIN_TEST
 from diffspark.operators.metrics import evaluate, nan
 from diffspark.operators.ordered import require
+from diffspark.operators.splits import fold_table
 
 
-def evaluate_folds(scored: DataFrame, bucket: str | None = CROSS_DETECTOR, blocks: int | None = None) -> DataFrame:
-    """Metrics per fold over the rows of one bucket (``bucket=None``: per fold and bucket)."""
+def evaluate_folds(
+    scored: DataFrame,
+    detectors: Sequence[str] = DETECTORS,
+    bucket: str | None = CROSS_DETECTOR,
+    blocks: int | None = None,
+    fold_ids: Sequence[int] | None = None,
+) -> DataFrame:
+    """Metrics per fold over the rows of one bucket (``bucket=None``: per fold and evaluation bucket).
+
+    Every fold of ``detectors`` has its row; without frames its metrics are NaN.
+    """
     keys = ["fold_id", "test_detector"]
+    folds = fold_table(scored.sparkSession, detectors, fold_ids).select(*keys)
     if bucket is None:
-        return evaluate(scored, [*keys, "bucket"], blocks=blocks)
-    return evaluate(scored.where(F.col("bucket") == bucket), keys, blocks=blocks)
+        both = F.array(F.lit(CROSS_DETECTOR), F.lit(IN_DOMAIN_TEST))
+        evals = folds.withColumn("bucket", F.explode(both))
+        rows = scored.where(F.col("bucket").isin(CROSS_DETECTOR, IN_DOMAIN_TEST))
+        return evaluate(rows, [*keys, "bucket"], evals=evals, blocks=blocks)
+    return evaluate(scored.where(F.col("bucket") == bucket), keys, evals=folds, blocks=blocks)
 
 
-def fold_results(scored: DataFrame, blocks: int | None = None) -> DataFrame:
+def fold_results(
+    scored: DataFrame, detectors: Sequence[str] = DETECTORS, blocks: int | None = None, fold_ids: Sequence[int] | None = None
+) -> DataFrame:
     """Per fold the metrics on held-out frames (``cross_*``) and on in-domain test frames (``in_domain_*``).
 
-    Both buckets are ranked in one pass; a bucket without frames has NaN metrics.
+    Both buckets are ranked in one pass; a bucket without frames has NaN metrics, and every fold of ``detectors`` has its row.
     """
-    both = scored.where(F.col("bucket").isin(CROSS_DETECTOR, IN_DOMAIN_TEST))
-    metrics = evaluate_folds(both, None, blocks)
+    metrics = evaluate_folds(scored, detectors, None, blocks, fold_ids)
     names = ("ap", "auc_roc", "f1", "threshold")
     sides = (("cross", CROSS_DETECTOR), ("in_domain", IN_DOMAIN_TEST))
     return metrics.groupBy("fold_id", "test_detector").agg(
@@ -56,13 +71,9 @@ def one_result_per_fold(results: DataFrame, run: Sequence[str] = ("backbone", "s
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def _fold_dimension(spark: SparkSession, detectors: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(detectors, start=1)), "fold_id int, detector string")
-
-
 def missing_folds(results: DataFrame, detectors: Sequence[str] = DETECTORS) -> DataFrame:
     """Fold ids without a result."""
-    folds = _fold_dimension(results.sparkSession, detectors)
+    folds = fold_table(results.sparkSession, detectors)
     return folds.join(results.select("fold_id").distinct(), "fold_id", "left_anti").select("fold_id")
 
 
@@ -110,8 +121,11 @@ def compare_baselines(scored: DataFrame, baselines: Sequence[str], keys: Sequenc
 
 
 def _number(value: Column, width: int, digits: int) -> Column:
-    text = F.when(F.isnan(value), "nan").otherwise(F.format_string(f"%.{digits}f", value))
-    return F.lpad(text, width, " ")
+    return _right(F.when(F.isnan(value), "nan").otherwise(F.format_string(f"%.{digits}f", value)), width)
+
+
+def _right(value: Column, width: int) -> Column:
+    return F.when(F.length(value) >= width, value).otherwise(F.lpad(value, width, " "))
 
 
 def _left(value: Column, width: int) -> Column:
@@ -134,7 +148,8 @@ def results_table(
     if oracle is not None:
         header += f"  {'Oracle AP':>10}  {'Rel. Gap':>9}"
     rule = "-" * len(header)
-    folds = _fold_dimension(spark, detectors).join(results.select("fold_id", "test_detector", "ap"), "fold_id", "left")
+    folds = fold_table(spark, detectors).select("fold_id", F.col("test_detector").alias("detector"))
+    folds = folds.join(results.select("fold_id", "test_detector", "ap"), "fold_id", "left")
     folds = folds.select(
         "fold_id", F.coalesce("test_detector", "detector").alias("test_detector"), F.coalesce("ap", nan()).alias("ap")
     )
@@ -160,7 +175,7 @@ def results_table(
     mean_part = F.concat(F.lit(f"{'Mean':<8} {'':<15} "), _number(F.col("mean_ap"), 8, 4))
     spread = F.when(F.isnan("std_ap"), "nan").otherwise(F.format_string("%.4f", F.col("std_ap")))
     if oracle is not None:
-        mean_line = F.concat(mean_part, F.lit(f"  {'':>10}  "), F.lit("+/- "), spread)
+        mean_line = F.concat(mean_part, F.lit(f"  {'':>10}  "), _right(F.concat(F.lit("+/- "), spread), 9))
     else:
         mean_line = F.concat(mean_part, F.lit("  +/- "), spread)
     fixed = spark.createDataFrame([(1, header), (2, rule), (last, rule)], "line_no int, line string")

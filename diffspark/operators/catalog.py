@@ -111,9 +111,9 @@ def read_frames(requests: DataFrame, frames: DataFrame, on: Sequence[str] = ("pa
     return joined.where(require(F.col("_stored"), asked) == 1).drop("_stored")
 
 
-def first_frames(frames: DataFrame, n: int = 1, most: int = 50) -> DataFrame:
-    """The first ``min(n, most)`` frames of every file."""
-    return frames.where(F.col("frame_idx") < min(n, most))
+def first_frames(frames: DataFrame, n: int = 1) -> DataFrame:
+    """The first ``n`` frames of every file."""
+    return frames.where(F.col("frame_idx") < n)
 
 
 def attach_labels(

@@ -36,10 +36,8 @@ def require(value: Column, message: str | Column) -> Column:
 
 
 def default_blocks(spark: SparkSession) -> int:
-    """The session's shuffle partitions; in local mode no more than twice its threads."""
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sc = spark.sparkContext
-    return min(count, 2 * sc.defaultParallelism) if sc.master.startswith("local") else count
+    """The session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cut_blocks(

@@ -59,8 +59,15 @@ def smallest_keys(rows: DataFrame, key: str, ranks: Sequence[int], settle: int =
             for rank, (prefix, left, _) in done.items():
                 found[rank] = [k["k"] for k in keys if k["k"].startswith(prefix)][left - 1]
         wanted = {r: (p, left) for r, (p, left, _) in narrowed.items() if r not in done}
-        if length > 64 and wanted:
-            raise ValueError("row ids must be unique for an exact split")
+        if length > 64 and wanted:  # so many rows can only share whole keys; the one that holds the rank is read
+            for rank, (prefix, left) in wanted.items():
+                same = part.where(F.substring("k", 1, length) == prefix).groupBy("k").count().orderBy("k").toLocalIterator()
+                for row in same:
+                    left -= row["count"]
+                    if left <= 0:
+                        found[rank] = row["k"]
+                        break
+            return found
     return found
 
 
@@ -76,7 +83,12 @@ def exact_split(rows: DataFrame, row_id: str, fractions: Sequence[tuple[str, flo
     for _, fraction in fractions:
         total += int(n * fraction)
         ends.append(total)
-    cuts = smallest_keys(rows.select(key.alias("key")), "key", ends)
+    keys = rows.select(key.alias("key"))
+    cuts = smallest_keys(keys, "key", ends)
+    # A repeated id at a cut would make a part larger than asked; the count holds at every size.
+    sizes = keys.agg(*[F.count_if(F.col("key") <= F.lit(cuts[end])).alias(f"c{i}") for i, end in enumerate(ends)]).first()
+    if any(cuts[end] is not None and sizes[i] != end for i, end in enumerate(ends)):
+        raise ValueError("row ids must be unique for an exact split")
     bucket = F.lit(rest)
     for (name, _), end in reversed(list(zip(fractions, ends, strict=True))):
         if cuts[end] is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.constants import (
@@ -21,37 +21,35 @@ from diffspark.operators.ordered import BLOCK, cut_blocks, running
 BUCKETS = (TRAIN, VAL, IN_DOMAIN_TEST)
 
 
-def fold_list(detectors: Sequence[str] = DETECTORS, fold_ids: Sequence[int] | None = None) -> list[dict]:
-    """Fold definitions: id from the detector's place, the held-out detector and the others."""
-    return [
-        {"fold_id": i, "test_detector": d, "train_detectors": [o for o in detectors if o != d]}
-        for i, d in enumerate(detectors, start=1)
-        if fold_ids is None or i in fold_ids
-    ]
+def fold_column(detectors: Sequence[str] = DETECTORS, fold_ids: Sequence[int] | None = None) -> Column:
+    """All folds as one constant array of ``(fold_id, test_detector, train_detectors)``, ids from 1 by place."""
+    every = F.array(*[F.lit(d) for d in detectors])
+    folds = F.transform(
+        every,
+        lambda held, at: F.struct(
+            (at + 1).alias("fold_id"), held.alias("test_detector"), F.array_remove(every, held).alias("train_detectors")
+        ),
+    )
+    return folds if fold_ids is None else F.filter(folds, lambda f: f["fold_id"].isin(*fold_ids))
+
+
+def fold_table(spark: SparkSession, detectors: Sequence[str] = DETECTORS, fold_ids: Sequence[int] | None = None) -> DataFrame:
+    """One row per fold: ``fold_id, test_detector, train_detectors`` in the detectors' order."""
+    return spark.range(1).select(F.inline(fold_column(detectors, fold_ids)))
 
 
 def with_folds(
     rows: DataFrame, detectors: Sequence[str] = DETECTORS, fold_ids: Sequence[int] | None = None
 ) -> DataFrame:
     """Repeat every row once per fold (``fold_id, test_detector``); the fan-out is the fold count."""
-    folds = F.array(
-        *[
-            F.struct(F.lit(f["fold_id"]).alias("fold_id"), F.lit(f["test_detector"]).alias("test_detector"))
-            for f in fold_list(detectors, fold_ids)
-        ]
-    )
-    return rows.select("*", F.inline(folds))
+    return rows.select("*", F.inline(fold_column(detectors, fold_ids))).drop("train_detectors")
 
 
 def folds_without_sessions(
     session_table: DataFrame, detectors: Sequence[str] = DETECTORS, fold_ids: Sequence[int] | None = None
 ) -> DataFrame:
     """Folds whose held-out detector has no session at all."""
-    spark = session_table.sparkSession
-    wanted = spark.createDataFrame(
-        [(f["fold_id"], f["test_detector"]) for f in fold_list(detectors, fold_ids)],
-        "fold_id int, test_detector string",
-    )
+    wanted = fold_table(session_table.sparkSession, detectors, fold_ids).select("fold_id", "test_detector")
     known = session_table.select(F.col("detector").alias("test_detector")).distinct()
     return wanted.join(known, "test_detector", "left_anti")
 

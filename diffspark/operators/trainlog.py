@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from diffspark.constants import PATIENCE
 from diffspark.operators.ordered import BLOCK, cut_blocks, running
+from diffspark.session import checkpointed
 
 START = -1.0  # the value the first epoch has to beat
 
@@ -37,32 +36,35 @@ def _positions(log: DataFrame, keys, order, metric, blocks) -> DataFrame:
     return placed.withColumn("position", F.col("_earlier") + 1).drop("_earlier")
 
 
-def _accepted_with_delta(records: DataFrame, keys: Sequence[str], metric: str, min_delta: float) -> DataFrame:
+def _accepted_with_delta(records: DataFrame, keys: Sequence[str], metric: str, min_delta: float, blocks: int | None) -> DataFrame:
     """Positions of accepted improvements when an epoch must beat the accepted best by ``min_delta``.
 
-    An accepted epoch always beats every earlier one, so only strict prefix maxima (``records``)
-    can be accepted.  The accepted best depends on the chain of earlier decisions; the records of
-    a run therefore stream through one task in order, which keeps two values at a time and never
-    holds a run in memory.
+    An accepted epoch always beats every earlier one, so only strict prefix maxima (``records``) can be accepted, and they
+    rise along a run.  After one is accepted, the next is therefore the first record above its value plus ``min_delta``:
+    counting the records up to that value, in one ranked pass, names it.  The accepted ones are those reached from the
+    start by these steps, found by doubling the steps; every join key is one record, so no run is one task's work.
     """
-    schema = T.StructType([*[records.schema[k] for k in keys], T.StructField("position", T.LongType())])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, best = None, START
-        for batch in batches:
-            kept = []
-            runs = zip(*[batch[k] for k in keys], strict=True) if keys else [()] * len(batch)
-            for i, (run, value) in enumerate(zip(runs, batch[metric], strict=True)):
-                if run != current:
-                    current, best = run, START
-                if value > best + min_delta:
-                    best = value
-                    kept.append(i)
-            yield batch.iloc[kept][[*keys, "position"]]
-
-    rows = records.select(*keys, "position", metric)
-    together = rows.repartition(*keys) if keys else rows.coalesce(1)
-    return together.sortWithinPartitions(*keys, "position").mapInPandas(walk, schema)
+    own = [*[F.col(k) for k in keys], F.col("position")]
+    values = records.select(*own, F.col(metric).cast("double").alias("_v"))
+    beaten = (F.col("_v") + F.lit(min_delta)).alias("_v")
+    starts = values.select(*keys).distinct().select(
+        *[F.col(k) for k in keys], F.lit(0).cast("long").alias("position"), F.lit(START + min_delta).alias("_v")
+    )
+    rows = values.select(*own, "_v", F.lit(0).alias("_asks")).unionByName(
+        values.select(*own, beaten, F.lit(1).alias("_asks"))
+    ).unionByName(starts.withColumn("_asks", F.lit(1)))
+    order = [F.col("_v").asc(), F.col("_asks").asc(), F.col("position").asc()]
+    is_record = (F.col("_asks") == 0).cast("long")
+    ranked = checkpointed(running(cut_blocks(rows, keys, order, blocks), keys, order, {"_seen": ("sum", is_record)}))
+    at = ranked.where("_asks = 0").select(*keys, F.col("_seen").alias("_rank"), F.col("position").alias("_to"))
+    asks = ranked.where("_asks = 1").select(*own, (F.col("_seen") + 1).alias("_rank"))
+    step = checkpointed(asks.join(at, [*keys, "_rank"]).select(*own, "_to"))
+    reached = ranked.where("position = 0").select(*own)
+    while step.head(1):
+        reached = checkpointed(reached.union(reached.join(step, [*keys, "position"]).select(*keys, "_to")))
+        onward = step.select(*keys, F.col("position").alias("_to"), F.col("_to").alias("_further"))
+        step = checkpointed(step.join(onward, [*keys, "_to"]).select(*own, F.col("_further").alias("_to")))
+    return reached.where("position > 0")
 
 
 def _tracked(log, keys, order, metric, min_delta, blocks) -> DataFrame:
@@ -73,7 +75,7 @@ def _tracked(log, keys, order, metric, min_delta, blocks) -> DataFrame:
     if min_delta == 0.0:
         marked = rows.withColumn("improved", beats)
     else:
-        accepted = _accepted_with_delta(rows.where(beats), keys, metric, min_delta)
+        accepted = _accepted_with_delta(rows.where(beats), keys, metric, min_delta, blocks)
         marked = (
             rows.join(accepted.withColumn("_hit", F.lit(True)), [*keys, "position"], "left")
             .withColumn("improved", F.coalesce("_hit", F.lit(False)))

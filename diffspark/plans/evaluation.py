@@ -69,7 +69,8 @@ def lodo_results(
 ) -> DataFrame:
     """Per fold the cross-detector and in-domain metrics, all folds in one job."""
     blocks = options.pop("blocks", None)
-    return benchmark.fold_results(fold_scores(scored, detectors, ratios, **options), blocks)
+    rows = fold_scores(scored, detectors, ratios, **options)
+    return benchmark.fold_results(rows, detectors, blocks, options.get("fold_ids"))
 
 
 def lodo_table(results: DataFrame, detectors: Sequence[str] = DETECTORS, oracle: DataFrame | None = None) -> DataFrame:

@@ -71,7 +71,10 @@ def fit_folds(
         test_scores.append(_scores(models[fold, chosen], _bucket(rows, fold, CROSS_DETECTOR, IN_DOMAIN_TEST), fold, chosen))
     scored = concat_scores(test_scores)
     chosen_params = scored.groupBy("fold_id").agg(F.max("reg_param").alias("reg_param"))
-    return fold_results(scored).join(chosen_params, "fold_id")
+    detectors = {i: d for i, d in folds}
+    named = [detectors.get(i, "") for i in range(1, max(detectors) + 1)]
+    results = fold_results(scored, named, fold_ids=[i for i, _ in open_folds])
+    return results.join(chosen_params, "fold_id", "left")
 
 
 def _bucket(rows: DataFrame, fold: tuple[int, str], *names: str) -> DataFrame:

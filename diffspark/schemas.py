@@ -1,11 +1,6 @@
 """Table layouts, as DDL strings."""
 
-FILE_MANIFEST = (
-    "path string, ext string, detector string, data_key string, shape array<int>, dtype string, description string"
-)
-CONTAINER_KEYS = "path string, key string, shape array<int>, dtype string"
 FRAMES = "detector string, path string, frame_idx int, h int, w int, pixels array<float>"
-PIXELS = "frame_id long, y int, x int, v double"
 PANELS = (
     "detector string, panel string, panel_order long, n_ss int, n_fs int, fs_vec array<double>, ss_vec array<double>, "
     "t_vec array<double>, ss0 int, ss1 int, fs0 int, fs1 int, module int"
@@ -13,7 +8,6 @@ PANELS = (
 SESSIONS = "detector string, session_id string, frame_count long"
 SPLIT = "fold int, variant string, test_detector string, session_id string, bucket string"
 SPLIT_ARTIFACT = "fold int, variant string, test_detector string, splits map<string,string>"
-SCORED = "eval_id string, ordinal long, y_true int, y_score double"
 METRICS = "ap double, auc_roc double, f1 double, threshold double"
 FOLD_RESULT = (
     "fold_id int, test_detector string, "

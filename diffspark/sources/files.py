@@ -69,8 +69,8 @@ def read_split_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_map_entries(texts: DataFrame, text: str = "value", keys: Sequence[str] = ()) -> DataFrame:
-    """JSON objects ``{path: label}`` to rows ``(keys..., path, label)``."""
-    parsed = F.from_json(text, "map<string,int>")
+    """JSON objects ``{path: label}`` to rows ``(keys..., path, label)``; a malformed object or label fails the job."""
+    parsed = F.from_json(text, "map<string,int>", {"mode": "FAILFAST"})
     return texts.select(*keys, F.explode(parsed).alias("path", "label"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diffspark.constants import GEOMETRY_NAMES, JUNGFRAU_DISTANCE
 from diffspark.operators.geometry import set_distance
+from diffspark.operators.ordered import require
 from diffspark.sources.files import read_lines
 
 _NUMBER = r"([+-]?\s*(?:\d+\.?\d*|\.\d+)?(?:[eE][+-]?\d+)?)\s*"
@@ -81,10 +82,13 @@ def panels_from_entries(entries: DataFrame, order: str, detector: str = "detecto
     def number(key: str) -> Column:
         return F.coalesce(key, f"_all_{key}") if key in _SHARED else F.col(key)
 
+    def required(value: Column, key: str) -> Column:
+        return require(value, F.concat_ws(" ", F.lit(f"no usable {key} for panel"), detector, "panel"))
+
     def place(key: str) -> Column:
-        return F.col(key).cast("int")
+        return required(F.col(key).cast("int"), key)
 
-    pixel = 1.0 / number("res")
+    pixel = 1.0 / required(number("res"), "res")
     depth = F.coalesce(number("clen"), F.lit(0.0)) + F.coalesce(number("coffset"), F.lit(0.0))
     return rows.select(
         detector,
@@ -92,8 +96,8 @@ def panels_from_entries(entries: DataFrame, order: str, detector: str = "detecto
         "panel_order",
         (place("max_ss") - place("min_ss") + 1).alias("n_ss"),
         (place("max_fs") - place("min_fs") + 1).alias("n_fs"),
-        *[F.array(*[F.col(f"{v}_{a}") * pixel for a in "xyz"]).alias(f"{v}_vec") for v in ("fs", "ss")],
-        F.array(F.col("corner_x") * pixel, F.col("corner_y") * pixel, depth).alias("t_vec"),
+        *[F.array(*[required(F.col(f"{v}_{a}"), v) * pixel for a in "xyz"]).alias(f"{v}_vec") for v in ("fs", "ss")],
+        F.array(*[required(F.col(c), c) * pixel for c in ("corner_x", "corner_y")], depth).alias("t_vec"),
         place("min_ss").alias("ss0"),
         (place("max_ss") + 1).alias("ss1"),
         place("min_fs").alias("fs0"),
@@ -116,8 +120,11 @@ _JSON_PANEL = (
 
 
 def panels_from_json(texts: DataFrame, text: str = "value", detector: str = "detector") -> DataFrame:
-    """Panel rows from JSON arrays of panel objects with parent slices ``[[ss0, ss1, _], [fs0, fs1, _]]``."""
-    parsed = F.from_json(text, f"array<struct<{_JSON_PANEL.replace(' array', ':array').replace(' string', ':string').replace(' int', ':int')}>>")
+    """Panel rows from JSON arrays of panel objects with parent slices ``[[ss0, ss1, _], [fs0, fs1, _]]``.
+
+    A malformed document fails the job.
+    """
+    parsed = F.from_json(text, f"array<struct<{_JSON_PANEL.replace(' array', ':array').replace(' string', ':string').replace(' int', ':int')}>>", {"mode": "FAILFAST"})
     rows = texts.select(detector, F.posexplode(parsed).alias("panel_order", "p"))
     cut = lambda i, j: F.get(F.get(F.col("p.parent_data_slice"), F.lit(i)), F.lit(j))
     return rows.select(

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.functions.paths import run_parts
-from diffspark.schemas import EPOCH_LOG, FOLD_RESULT, SPLIT_ARTIFACT
-
-SESSIONS_PER_ARTIFACT = 10_000
+from diffspark.schemas import EPOCH_LOG, FOLD_RESULT, SPLIT, SPLIT_ARTIFACT
 
 
 def write_frames(frames: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet, one row per frame, partitioned by detector and sorted by ``(path, frame_idx)``.
+    """Parquet, one row per frame, partitioned by detector, cut into ranges of ``(path, frame_idx)`` and sorted in them.
 
-    Sorted row groups of a few frames let a read of one frame skip the others.
+    The ranges spread a large detector over many files and do not overlap, so a read of one frame opens one file.
     """
     (
-        frames.sortWithinPartitions("detector", "path", "frame_idx")
+        frames.repartitionByRange("detector", "path", "frame_idx")
+        .sortWithinPartitions("detector", "path", "frame_idx")
         .write.mode(mode)
         .option("parquet.block.size", str(64 * 1024 * 1024))
         .option("compression", "gzip")
@@ -31,16 +30,12 @@ def read_frame_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def pack_split(split: DataFrame, sessions_per_row: int = SESSIONS_PER_ARTIFACT) -> DataFrame:
-    """Splits as artifact rows ``(fold, variant, test_detector, splits map)``.
+def pack_split(split: DataFrame) -> DataFrame:
+    """Splits as artifact rows ``(fold, variant, test_detector, splits map)``, one per fold and variant.
 
-    A fold of up to ``sessions_per_row`` sessions is one row; larger folds become several rows of
-    about that size, so no task has to hold all sessions of a fold.
+    This is the exchange form of single-machine tools, which read a whole fold as one object; splits are stored as rows.
     """
-    sizes = split.groupBy("fold_id").agg(F.ceil(F.count(F.lit(1)) / sessions_per_row).alias("_parts"))
-    part = F.pmod(F.xxhash64("session_id"), F.col("_parts"))
-    rows = split.join(F.broadcast(sizes), "fold_id").withColumn("_part", part)  # one row per fold
-    packed = rows.groupBy("fold_id", "variant", "test_detector", "_part").agg(
+    packed = split.groupBy("fold_id", "variant", "test_detector").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("session_id", "bucket")))).alias("splits")
     )
     return packed.select(F.col("fold_id").cast("int").alias("fold"), "variant", "test_detector", "splits")
@@ -54,15 +49,16 @@ def unpack_split(artifacts: DataFrame) -> DataFrame:
 
 
 def write_split(split: DataFrame, path: str) -> None:
-    """Split artifacts as JSON below ``path``, one folder per fold; parents are created."""
-    packed = pack_split(split).withColumn("_fold", F.col("fold"))
-    packed.write.mode("overwrite").partitionBy("_fold").option("ignoreNullFields", "false").json(path)
+    """Splits as JSON rows ``(fold, variant, test_detector, session_id, bucket)`` below ``path``, at every size."""
+    rows = split.select(F.col("fold_id").cast("int").alias("fold"), "variant", "test_detector", "session_id", "bucket")
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """Split artifacts written by :func:`write_split`, or single JSON files of the same fields."""
-    reader = spark.read.schema(SPLIT_ARTIFACT).option("multiLine", "false" if not path.endswith(".json") else "true")
-    return unpack_split(reader.json(path).select("fold", "variant", "test_detector", "splits"))
+    """Splits written by :func:`write_split`, or a single ``.json`` file of one artifact object."""
+    if path.endswith(".json"):
+        return unpack_split(spark.read.schema(SPLIT_ARTIFACT).option("multiLine", "true").option("mode", "FAILFAST").json(path))
+    return spark.read.schema(SPLIT).option("mode", "FAILFAST").json(path).withColumnRenamed("fold", "fold_id")
 
 
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:

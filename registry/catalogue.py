@@ -176,15 +176,14 @@ def description_lookup(spark, d):
 
 
 _PATH_SQL = """f AS (
-  SELECT page_id, 'http://' || split_part(split_part(url, '?', 1), '#', 1)
+  SELECT page_id, 'http://' || url
     || CASE page_id % 5 WHEN 0 THEN '.h5' WHEN 1 THEN '.CXI' WHEN 2 THEN '.part.img' WHEN 3 THEN '.tiff' ELSE '' END AS path FROM pages
 ), n AS (SELECT page_id, path, regexp_extract(path, '([^/]*)/*$', 1) AS name FROM f)"""
 
 
 def _page_paths(spark, d):
-    bare = F.regexp_replace("url", r"[?#].*$", "")
     ends = F.element_at(F.array(*[F.lit(e) for e in (".h5", ".CXI", ".part.img", ".tiff", "")]), (F.col("page_id") % 5 + 1).cast("int"))
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("http://"), bare, ends).alias("path"))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("http://"), F.col("url"), ends).alias("path"))
 
 
 @query(

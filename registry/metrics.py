@@ -152,25 +152,28 @@ def confusion_at_threshold(spark, d):
 
 
 @query(
-    f"""SELECT vec_id,
-  {q6('1 / (1 + exp(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE)))')} AS softmax_score,
-  {q6('1 / (1 + exp(-CAST(embedding[1] AS DOUBLE)))')} AS sigmoid_score FROM embeddings"""
+    f"""WITH p AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+l AS (SELECT vec_id, sum(CAST(v AS DOUBLE) * (i % 3 - 1)) AS a, sum(CAST(v AS DOUBLE) * (i % 5 - 2)) AS b FROM p GROUP BY vec_id)
+SELECT vec_id, {q6('1 / (1 + exp(a - b))')} AS softmax_score, {q6('1 / (1 + exp(-a))')} AS sigmoid_score FROM l"""
 )
 def logit_scores(spark, d):
-    e = table(spark, d, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double"))
+    def logit(every: int, less: int):
+        terms = F.transform("embedding", lambda v, i: v.cast("double") * (i % every - less))
+        return F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+
+    e = table(spark, d, "embeddings").select("vec_id", logit(3, 1).alias("a"), logit(5, 2).alias("b"))
     return e.select(
-        "vec_id", r6(hit_score(logits)).alias("softmax_score"), r6(hit_score(F.slice(logits, 1, 1))).alias("sigmoid_score")
+        "vec_id", r6(hit_score(F.array("a", "b"))).alias("softmax_score"), r6(hit_score(F.array("a"))).alias("sigmoid_score")
     )
 
 
 @query(
-    f"""WITH l AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, label % 2 AS y FROM embeddings)
-SELECT vec_id, {q6('ln(exp(a) + exp(b)) - CASE WHEN y = 1 THEN b ELSE a END')} AS loss FROM l"""
+    f"""WITH p AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT vec_id, {q6('ln(sum(exp(CAST(v AS DOUBLE)))) - max(CASE WHEN i = label THEN CAST(v AS DOUBLE) END)')} AS loss FROM p GROUP BY vec_id"""
 )
 def cross_entropy_rows(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", r6(cross_entropy(F.slice("embedding", 1, 2), F.col("label") % 2)).alias("loss"))
+    return e.select("vec_id", r6(cross_entropy(F.col("embedding"), F.col("label"))).alias("loss"))
 
 
 def _linear_model():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diffspark.constants import CROSS_DETECTOR, IN_DOMAIN_TEST, TRAIN
+from diffspark.constants import CROSS_DETECTOR, IN_DOMAIN_TEST
 from diffspark.operators import benchmark as B
 from diffspark.operators.metrics import evaluate
 from diffspark.plans import evaluation
@@ -68,7 +68,7 @@ def _fold_scores(spark, d):
 
 
 def _results(spark, d):
-    return B.fold_results(_fold_scores(spark, d))
+    return B.fold_results(_fold_scores(spark, d), LANGS)
 
 
 def _by_language(spark, d):
@@ -104,7 +104,17 @@ def lodo_report(spark, d):
 WHERE bucket = '{CROSS_DETECTOR}'"""
 )
 def fold_metrics(spark, d):
-    return rounded(B.evaluate_folds(_fold_scores(spark, d)), *ALL)
+    return rounded(B.evaluate_folds(_fold_scores(spark, d), LANGS), *ALL)
+
+
+@query(
+    f"""WITH {_FOLD_SCORES} SELECT fold_id, test_detector, n, n_pos, {', '.join(f'{q6(c)} AS {c}' for c in ALL)} FROM metrics
+WHERE bucket = '{CROSS_DETECTOR}'
+UNION ALL SELECT 5, 'xx', 0, 0, {', '.join(["CAST('NaN' AS DOUBLE)"] * len(ALL))}"""
+)
+def fold_metrics_without_frames(spark, d):
+    """A detector without documents keeps its fold, with NaN metrics."""
+    return rounded(B.evaluate_folds(_fold_scores(spark, d), (*LANGS, "xx")), *ALL)
 
 
 def _table_sql(lines):
@@ -146,6 +156,25 @@ def oracle_results_table(spark, d):
     return B.results_table(r, B.summarise_folds(r), _oracle(spark), LANGS)
 
 
+@query(
+    "WITH "
+    + _LANG_SQL
+    + ", one AS (SELECT ap, (CAST('0.0001' AS DOUBLE) - ap) / CAST('0.0001' AS DOUBLE) * 100 AS gap FROM r WHERE fold_id = 1) "
+    + _table_sql(
+        """SELECT 1 AS line_no, printf('%-8s %-15s %8s  %10s  %9s', 'Fold', 'Detector', 'AP', 'Oracle AP', 'Rel. Gap') AS line
+  UNION ALL SELECT 2, repeat('-', 56) UNION ALL SELECT 7, repeat('-', 56)
+  UNION ALL SELECT 3, printf('%-8s %-15s %8.4f  %10.4f  %8.1f', 'fold_1', 'en', ap, 0.0001, gap) || '%' FROM one
+  UNION ALL SELECT k + 2, printf('%-8s %-15s %8s  %10s  %9s', 'fold_' || k, x, 'nan', 'N/A', 'N/A') FROM (VALUES (2, 'fr'), (3, 'de'), (4, 'es')) v(k, x)
+  UNION ALL SELECT 8, printf('%-8s %-15s %8.4f  %10s  %9s', 'Mean', '', ap, '', '+/- nan') FROM one"""
+    )
+)
+def oracle_results_table_single(spark, d):
+    """One fold only: no deviation, and a gap wider than its field."""
+    r = _by_language(spark, d).where("fold_id = 1")
+    oracle = spark.createDataFrame([("en", 0.0001)], "test_detector string, oracle_ap double")
+    return B.results_table(r, B.summarise_folds(r), oracle, LANGS)
+
+
 @query(f"WITH {_LANG_SQL} SELECT count(*) AS folds, {q6('avg(ap)')} AS mean_ap, {q6('stddev_samp(ap)')} AS std_ap FROM r")
 def fold_summary(spark, d):
     return rounded(B.summarise_folds(_by_language(spark, d)), "mean_ap", "std_ap")
@@ -205,16 +234,19 @@ def baseline_comparison(spark, d):
 
 
 @query(
-    f"""WITH {_FOLD_SCORES}
-SELECT a.fold_id, {q6('a.ap')} AS ap_strict, {q6('b.ap')} AS ap_semi, {q6('b.ap - a.ap')} AS difference
-FROM metrics a JOIN metrics b ON a.fold_id = b.fold_id
-WHERE a.bucket = '{CROSS_DETECTOR}' AND b.bucket = '{IN_DOMAIN_TEST}'"""
+    f"""WITH {SPLIT_SQL}{SCORED_SQL[SCORED_SQL.index("scored AS") - 2 :]},
+held AS (SELECT fold_id, ordinal, y, s FROM scored JOIN split USING (session_id) WHERE bucket = '{CROSS_DETECTOR}'),
+variants AS (SELECT 'fine' AS variant, * FROM held UNION ALL SELECT 'coarse', fold_id, ordinal, y, floor(s * 4) FROM held),
+{metric_ctes('fold_id, variant', 'variants')}
+SELECT a.fold_id, {q6('a.ap')} AS ap_fine, {q6('b.ap')} AS ap_coarse, {q6('b.ap - a.ap')} AS difference
+FROM metrics a JOIN metrics b ON a.fold_id = b.fold_id WHERE a.variant = 'fine' AND b.variant = 'coarse'"""
 )
 def head_to_head(spark, d):
-    metrics = B.evaluate_folds(_fold_scores(spark, d), None)
-    first = metrics.where(F.col("bucket") == CROSS_DETECTOR)
-    second = metrics.where(F.col("bucket") == IN_DOMAIN_TEST)
-    return rounded(B.head_to_head(first, second), "ap_strict", "ap_semi", "difference")
+    """Two score definitions on the same held-out frames."""
+    rows = _fold_scores(spark, d)
+    coarse = rows.withColumn("y_score", F.floor(F.col("y_score") * 4).cast("double"))
+    both = B.head_to_head(B.evaluate_folds(rows, LANGS), B.evaluate_folds(coarse, LANGS), ("fine", "coarse"))
+    return rounded(both, "ap_fine", "ap_coarse", "difference")
 
 
 @query(
@@ -230,7 +262,7 @@ def results_json_round_trip(spark, d):
 
 @query(
     f"""WITH {SPLIT_SQL} SELECT fold_id, bucket, count(*) AS frames, count(quality) AS labelled, count(*) FILTER (WHERE quality = 1) AS hits
-FROM frames LEFT JOIN labels USING (doc_id) JOIN split USING (session_id) WHERE bucket <> '{TRAIN}' GROUP BY fold_id, bucket"""
+FROM frames LEFT JOIN labels USING (doc_id) JOIN split USING (session_id) GROUP BY fold_id, bucket"""
 )
 def bucket_label_balance(spark, d):
     from diffspark.operators import splits
@@ -238,7 +270,7 @@ def bucket_label_balance(spark, d):
 
     y = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = frames(spark, d).join(y, "doc_id", "left")
-    split = splits.session_split(_sessions(spark, d), LANGS).where(F.col("bucket") != TRAIN)
+    split = splits.session_split(_sessions(spark, d), LANGS)
     return splits.frames_of_split(rows, split).groupBy("fold_id", "bucket").agg(
         F.count(F.lit(1)).alias("frames"), F.count("label").alias("labelled"), F.count_if(F.col("label") == 1).alias("hits")
     )

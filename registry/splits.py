@@ -60,20 +60,17 @@ def _split(spark, d, **options):
 @query(
     f"""WITH {FRAMES_SQL}, {FOLDS_SQL}, s AS (SELECT DISTINCT detector, session_id FROM frames)
 SELECT fold_id, test_detector, count(*) FILTER (WHERE detector = test_detector) AS held_out,
-  count(*) FILTER (WHERE detector <> test_detector) AS train_pool, count(DISTINCT detector) - 1 AS train_detectors
+  count(*) FILTER (WHERE detector <> test_detector) AS train_pool,
+  array_to_string(list_filter(['en', 'fr', 'de', 'es'], lambda x: x <> test_detector), ',') AS train_detectors
 FROM folds, s GROUP BY ALL"""
 )
 def lodo_folds(spark, d):
     held = F.col("detector") == F.col("test_detector")
-    return (
-        splits.with_folds(_sessions(spark, d), LANGS)
-        .groupBy("fold_id", "test_detector")
-        .agg(
-            F.count_if(held).alias("held_out"),
-            F.count_if(~held).alias("train_pool"),
-            (F.count_distinct("detector") - 1).alias("train_detectors"),
-        )
+    counts = splits.with_folds(_sessions(spark, d), LANGS).groupBy("fold_id", "test_detector").agg(
+        F.count_if(held).alias("held_out"), F.count_if(~held).alias("train_pool")
     )
+    folds = splits.fold_table(spark, LANGS).select("fold_id", F.array_join("train_detectors", ",").alias("train_detectors"))
+    return counts.join(folds, "fold_id")
 
 
 @query(
@@ -103,10 +100,11 @@ def session_split_chosen_folds(spark, d):
   SELECT fold_id, detector, bucket,
     row_number() OVER (PARTITION BY fold_id, detector ORDER BY r * CAST(n AS DOUBLE) - CAST(k - 1 AS DOUBLE) DESC, b) AS k FROM strat, shares
 )
-SELECT fold_id, detector, session_id, bucket FROM strat JOIN st USING (fold_id, detector, k)"""
+SELECT fold_id, detector, session_id, bucket FROM strat JOIN st USING (fold_id, detector, k)
+UNION ALL SELECT fold_id, detector, session_id, 'cross_detector_eval' FROM folds, sessions WHERE detector = test_detector"""
 )
 def session_split_stratified(spark, d):
-    done = _split(spark, d, stratify_by=("detector",)).where("bucket <> 'cross_detector_eval'")
+    done = _split(spark, d, stratify_by=("detector",))
     return done.select("fold_id", "detector", "session_id", "bucket")
 
 
@@ -120,19 +118,19 @@ def split_share(spark, d):
 
 
 @query(
-    f"""WITH {SPLIT_SQL}, lost AS (SELECT fold_id, lower(session_id) AS session_id, bucket FROM split WHERE session_id LIKE '%1%'
+    f"""WITH {SPLIT_SQL}, lost AS (SELECT fold_id, session_id, bucket FROM split
   UNION ALL SELECT fold_id, session_id, 'val' FROM split WHERE session_id LIKE '%11%')
 SELECT fold_id, session_id, min(bucket) AS first_bucket, max(bucket) AS last_bucket FROM lost GROUP BY ALL HAVING min(bucket) <> max(bucket)"""
 )
 def split_leak_check(spark, d):
-    parts = _split(spark, d).where("session_id LIKE '%1%'").select("fold_id", "session_id", "bucket")
+    parts = _split(spark, d).select("fold_id", "session_id", "bucket")
     wrong = parts.where("session_id LIKE '%11%'").withColumn("bucket", F.lit("val"))
     return splits.split_leaks(parts.unionByName(wrong))
 
 
 @query(f"WITH {SPLIT_SQL} SELECT fold_id, 'strict_lodo' AS variant, test_detector, session_id, bucket FROM split")
 def split_artifact_maps(spark, d):
-    return tables.unpack_split(tables.pack_split(_split(spark, d), sessions_per_row=20))
+    return tables.unpack_split(tables.pack_split(_split(spark, d)))
 
 
 @query(f"WITH {SPLIT_SQL} SELECT doc_id, fold_id, test_detector, bucket FROM frames JOIN split USING (session_id) WHERE bucket IN ('val', 'in_domain_test')")
@@ -144,12 +142,12 @@ def frames_of_split(spark, d):
 @query(
     f"""WITH {SPLIT_SQL}
 SELECT doc_id, fold_id, bucket, CASE WHEN bucket = 'train' THEN quality END AS label
-FROM frames JOIN labels USING (doc_id) JOIN split USING (session_id) WHERE bucket IN ('train', 'cross_detector_eval')"""
+FROM frames LEFT JOIN labels USING (doc_id) JOIN split USING (session_id) WHERE bucket IN ('train', 'cross_detector_eval')"""
 )
 def semi_supervised_union(spark, d):
     y = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
     split = _split(spark, d, variant=SEMI_SUPERVISED_VARIANT)
-    rows = splits.semi_supervised_frames(frames(spark, d).join(y, "doc_id"), split)
+    rows = splits.semi_supervised_frames(frames(spark, d).join(y, "doc_id", "left"), split)
     return rows.select("doc_id", "fold_id", "bucket", "label")
 
 

@@ -72,9 +72,9 @@ def test_one_result_per_run(spark):
 def test_in_domain_and_cross_results(spark):
     rows = [(1, "A", b, i, i % 2, 0.9 if i % 2 else 0.1) for b in ("cross_detector_eval", "train") for i in range(6)]
     df = spark.createDataFrame(rows, "fold_id int, test_detector string, bucket string, ordinal long, y_true int, y_score double")
-    row = B.fold_results(df).first()
+    row = B.fold_results(df, ("A", "B")).orderBy("fold_id").first()
     assert row["cross_ap"] == 1.0 and math.isnan(row["in_domain_ap"])
-    assert B.evaluate_folds(df).first()["n"] == 6
+    assert [r["n"] for r in B.evaluate_folds(df, ("A", "B")).orderBy("fold_id").collect()] == [6, 0]
 
 
 def fitted_inputs(spark):

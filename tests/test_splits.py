@@ -53,11 +53,11 @@ def test_stratified_split_covers_every_detector(spark):
     assert seen == 12
 
 
-def test_fold_definitions():
-    folds = splits.fold_list()
+def test_fold_definitions(spark):
+    folds = splits.fold_table(spark).orderBy("fold_id").collect()
     assert [f["fold_id"] for f in folds] == [1, 2, 3, 4]
     assert all(f["test_detector"] not in f["train_detectors"] and len(f["train_detectors"]) == 3 for f in folds)
-    assert [f["test_detector"] for f in splits.fold_list(fold_ids=[2, 4])] == ["JUNGFRAU_4M", "Eiger4M"]
+    assert [f["test_detector"] for f in splits.fold_table(spark, fold_ids=[2, 4]).orderBy("fold_id").collect()] == ["JUNGFRAU_4M", "Eiger4M"]
 
 
 def test_fold_guard(spark):
