@@ -45,10 +45,15 @@ def display_range(pixels: Column, vmax: float | None = None) -> Column:
 
     Without a positive pixel the range is (0, 1).
     """
-    lit = F.array_sort(F.filter(doubles(pixels), lambda v: (v > 0) & ~F.isnan(v)))
-    low = F.greatest(F.lit(0.0), F.coalesce(percentile(lit, 0.01), F.lit(0.0)))
-    high = F.coalesce(percentile(lit, 0.999), F.lit(1.0)) if vmax is None else F.lit(float(vmax))
-    return F.struct(low.alias("vmin"), high.alias("vmax"))
+    lit = F.sort_array(F.filter(doubles(pixels), lambda v: (v > 0) & ~F.isnan(v)))
+
+    def limits(ascending: Column) -> Column:
+        low = F.greatest(F.lit(0.0), F.coalesce(percentile(ascending, 0.01), F.lit(0.0)))
+        high = F.coalesce(percentile(ascending, 0.999), F.lit(1.0)) if vmax is None else F.lit(float(vmax))
+        return F.struct(low.alias("vmin"), high.alias("vmax"))
+
+    # A function's argument is evaluated once, however often its body names it; so the array is sorted once.
+    return F.get(F.transform(F.array(lit), limits), F.lit(0))
 
 
 def frame_count(shape: Column, native_ndim: Column | None = None) -> Column:

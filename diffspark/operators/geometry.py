@@ -122,7 +122,7 @@ def assemble_frames(frames: DataFrame, lists: DataFrame, pixels: str = "pixels")
     The lists are broadcast after their size is measured (see ``lookup``).  A frame of a detector
     without geometry keeps its pixels and shape.
     """
-    joined = lookup(frames, lists, ["detector"], "left", weight=F.size("sources"))
+    joined = lookup(frames, lists, ["detector"], "left")
     known = F.col("sources").isNotNull()
     return joined.withColumns(
         {

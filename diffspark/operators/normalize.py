@@ -19,37 +19,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffspark.constants import GCN_EPSILON, LCN_EPSILON, LCN_WINDOW, TARGET_SIZE
-from diffspark.functions.arrays import doubles, mean, population_std
 from diffspark.operators.axis_weights import box_matrix, nonzero, reflect_edge, resize_matrix, window_span
 
 _PIXELS_AT_ONCE = 2_000_000  # bounds the working arrays of one task to 16 MB each
-_SMALL_SIDE = 64  # sides up to this use the box matrix, larger ones running slices
 
 
 # ---------------------------------------------------------------- one row per frame
 
 
 def gcn_frames(frames: DataFrame, pixels: str = "pixels", eps: float = GCN_EPSILON) -> DataFrame:
-    """``(v - mean) / (population std + eps)`` per frame, as column expressions on the array."""
-    staged = frames.withColumn("_mu", mean(F.col(pixels)))
-    staged = staged.withColumn("_sd", population_std(F.col(pixels), F.col("_mu")) + F.lit(eps))
-    scaled = F.zip_with(
-        doubles(F.col(pixels)), F.array_repeat(F.struct("_mu", "_sd"), F.size(pixels)), lambda v, s: (v - s["_mu"]) / s["_sd"]
-    )
-    return staged.withColumn(pixels, scaled).drop("_mu", "_sd")
+    """``(v - mean) / (population std + eps)`` per frame ``(..., h, w, pixels)``, in doubles."""
+    return normalize_frames(frames, size=None, pixels=pixels, lcn=False, gcn_eps=eps, double=True)
 
 
 def _gcn(images: np.ndarray, eps: float) -> np.ndarray:
-    mu = images.mean(axis=(1, 2), keepdims=True)
-    return (images - mu) / (images.std(axis=(1, 2), keepdims=True) + eps)
+    flat = images.reshape(len(images), -1)
+    centred = flat - flat.mean(axis=1)[:, None]
+    spread = np.sqrt(np.einsum("ij,ij->i", centred, centred) / flat.shape[1])
+    centred /= (spread + eps)[:, None]
+    return centred.reshape(images.shape)
 
 
-def _box_mean(images: np.ndarray, window: int) -> np.ndarray:
-    _, h, w = images.shape
-    if max(h, w) <= _SMALL_SIDE:
-        return box_matrix(h, window) @ images @ box_matrix(w, window).T
+def _box_means(images: np.ndarray, window: int) -> np.ndarray:
+    """Mean of the window around each pixel, reflected at the edges; one axis after the other."""
     before, after = window_span(window)
-    for axis, n in ((1, h), (2, w)):
+    for axis in (1, 2):
+        n = images.shape[axis]
         padded = np.take(images, reflect_edge(np.arange(-before, n + after), n), axis=axis)
         images = _window_sums(padded, n, window, axis) / window
     return images
@@ -75,9 +70,11 @@ def _window_sums(padded: np.ndarray, n: int, window: int, axis: int) -> np.ndarr
 
 
 def _lcn(images: np.ndarray, window: int, eps: float) -> np.ndarray:
-    local = _box_mean(images, window)
-    variance = np.maximum(_box_mean(images**2, window) - local**2, 0.0)
-    return (images - local) / (np.sqrt(variance) + eps)
+    """Both local moments come from one box pass over the images and their squares side by side."""
+    first, second = np.split(_box_means(np.concatenate([images, images * images]), window), 2)
+    second -= first * first
+    np.maximum(second, 0.0, out=second)
+    return (images - first) / (np.sqrt(second) + eps)
 
 
 def _resize(images: np.ndarray, size: tuple[int, int]) -> np.ndarray:
@@ -91,19 +88,22 @@ def normalize_frames(
     window: int = LCN_WINDOW,
     pixels: str = "pixels",
     window_column: str | None = None,
+    windows: Sequence[int] | None = None,
     gcn: bool = True,
     lcn: bool = True,
     gcn_eps: float = GCN_EPSILON,
     lcn_eps: float = LCN_EPSILON,
     assembly: Mapping[str, tuple[int, np.ndarray]] | None = None,
     assemble_as: str | None = None,
+    double: bool = False,
 ) -> DataFrame:
     """GCN, LCN and resize of frames ``(..., h, w, pixels)``; other columns pass through.
 
     ``size=None`` keeps the frame size.  ``window_column`` takes the LCN window from the row.
     ``assembly`` maps names to ``(side, sources)``; a frame whose ``assemble_as`` column holds such
     a name is first placed on that square image (``sources`` as in ``geometry.assembly_lists``).
-    Output pixels are float32.
+    ``windows`` gives every frame once per LCN window, with the window in ``lcn_window``; the work before LCN is done once.
+    Output pixels are float32, or float64 with ``double``.
     """
     carried = [c for c in frames.columns if c not in ("h", "w", pixels, assemble_as)]
     shared = frames.sparkSession.sparkContext.broadcast(dict(assembly)) if assembly else None
@@ -112,18 +112,17 @@ def normalize_frames(
         + [
             T.StructField("h", T.IntegerType()),
             T.StructField("w", T.IntegerType()),
-            T.StructField(pixels, T.ArrayType(T.FloatType())),
+            T.StructField(pixels, T.ArrayType(T.DoubleType() if double else T.FloatType())),
         ]
+        + ([T.StructField("lcn_window", T.IntegerType())] if windows is not None else [])
     )
 
-    def transform(images: np.ndarray, win: int) -> np.ndarray:
+    def transform(images: np.ndarray, wins: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
         if gcn:
             images = _gcn(images, gcn_eps)
-        if lcn:
-            images = _lcn(images, win, lcn_eps)
-        if size is not None:
-            images = _resize(images, size)
-        return images
+        for win in wins:
+            out = _lcn(images, win, lcn_eps) if lcn else images
+            yield win, (out if size is None else _resize(out, size)).astype(np.float64 if double else np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,16 +155,18 @@ def normalize_frames(
                         images = np.stack(taken).reshape(len(part), h, w)
                     else:  # source -1 picks the appended zero
                         images = np.stack([np.append(t, 0)[sources] for t in taken]).reshape(len(part), side, side)
-                    out = transform(images.astype(np.float64), int(win)).astype(np.float32)
-                    area = out.shape[1] * out.shape[2]
-                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * area)
-                    columns = [batch.column(c).take(pa.array(part)) for c in carried]
-                    columns += [
-                        pa.array(np.full(len(part), out.shape[1], dtype=np.int32)),
-                        pa.array(np.full(len(part), out.shape[2], dtype=np.int32)),
-                        pa.ListArray.from_arrays(offsets, pa.array(out.ravel())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*carried, "h", "w", pixels])
+                    for used, out in transform(images.astype(np.float64), windows or [int(win)]):
+                        area = out.shape[1] * out.shape[2]
+                        offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * area)
+                        columns = [batch.column(c).take(pa.array(part)) for c in carried]
+                        columns += [
+                            pa.array(np.full(len(part), out.shape[1], dtype=np.int32)),
+                            pa.array(np.full(len(part), out.shape[2], dtype=np.int32)),
+                            pa.ListArray.from_arrays(offsets, pa.array(out.ravel())),
+                        ]
+                        if windows is not None:
+                            columns.append(pa.array(np.full(len(part), used, dtype=np.int32)))
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     inputs = [*carried, "h", "w", pixels, *([assemble_as] if shared else [])]
     return frames.select(*inputs).mapInArrow(run, schema)

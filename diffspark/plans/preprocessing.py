@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from diffspark.constants import AGIPD_MODULE_SS, LCN_WINDOW, LCN_WINDOWS_COMPARED, TARGET_SIZE
 from diffspark.functions.arrays import all_finite
 from diffspark.operators import catalog, geometry
-from diffspark.operators.lookup import BROADCAST_UNITS
+from diffspark.operators.lookup import BROADCAST_BYTES
 from diffspark.operators.normalize import normalize_frames
 from diffspark.session import checkpointed
 
@@ -37,7 +37,7 @@ def assembly_arrays(lists: DataFrame) -> dict[str, tuple[int, np.ndarray]] | Non
     Their size is measured first; it is one number per image cell and detector type.
     """
     cells = lists.agg(F.sum(F.size("sources").cast("long")).alias("n")).first()["n"] or 0
-    if cells > BROADCAST_UNITS:
+    if 4 * cells > BROADCAST_BYTES:
         return None
     found = lists.select("detector", "side", "sources").toArrow()
     rows = zip(found["detector"].to_pylist(), found["side"].to_pylist(), found["sources"], strict=True)
@@ -100,8 +100,7 @@ def window_sweep(
     size: tuple[int, int] | None = TARGET_SIZE,
 ) -> DataFrame:
     """Every frame normalised with every LCN window: adds ``lcn_window``."""
-    every = F.explode(F.array(*[F.lit(int(w)) for w in windows]))
-    return normalize_frames(frames.withColumn("lcn_window", every), size, window_column="lcn_window")
+    return normalize_frames(frames, size, windows=[int(w) for w in windows])
 
 
 def shared_scale(images: DataFrame, by: Sequence[str], pixels: str = "pixels") -> DataFrame:

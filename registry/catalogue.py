@@ -56,8 +56,7 @@ def session_rollup(spark, d):
 def label_strict_join(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     y = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    covered = docs.join(y.select("doc_id"), "doc_id", "left_semi")
-    return catalog.attach_labels(covered, y, ("doc_id",), strict=True)
+    return catalog.attach_labels(y, docs, ("doc_id",), label="n_chars", strict=True).select("doc_id", "n_chars", "label")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -159,9 +158,8 @@ def key_audit(spark, d):
 def key_listing(spark, d):
     key = F.when(F.col("url").contains("/en/"), EXPECTED_KEY).otherwise(F.col("url"))
     pages = table(spark, d, "pages").select("page_id", "url", key.alias("key"))
-    flagged = catalog.key_listing(pages).select("page_id", "expected")
-    depths = catalog.key_listing(pages, "url").select("page_id", F.col("depth").cast("long").alias("depth"))
-    return depths.join(flagged, "page_id")
+    depth = paths.key_depth(F.col("url")).cast("long").alias("depth")
+    return catalog.key_listing(pages).select("page_id", depth, "expected")
 
 
 @query(
@@ -284,7 +282,6 @@ def frame_preview(spark, d):
 def frame_requests(spark, d):
     asked = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     known = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
-    asked = asked.join(known.select("l_orderkey"), "l_orderkey", "left_semi")
     return catalog.read_frames(asked, known, ("l_orderkey",))
 
 

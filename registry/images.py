@@ -285,14 +285,15 @@ def panel_assemble(spark, d):
 @query(
     """WITH c AS (SELECT 'even' AS detector, i // 8 AS a, i % 8 AS b, i FROM (SELECT unnest(range(64)) AS i)
   UNION ALL SELECT 'odd', i // 8, i % 8, i FROM (SELECT unnest(range(64)) AS i))
-SELECT e.vec_id, c.detector, 9 AS side, CASE WHEN c.detector = 'even' THEN a ELSE a // 4 * 4 + 3 - a % 4 END + a // 4 AS y,
+SELECT c.detector, 9 AS side, CASE WHEN c.detector = 'even' THEN a ELSE a // 4 * 4 + 3 - a % 4 END + a // 4 AS y,
   CASE WHEN c.detector = 'even' THEN b ELSE b // 4 * 4 + 3 - b % 4 END + b // 4 AS x, CAST(c.i AS INTEGER) AS source
-FROM embeddings e JOIN c ON c.detector = CASE WHEN e.label % 2 = 0 THEN 'even' ELSE 'odd' END"""
+FROM c WHERE c.detector IN (SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END FROM embeddings)"""
 )
 def frame_cells(spark, d):
     frames, panels = _two_detectors(spark, d)
     cells = geometry.assembly_cells(geometry.panel_pixels(panels, F.lit(8)))
-    return _wide_index(frames.select("vec_id", "detector").join(cells, "detector").select("vec_id", "detector", "side", "y", "x", "source"))
+    present = frames.select("detector").distinct()
+    return _wide_index(cells.join(present, "detector", "left_semi").select("detector", "side", "y", "x", "source"))
 
 
 @query(f"WITH {_ASSEMBLED}, {chain('image', 3, 6)} SELECT {_OUT32} FROM r")

@@ -197,8 +197,8 @@ def test_large_lists_take_the_shuffled_path(spark, monkeypatch):
     df = frames(spark, [image, image + 1, image + 2], detector="D")
     lists = preprocessing.assembly_of(two_panels(spark), {"D": 3})
     before = arrays_of(preprocessing.preprocess_panels(df, lists, 3, (4, 4)))
-    monkeypatch.setattr(lookup, "BROADCAST_UNITS", 1)
-    monkeypatch.setattr(preprocessing, "BROADCAST_UNITS", 1)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(preprocessing, "BROADCAST_BYTES", 1)
     joined = geometry.assemble_frames(df, lists)
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     after = arrays_of(preprocessing.preprocess_panels(df, lists, 3, (4, 4)))
