@@ -21,6 +21,12 @@ from diffspark.plans.evaluation import concat_scores
 from diffspark.session import checkpointed
 
 
+_RESULT = (
+    "fold_id", "test_detector", "cross_ap", "cross_auc_roc", "cross_f1", "cross_threshold", "in_domain_ap", "in_domain_auc_roc",
+    "in_domain_f1", "in_domain_threshold", "reg_param", "val_f1", "backbone", "num_classes",
+)
+
+
 def _estimator(reg: float, max_iter: int, features: str) -> LogisticRegression:
     """Logistic regression; it standardises the features itself, so no scaling pass is added."""
     return LogisticRegression(
@@ -37,19 +43,24 @@ def fit_folds(
     max_iter: int = 20,
     features: str = "features",
     done: DataFrame | None = None,
+    backbone: str = "logistic",
+    num_classes: int = 2,
 ) -> DataFrame:
     """Fit every fold on ``train``, choose the candidate with the best F1 on ``val``, score both test buckets.
 
     ``frames`` is ``(session..., ordinal, label, features array)``, ``folds`` lists ``(fold_id,
-    test_detector)``.  Folds in ``done`` (stored results) are skipped; None comes back when nothing
-    is left.  The frames are written once with their bucket in every fold, so each fit scans that
+    test_detector)``.  Folds in ``done`` (stored results of this function) are not fitted again: what comes back holds the
+    stored and the new folds in one schema.  Stored results of another ``backbone`` or number of classes fail.  A fold
+    without validation frames takes the first candidate, with ``val_f1`` NULL.  The frames are written once with their bucket in every fold, so each fit scans that
     table instead of repeating the joins, and no frame is stored once per fold.  The loops are over
     folds and candidates, never over rows.
     """
     finished = set() if done is None else {r["fold_id"] for r in done.select("fold_id").distinct().collect()}
     open_folds = [f for f in folds if f[0] not in finished]
+    if done is not None:
+        check_same_run(done, backbone, num_classes)
     if not open_folds:
-        return done
+        return done.select(*_RESULT)
     rows = frames.select(
         *session, "ordinal", F.col("label").cast("double").alias("label"), array_to_vector(F.col(features)).alias("_x")
     )
@@ -65,16 +76,22 @@ def fit_folds(
     found = best_f1(concat_scores(val_scores), ["fold_id", "reg_param"]).collect()
     f1 = {(r["fold_id"], r["reg_param"]): r["f1"] for r in found}
 
-    test_scores = []
+    test_scores, picked = [], {}
     for fold in open_folds:
         chosen = max(reg_params, key=lambda reg: (f1.get((fold[0], reg), -1.0), -reg_params.index(reg)))
+        picked[fold] = chosen
         test_scores.append(_scores(models[fold, chosen], _bucket(rows, fold, CROSS_DETECTOR, IN_DOMAIN_TEST), fold, chosen))
     scored = concat_scores(test_scores)
     chosen_params = scored.groupBy("fold_id").agg(F.max("reg_param").alias("reg_param"))
     detectors = {i: d for i, d in folds}
     named = [detectors.get(i, "") for i in range(1, max(detectors) + 1)]
     results = fold_results(scored, named, fold_ids=[i for i, _ in open_folds])
-    return results.join(chosen_params, "fold_id", "left")
+    # One row for each fold, from the driver's own loop.
+    val_f1 = [(f[0], f1.get((f[0], picked[f]))) for f in open_folds]
+    validated = results.sparkSession.createDataFrame(val_f1, "fold_id int, val_f1 double")
+    new = results.join(chosen_params, "fold_id", "left").join(validated, "fold_id", "left")
+    new = new.withColumns({"backbone": F.lit(backbone), "num_classes": F.lit(num_classes)}).select(*_RESULT)
+    return new if done is None else done.select(*_RESULT).unionByName(new)
 
 
 def _bucket(rows: DataFrame, fold: tuple[int, str], *names: str) -> DataFrame:

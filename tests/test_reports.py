@@ -96,8 +96,12 @@ def test_fit_and_resume(spark):
     done = fit.fit_folds(frames.drop("detector"), split, folds, reg_params=(0.0, 5.0), max_iter=5)
     rows = done.orderBy("fold_id").collect()
     assert [r["fold_id"] for r in rows] == [1, 2] and all(r["cross_ap"] > 0.99 for r in rows)
-    stored = spark.createDataFrame([(1,), (2,)], "fold_id int")
-    assert fit.fit_folds(frames.drop("detector"), split, folds, done=stored) is stored
+    assert fit.fit_folds(frames.drop("detector"), split, folds, done=done).columns == done.columns
+    first = done.where("fold_id = 1")
+    both = fit.fit_folds(frames.drop("detector"), split, folds, reg_params=(0.0, 5.0), max_iter=5, done=first)
+    assert both.columns == done.columns and [r["fold_id"] for r in both.orderBy("fold_id").collect()] == [1, 2]
+    with pytest.raises(RuntimeError, match="do not match"):
+        fit.fit_folds(frames.drop("detector"), split, folds, done=first, num_classes=3)
     runs = spark.createDataFrame([("net18", 2)], "backbone string, num_classes int")
     fit.check_same_run(runs, "net18", 2)
     with pytest.raises(RuntimeError, match="do not match"):
