@@ -276,3 +276,35 @@ def test_detector_names(spark):
     df = spark.createDataFrame([("AGIPD",), ("Pilatus",)], "detector string")
     with pytest.raises(Exception, match="unknown detector Pilatus; valid: A"):
         catalog.known_detectors(df, ("AGIPD", "Eiger4M")).collect()
+
+
+@pytest.mark.parametrize("text", ['{"a": 1', '{"a": "one"}', "[1, 2]"])
+def test_malformed_label_map_fails(spark, text):
+    maps = spark.createDataFrame([('{"x": 1}',), (text,)], "value string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.label_map_entries(maps).collect()
+
+
+def test_malformed_geometry_fails(spark, tmp_path):
+    texts = spark.createDataFrame([("D", '[{"name": "p0"')], "detector string, value string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        geometry_files.panels_from_json(texts).collect()
+    lines = ["res = 1000", "p0/min_fs = 0", "p0/max_fs = oops", "p0/min_ss = 0", "p0/max_ss = 3", "p0/fs = x", "p0/ss = y", "p0/corner_x = 0", "p0/corner_y = 0"]
+    path = write(tmp_path / "bad.geom", "\n".join(lines))
+    with pytest.raises(Exception, match="no usable max_fs for panel D p0"):
+        geometry_files.read_geometry_text(spark, path, "D").collect()
+
+
+def test_one_frame_is_read_from_one_file(spark, tmp_path):
+    path = str(tmp_path / "frames")
+    rows = [("A", f"A/f{p:03}.cxi", i, 2, 2, [float(i)] * 4) for p in range(40) for i in range(5)]
+    made = spark.createDataFrame(rows, "detector string, path string, frame_idx int, h int, w int, pixels array<float>").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keeps the small ranges apart
+    try:
+        tables.write_frames(made, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = tables.read_frame_table(spark, path)
+    held = back.groupBy(F.input_file_name().alias("f")).agg(F.min(F.struct("path", "frame_idx")).alias("a"), F.max(F.struct("path", "frame_idx")).alias("b"))
+    spans = sorted((tuple(r["a"]), tuple(r["b"])) for r in held.collect())
+    assert len(spans) > 1 and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))

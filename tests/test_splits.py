@@ -112,3 +112,10 @@ def test_batches(spark):
     shuffled = loaders.batches(rows, "id", 4, shuffle_seed=3).orderBy("batch_id", "id").collect()
     again = loaders.batches(rows.repartition(5), "id", 4, shuffle_seed=3).orderBy("batch_id", "id").collect()
     assert shuffled == again
+
+
+@pytest.mark.parametrize("n", [4, 300, 5000])
+def test_repeated_ids_at_a_cut_are_refused_at_every_size(spark, n):
+    twice = spark.range(n).union(spark.range(n))
+    with pytest.raises(ValueError, match="unique"):
+        sampling.exact_split(twice, "id", [("a", 0.5), ("b", 1.01 / (2 * n))], "c", seed=1)

@@ -69,3 +69,15 @@ def test_weighted_loss(spark):
     assert got == {"a": 2.0, "b": 0.0}
     empty = trainlog.weighted_loss(df.where("s = 'z'"), []).collect()
     assert [r["loss"] for r in empty] == [0.0]
+
+
+def test_min_delta_takes_no_walk(spark):
+    rows = spark.range(20_000).select(F.lit("one").alias("run"), F.col("id").alias("epoch"), (F.col("id") / 20_000).alias("val_f1"))
+    done = trainlog.early_stopping(rows, ["run"], [F.col("epoch")], "val_f1", patience=50_000, min_delta=0.1)
+    assert "Python" not in done._jdf.queryExecution().toString()
+    best, at = -1.0, 0
+    for i in range(20_000):
+        if i / 20_000 > best + 0.1:
+            best, at = i / 20_000, i + 1
+    row = done.first()
+    assert (row["best_epoch"], row["best_value"], row["last_epoch"]) == (at, best, 20_000)
