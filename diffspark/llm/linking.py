@@ -19,6 +19,8 @@ from diffspark.llm import storage
 
 #: Pivot rounds end when the pairs that are left are not many more than the next round would test; the result is the same.
 PAIRS_PER_ROW = 2
+MORE_PIVOTS = 8
+EDGES_PER_TASK = 500_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -37,14 +39,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = storage.kept(now, "edges")
     seen = _fingerprint(now)
     while seen[0]:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A small graph takes few tasks, a large one as many as it has EDGES_PER_TASK.
+        own = now.coalesce(1 + seen[0] // EDGES_PER_TASK)
+        both = own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(1 + 2 * seen[0] // EDGES_PER_TASK)
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = storage.kept(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        after = storage.kept(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "small-star")
-        storage.delete(now, large)
+        small = large.join(low, "a").select("low", F.inline(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))))
+        after = storage.kept(small.where("a != b").select("a", "b").distinct(), "stars")
+        storage.delete(now)
         now, last, seen = after, seen, _fingerprint(after)
         if seen == last:
             break
@@ -97,11 +100,11 @@ def connect(
         sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("within"))
         left = sizes.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("within")) / 2).alias("pairs")).first()
-        if (left["pairs"] or 0) <= PAIRS_PER_ROW * 4**turn * (left["rows"] or 0):
+        if (left["pairs"] or 0) <= PAIRS_PER_ROW * MORE_PIVOTS**turn * (left["rows"] or 0):
             break
-        # Pivots of each key by chance, four times as many as in the round before, so all rounds together cost what the last does.
+        # Pivots of each key by chance, more of them in each round, so all rounds together cost little more than the last.
         chance = F.xxhash64("row.id", F.lit(turn))
-        pivots = now.groupBy("key", F.pmod(chance, F.lit(4**turn)).alias("lot")).agg(F.min(F.struct(chance, "label", "row")).alias("pivot"))
+        pivots = now.groupBy("key", F.pmod(chance, F.lit(MORE_PIVOTS**turn)).alias("lot")).agg(F.min(F.struct(chance, "label", "row")).alias("pivot"))
         pivots = pivots.select("key", F.col("pivot.label").alias("other_label"), F.col("pivot.row").alias("other"))
         pivots = storage.kept(pivots, "pivots")
         absorb(verify(candidates(now.join(pivots, "key").where("label != other_label"))))

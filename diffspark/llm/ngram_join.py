@@ -26,6 +26,16 @@ def _node(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _planes(tokens: np.ndarray) -> bytes:
+    """Ascending 64-bit integers with all first bytes together, then all second bytes, and so on: the first ones compress."""
+    return np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    octets = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T)
+    return octets.view(">u8").ravel().astype(np.uint64)
+
+
 def set_keys(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``(id, n_shingles, node)``: ``node`` names the shingle set, equal for equal sets and NULL for the empty set."""
 
@@ -58,7 +68,7 @@ def shared_tokens(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             at = slice(cuts[k], cuts[k + 1])
             own, short = np.unique(owner[at], return_inverse=True)
             wide = np.uint16 if len(own) <= 1 << 16 else np.uint32
-            row = [bucket, tokens[at].tobytes(), names[own].tobytes(), short.astype(wide).tobytes()]
+            row = [bucket, _planes(tokens[at]), names[own].tobytes(), short.astype(wide).tobytes()]
             if counts is not None:
                 row.append(np.minimum(counts[at], np.iinfo(np.uint32).max).astype(np.uint32).tobytes())
             kinds = [pa.int64(), *[pa.binary()] * (len(row) - 1)]
@@ -71,7 +81,7 @@ def shared_tokens(docs: DataFrame, text_col: str, size: int) -> DataFrame:
         tokens, nodes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for batch in batches:
             for row in batch.to_pylist():
-                tokens.append(np.frombuffer(row["tokens"], np.uint64))
+                tokens.append(_from_planes(row["tokens"]))
                 wide = np.uint16 if len(row["places"]) == 2 * len(tokens[-1]) else np.uint32
                 nodes.append(np.frombuffer(row["names"], np.int64)[np.frombuffer(row["places"], wide)])
                 counts.append(np.frombuffer(row.get("counts") or b"", np.uint32))
