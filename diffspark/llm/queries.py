@@ -102,10 +102,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base hits, and spans of the terms that disclose them."""
     found = pii.personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         F.col("id").alias("doc_id"),
-        *counts,
+        *map(count, pii.KINDS),
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
         pii.span_text(F.concat("base", "terms")).alias("spans"),
     )
