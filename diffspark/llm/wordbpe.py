@@ -7,6 +7,7 @@ own; so any text can be cut at spaces and line ends first, and the result for ea
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -20,6 +21,7 @@ TABLE_ENTRIES = 400_000
 # What the vocabulary file's normaliser and pre-tokenizer say.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 _SPACES = regex.compile(rf"[{_BLANK}]+")
 
 
@@ -155,6 +157,18 @@ class Library(WordBPE):
     def word_ids(self, letters: list[str]) -> tuple[int, ...]:
         return tuple(t.id for t in self.model.tokenize("".join(letters)))
 
+    def _plain(self, text: str) -> tuple[int, ...] | list[int]:
+        if not (text.isascii() and text.isprintable()):
+            return super()._plain(text)
+        # Printable ASCII stands for itself, so words need no letters of their own; most pieces are one word and a mark.
+        text = text.lower()
+        tokenize = self.model.tokenize
+        if text.isalpha():
+            return [t.id for t in tokenize(text)]
+        if text[:-1].isalpha() and not text[-1:].isdigit():
+            return [*(t.id for t in tokenize(text[:-1])), *self._word(text[-1])]
+        return [t.id for w in _ASCII_WORD.findall(text) for t in tokenize(w)]
+
     def entry(self, ids: tuple[int, ...]) -> bytes:
         return array(self.code, ids).tobytes()
 
