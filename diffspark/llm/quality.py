@@ -21,6 +21,8 @@ BOILERPLATE = (
 
 _TERMINAL = regex.compile(r"[.!?…。！？:;,)\]}\"'»”’]\s*$")
 _BOILER = regex.compile("|".join(map(regex.escape, BOILERPLATE)), regex.IGNORECASE)
+_SENTENCE = regex.compile(r"[.!?…。！？]")
+_SYMBOLS = regex.compile(r"[#*$%&<>]{2,}")
 _BARS = regex.compile(r"[|>»•·]")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -30,13 +32,15 @@ _NEWLINE[10] = True
 
 @dataclass(frozen=True)
 class LineRules:
-    """A line fails as navigation if at least ``bar_share`` as many bars or bullets as words; as boilerplate if it holds one
-    of ``BOILERPLATE`` and at most ``boiler_words`` words; for punctuation if it has at least ``open_words`` words and
-    no closing mark.  A document fails if under ``keep_share`` of its word characters is left."""
+    """A line fails as navigation if it has at least ``bar_share`` as many bars or bullets as words; as boilerplate if it holds
+    one of ``BOILERPLATE`` and at most ``boiler_words`` words; for punctuation if runs of symbols make up ``symbol_share`` of
+    its characters, or if it has at least ``open_words`` words, no closing mark and under one sentence mark in ``open_words``
+    words.  A document fails if under ``keep_share`` of its word characters is left."""
 
     bar_share: float = 0.4
     boiler_words: int = 40
-    open_words: int = 400
+    open_words: int = 30
+    symbol_share: float = 0.15
     keep_share: float = 0.5
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -48,7 +52,9 @@ def line_fault(line: str, words: int, rules: LineRules) -> str | None:
         return "navigation"
     if words <= rules.boiler_words and _BOILER.search(line):
         return "boilerplate"
-    if words >= rules.open_words and not _TERMINAL.search(line):
+    if sum(map(len, _SYMBOLS.findall(line))) >= max(6, rules.symbol_share * len(line)):
+        return "punctuation"
+    if words >= rules.open_words and not _TERMINAL.search(line) and rules.open_words * len(_SENTENCE.findall(line)) < words:
         return "punctuation"
     return None
 
