@@ -166,6 +166,31 @@ def gcn_lcn_order(spark, d):
     return _long(normalize.normalize_frames(images(spark, d), None, 9))
 
 
+# 81 neighbouring vectors as one frame of 72 x 72; where the last frame lacks vectors it is zero.
+_TILED = """tiles AS (
+  SELECT vec_id // 81 AS id, vec_id % 81 // 9 * 8 + i // 8 AS y, vec_id % 9 * 8 + i % 8 AS x, CAST(v AS DOUBLE) AS v
+  FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings)
+), grid AS (SELECT id, unnest(range(5184)) AS cell FROM (SELECT DISTINCT id FROM tiles)),
+px AS (
+  SELECT g.id, CAST(72 AS BIGINT) AS n, cell // 72 AS y, cell % 72 AS x, coalesce(v, 0) AS v
+  FROM grid g LEFT JOIN tiles t ON t.id = g.id AND t.y = cell // 72 AND t.x = cell % 72
+)"""
+
+
+@query(f"WITH {_TILED}, {gcn_cte('px', 'g')}, {lcn_cte('g', 'l', [9])} SELECT {_OUT32} FROM l")
+def lcn_large_side(spark, d):
+    """Frames with sides of 72."""
+    k, i = F.col("vec_id") % 81, F.col("i")
+    y, x = F.floor(k / 9) * 8 + F.floor(i / 8), k % 9 * 8 + i % 8
+    vectors = images(spark, d).select("vec_id", F.posexplode("pixels").alias("i", "v"))
+    tiles = vectors.select(F.floor(F.col("vec_id") / 81).alias("g"), (y * 72 + x).cast("int").alias("cell"), "v")
+    grid = tiles.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(72 * 72 - 1))).alias("cell"))
+    cells = grid.join(tiles, ["g", "cell"], "left").select("g", F.struct("cell", F.coalesce("v", F.lit(0.0)).cast("float").alias("v")).alias("c"))
+    frames = cells.groupBy(F.col("g").alias("vec_id")).agg(F.sort_array(F.collect_list("c")).alias("c"))
+    frames = frames.select("vec_id", F.lit(72).alias("h"), F.lit(72).alias("w"), F.col("c.v").alias("pixels"))
+    return _long(normalize.normalize_frames(frames, None, 9))
+
+
 @query(
     f"""WITH {PX}, {gcn_cte('px', 'g')}, {lcn_cte('g', 'l', [3, 9, 15, 31])}
 SELECT id AS vec_id, CAST(win AS INTEGER) AS lcn_window, y, x, {q6('CAST(v AS FLOAT)')} AS v FROM l"""
