@@ -91,6 +91,18 @@ def aggregate_runs(results: DataFrame, detectors: Sequence[str] = DETECTORS) ->
     return benchmark.summarise_folds(once, ("backbone", "seed"))
 
 
+def run_folds(results: DataFrame, detectors: Sequence[str] = DETECTORS) -> DataFrame:
+    """Every fold of every stored run, with its metrics, or ``missing`` and NULL metrics.
+
+    ``results`` has ``backbone, seed, fold_id, file`` and metric columns; a fold stored twice counts once, the last by ``file``.
+    """
+    keys = ["backbone", "seed", "fold_id"]
+    once = benchmark.one_result_per_fold(results).drop("file", "test_detector")
+    folds = splits.with_folds(once.select("backbone", "seed").distinct(), detectors)
+    found = once.withColumn("_found", F.lit(True))
+    return folds.join(found, keys, "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
+
+
 def concat_scores(parts: Iterable[DataFrame]) -> DataFrame:
     """Bag union of scored tables."""
     parts = list(parts)

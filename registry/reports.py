@@ -316,3 +316,24 @@ def aggregate_runs(spark, d):
     return rounded(evaluation.aggregate_runs(rows), "mean_ap", "std_ap")
 
 
+
+
+@query(
+    f"""WITH {FOLDS_SQL}, r AS (SELECT user_id % 7 AS seed, user_id % 14 % 4 + 1 AS fold_id, event_id, value FROM events),
+k AS (SELECT seed, fold_id, arg_max(value, event_id) AS ap, arg_max(value / 2, event_id) AS in_domain_ap FROM r GROUP BY ALL)
+SELECT 'net' AS backbone, s.seed, f.fold_id, f.test_detector, {q6('ap')} AS ap, {q6('in_domain_ap')} AS in_domain_ap, ap IS NULL AS missing
+FROM (SELECT DISTINCT seed FROM r) s CROSS JOIN folds f LEFT JOIN k ON k.seed = s.seed AND k.fold_id = f.fold_id"""
+)
+def run_fold_report(spark, d):
+    """Folds of stored runs with cross and in-domain values; runs lack some folds."""
+    from registry.common import table
+
+    rows = table(spark, d, "events").select(
+        F.lit("net").alias("backbone"),
+        (F.col("user_id") % 7).alias("seed"),
+        (F.col("user_id") % 14 % 4 + 1).cast("int").alias("fold_id"),
+        F.col("event_id").alias("file"),
+        F.col("value").alias("ap"),
+        (F.col("value") / 2).alias("in_domain_ap"),
+    )
+    return rounded(evaluation.run_folds(rows, LANGS), "ap", "in_domain_ap")
