@@ -3,7 +3,7 @@
 Only DataFrame functions are used.  Hits of a kind are found with one expression that splits a text at the pattern and one that
 extracts it; the lengths of the parts in turn give the places in code points.  A hit's normal form is a protected *entity*.
 For the terms beside it, the pointwise mutual information of term and entity over distinct lines, as a share of the
-entity's own information, says how much of the entity the term discloses: 1 if the term occurs only with it.
+entity's own information, says how much of the entity the term discloses: near 1 if the term occurs only with it.
 """
 
 from __future__ import annotations
@@ -114,25 +114,36 @@ def _terms(line: Column) -> Column:
 
 
 def _beside(found: DataFrame) -> DataFrame:
-    """``(id, entity, line, line_start)`` of every line of a document and entity in it, once."""
+    """``(id, entity, line, line_start, own)`` of every line of a document and entity in it, once; ``own`` are the terms of its hits."""
     one = found.select("id", F.explode("hits").alias("h"))
-    return one.select("id", _normal(F.col("h.kind"), F.col("h.hit")).alias("entity"), "h.line", "h.line_start").distinct()
+    one = one.select("id", _normal(F.col("h.kind"), F.col("h.hit")).alias("entity"), "h.line", "h.line_start", _terms(F.col("h.hit")).alias("own"))
+    return one.groupBy("id", "entity", "line", "line_start").agg(F.flatten(F.collect_set("own")).alias("own"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
-    """``(entity, term, disclosure)`` of the terms that reach ``threshold`` and stand beside the entity in at least ``support``
-    different lines.
+def _line_terms(beside: DataFrame) -> DataFrame:
+    """``(entity, term, line, n)``: the terms beside each entity by the hash of their line, with the copies of that line."""
+    others = F.array_except(_terms(F.col("line")), F.col("own"))
+    pairs = beside.select("entity", F.xxhash64("line").alias("line"), F.explode(others).alias("term"))
+    return storage.kept(pairs.groupBy("entity", "term", "line").agg(F.count(F.lit(1)).alias("n")), "line-terms")
 
-    The unit of all counts is a line of a document, over all documents; copies of one line are one for ``support``.
-    Entities and terms are counted with partial sums before any shuffle, so one that is in a third of all lines costs one row
-    for each task.
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", threshold: float = 0.8, support: int | None = None) -> DataFrame:
+    """``(entity, term, disclosure)`` of the terms that reach ``threshold``.
+
+    The unit of all counts is a line of a document, over all documents.  Most entities stand in a single line, so no number of
+    lines is asked for; the estimate is smoothed instead: a term counts as if it stood in one more line without the entity.
+    A line that stands c times in the corpus is one line for that, so the line added has the copies of the pair's own lines
+    on average.  With a ``support`` the estimate is the plain one, of terms that stand beside the entity in at least so many
+    different lines.  Entities and terms are counted with partial sums before any shuffle, so one that is in a third of all
+    lines costs one row for each task.
     """
     beside = _beside(found)
-    own = _terms(F.regexp_replace("entity", "^[a-z]+:", ""))
-    pairs = beside.select("entity", F.xxhash64("line").alias("line"), F.explode(F.array_except(_terms(F.col("line")), own)).alias("term"))
-    copies = pairs.groupBy("entity", "term", "line").agg(F.count(F.lit(1)).alias("n"))
-    joint = copies.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_lines_both"))
-    joint = storage.kept(joint.where(F.col("n_lines_both") >= support), "joint-terms")
+    return _disclosing(docs, beside, _line_terms(beside), text_col, threshold, support)
+
+
+def _disclosing(docs: DataFrame, beside: DataFrame, line_terms: DataFrame, text_col: str, threshold: float, support: int | None) -> DataFrame:
+    joint = line_terms.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_lines_both"))
+    joint = storage.kept(joint if support is None else joint.where(F.col("n_lines_both") >= support), "joint-terms")
     lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).where("trim(line) != ''")
     wanted = joint.select("term").distinct()
     n_wanted = wanted.count()
@@ -146,13 +157,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     of_entity = beside.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     known = joint.join(of_term, "term").join(of_entity, "entity")
     information = F.log(F.lit(float(n_lines)) / F.col("n_entity"))
-    shared = F.log(F.lit(float(n_lines)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    more = F.col("n_both") / F.col("n_lines_both") if support is None else F.lit(0)
+    shared = F.log(F.lit(float(n_lines)) * F.col("n_both") / ((F.col("n_term") + more) * F.col("n_entity")))
     disclosure = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
     return known.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int | None = None
 ) -> DataFrame:
     """``(id, base, terms)`` of every document: spans ``(kind, start, end, hit)`` of the base kinds, and spans of disclosing terms.
 
@@ -161,8 +173,13 @@ def personal_data(
     read; no rows give no rows.
     """
     found = storage.kept(hits(docs, id_col, text_col), "hits")
-    giving = disclosing_terms(docs, found, text_col, threshold, support)
-    said = _beside(found).join(giving, "entity").groupBy("id", "line", "line_start").agg(F.collect_set("term").alias("terms"))
+    beside = _beside(found)
+    line_terms = _line_terms(beside)
+    giving = _disclosing(docs, beside, line_terms, text_col, threshold, support)
+    # Terms go to their own lines, not to all lines of the entity, which are as many again.
+    of_line = line_terms.join(giving, ["entity", "term"]).groupBy(F.col("line").alias("key")).agg(F.collect_set("term").alias("terms"))
+    places = beside.select("id", "line", "line_start", F.xxhash64("line").alias("key")).distinct()
+    said = places.join(of_line, "key")
     placed = F.filter(
         _placed(F.col("line"), _TERM, _matches(F.col("line"), _TERM)), lambda s: F.array_contains("terms", F.lower(s["hit"]))
     )

@@ -95,6 +95,37 @@ def test_copies_of_one_line_are_no_evidence(spark):
     assert pii.personal_data(docs).select(F.sum(F.size("terms"))).first()[0] == 0
 
 
+def test_terms_beside_entities_of_one_line(spark):
+    rng = random.Random(9)
+    words = [f"word{i}x" for i in range(60)]
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"{fill(20)}\n{fill(20)}") for i in range(200)]
+    rows += [(300, f"{fill(3)} Wendeline {fill(3)} w@home.net"), (301, f"{fill(4)} Ottokar +49 30 1234 5678\nOttokar again")]
+    rows += [(400 + i, "Kilroy writes to k@mail.org now") for i in range(9)]
+    rows += [(500 + i, f"odd{i}odd {fill(4)} info@firm.org") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = [x for _, t in rows for x in t.split("\n")]
+    terms = [set(re.findall(r"[^\W_]{3,}", x.lower())) for x in lines]
+    entities = {"w@home.net": "email:w@home.net", "+49 30 1234 5678": "phone:493012345678", "k@mail.org": "email:k@mail.org", "info@firm.org": "email:info@firm.org"}
+    want = {}
+    for mark, name in entities.items():
+        n_entity = sum(mark in x for x in lines)
+        own = set(re.findall(r"[^\W_]{3,}", mark))
+        for term in set().union(*(t for x, t in zip(lines, terms, strict=True) if mark in x)) - own:
+            held = [x for x, t in zip(lines, terms, strict=True) if mark in x and term in t]
+            n_term = sum(term in t for t in terms) + len(held) / len(set(held))
+            value = math.log(len(lines) * len(held) / (n_term * n_entity)) / math.log(len(lines) / n_entity)
+            if value >= 0.8:
+                want[name, term] = value
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing_terms(docs, pii.hits(docs)).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    text = dict(rows)
+    spans = {r["id"]: [text[r["id"]][s["start"] : s["end"]] for s in r["terms"]] for r in pii.personal_data(docs).collect()}
+    assert spans[300] == ["Wendeline"] and spans[301] == ["Ottokar"] and not spans[0]
+    # Each rare word is marked in its own line alone.
+    assert all(spans[500 + i] == [f"odd{i}odd"] * (("email:info@firm.org", f"odd{i}odd") in want) for i in range(40))
+
+
 def test_only_data_frame_functions(spark):
     docs = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
     plan = pii.personal_data(docs)._jdf.queryExecution().toString()
