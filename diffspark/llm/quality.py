@@ -19,9 +19,14 @@ BOILERPLATE = (
     "licensed under", "spdx-license-identifier", "permission is hereby granted", "without warranty",
 )
 
-_TERMINAL = regex.compile(r"[.!?…。！？:;,)\]}\"'»”’]\s*$")
-_BOILER = regex.compile("|".join(map(regex.escape, BOILERPLATE)), regex.IGNORECASE)
-_SENTENCE = regex.compile(r"[.!?…。！？]")
+_TERMINAL = regex.compile(r"[\p{Sentence_Terminal}…:;,)\]}\"'»”’।॥،؛፣፤፥、，；：」』）】》]\s*$")
+# Whole phrases; a mark of copyright has its years with it.
+_BOILER = regex.compile(
+    r"(?<!\w)(?:" + "|".join(map(regex.escape, BOILERPLATE)) + r"|cookies)(?!\w)(?:(?<=©|copyright)(?:\s*(?:©|\(c\)|[0-9]{4}[,–-]?))+)?", regex.IGNORECASE
+)
+_SENTENCE = regex.compile(r"[\p{Sentence_Terminal}…]")
+# Scripts whose prose is written without sentence marks: Thai, Lao, Khmer, Burmese and their neighbours, Tibetan.
+_UNMARKED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tai_Tham}\p{New_Tai_Lue}\p{Tai_Le}\p{Tai_Viet}\p{Tibetan}]")
 _SYMBOLS = regex.compile(r"[#*$%&<>]{2,}")
 _BARS = regex.compile(r"[|>»•·]")
 _SYMBOL = np.zeros(256, bool)
@@ -32,13 +37,16 @@ _NEWLINE[10] = True
 
 @dataclass(frozen=True)
 class LineRules:
-    """A line fails as navigation if it has at least ``bar_share`` as many bars or bullets as words; as boilerplate if it holds
-    one of ``BOILERPLATE`` and at most ``boiler_words`` words; for punctuation if runs of symbols make up ``symbol_share`` of
+    """A line fails as navigation if it has at least ``bar_share`` as many bars or bullets as words; as boilerplate if it has
+    at most ``boiler_words`` words and whole phrases of ``BOILERPLATE`` that are ``boiler_phrases`` different ones or make up
+    ``boiler_share`` of its characters; for punctuation if runs of symbols make up ``symbol_share`` of
     its characters, or if it has at least ``open_words`` words, no closing mark and under one sentence mark in ``open_words``
-    words.  A document fails if under ``keep_share`` of its word characters is left."""
+    words, unless half of its letters are of a script that uses no sentence marks.  A document fails if under ``keep_share`` of its word characters is left."""
 
     bar_share: float = 0.4
     boiler_words: int = 40
+    boiler_phrases: int = 2
+    boiler_share: float = 0.3
     open_words: int = 30
     symbol_share: float = 0.15
     keep_share: float = 0.5
@@ -46,16 +54,21 @@ class LineRules:
     max_repeat_percent: int = 30
 
 
+def _is_boilerplate(line: str, rules: LineRules) -> bool:
+    found = [x.lower() for x in _BOILER.findall(line)]
+    return bool(found) and (len(set(found)) >= rules.boiler_phrases or sum(map(len, found)) >= rules.boiler_share * len(line.strip()))
+
+
 def line_fault(line: str, words: int, rules: LineRules) -> str | None:
     """The rule that ``line`` of ``words`` words fails, or None."""
     if words and len(_BARS.findall(line)) >= max(2, rules.bar_share * words):
         return "navigation"
-    if words <= rules.boiler_words and _BOILER.search(line):
+    if words <= rules.boiler_words and _is_boilerplate(line, rules):
         return "boilerplate"
     if sum(map(len, _SYMBOLS.findall(line))) >= max(6, rules.symbol_share * len(line)):
         return "punctuation"
     if words >= rules.open_words and not _TERMINAL.search(line) and rules.open_words * len(_SENTENCE.findall(line)) < words:
-        return "punctuation"
+        return None if 2 * len(_UNMARKED.findall(line)) >= sum(map(str.isalpha, line)) > 0 else "punctuation"
     return None
 
 

@@ -60,6 +60,18 @@ def test_quality_cuts_lines_and_rejects(spark):
     assert kept == {1: clean, 2: clean + "\n"}
 
 
+def test_prose_lines_are_not_boilerplate():
+    fault = lambda x: quality.line_fault(x, len(x.split()), quality.LineRules())
+    prose = ["The design in the hall is by a pupil of his.", "He kept a blog in French.", "A dialog in three parts.", "She baked one cookie for each of the guests that evening."]
+    prose += ["यह एक वाक्य है और इसमें कई शब्द हैं। " * 5, "یہ ایک جملہ ہے اور اس میں کئی الفاظ ہیں۔ " * 5, "ผู้เขียน กล่าวถึง เรื่องนี้ " * 12]
+    prose += ["यह एक वाक्य है। " * 8 + "और शब्द"]
+    assert [fault(x) for x in prose] == [None] * len(prose)
+    boiler = ["Sign in", "Copyright 2020 Some Firm. All rights reserved.", "Privacy Policy - Terms of Service", "© 2019 Firm", "We use cookies. Read more", "Subscribe now"]
+    boiler += ["Licensed under the Apache License, SPDX-License-Identifier: Apache-2.0"]
+    assert [fault(x) for x in boiler] == ["boilerplate"] * len(boiler)
+    assert fault("word " * 40) == "punctuation"
+
+
 def test_quality_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality(docs).count() == 0 and quality.keep_clean(docs).count() == 0
