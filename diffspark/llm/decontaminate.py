@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +18,37 @@ from diffspark.llm import textbatch as tb
 #: Words of test items handed to the tasks at once; a larger benchmark goes in several blocks, each against all documents.
 BLOCK_WORDS = 1_000_000
 
-# Words are runs of letters and digits; every byte of a character beyond ASCII counts as a letter.
+# Scripts written without spaces, each character of which is a word; the marks of Japanese belong to no script.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\x{3005}\x{30FC}\x{FF70}])"
+_OTHER = r"[^\x00-\x7F\p{L}\p{M}\p{N}]"
+
+# Words are runs of letters, marks and digits.  Of the bytes of a ``plain`` text, all beyond ASCII are of such characters.
 _APART = np.ones(256, bool)
 _APART[128:] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _APART[_a:_b] = False
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts with characters beyond ASCII lower-cased, their punctuation and spaces as blanks, and blanks around each character of a
+    script without spaces; other texts as they are."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    wide = pc.invert(pc.string_is_ascii(texts))
+    if not pc.any(wide).as_py():
+        return texts
+    some = texts.filter(wide)
+    try:
+        some = pc.utf8_lower(some)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        some = pa.array([x.decode(errors="replace").lower() for x in some.cast(pa.large_binary()).to_pylist()], pa.large_string())
+    some = pc.replace_substring_regex(some, pattern=_OTHER, replacement=" ")
+    some = pc.replace_substring_regex(some, pattern=_UNSPACED, replacement=r" \1 ")
+    return pc.replace_with_mask(texts, wide, some)
+
+
 def words_of(texts: pa.Array):
     """``(first row, words, owner, rows)`` of each piece of the batch."""
+    texts = plain(texts)
     for first, last, data, offsets in tb.pieces(texts):
         data = tb.lowered(data)
         starts, ends, owner = tb.spans(data, offsets, _APART)
@@ -160,8 +183,8 @@ def contaminated(
     """
     spark = docs.sparkSession
     test = items.select(F.col(item_id_col).cast("long").alias("item"), F.col(item_text_col).alias("words"))
-    size = test.agg(F.sum(F.coalesce(F.char_length("words"), F.lit(0)) + 1)).first()[0] or 0
-    blocks = max(1, -(-size // (4 * BLOCK_WORDS)))  # four characters or more for each word and its gap
+    size = test.agg(F.sum(F.coalesce(F.octet_length("words"), F.lit(0)) + 1)).first()[0] or 0
+    blocks = max(1, -(-size // (4 * BLOCK_WORDS)))  # about four bytes or more for each word and its gap
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
     for block in range(blocks):

@@ -57,3 +57,11 @@ def test_planted_passages(spark, monkeypatch, block):
     assert next(r for r in got if r["doc_id"] == 10)["n_tiles"] >= 2
     assert dc.contaminated(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert dc.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_scripts_without_spaces_and_other_marks(spark):
+    texts = ["漢字仮名交じり文の例文はここにあり、十分に長い行です。", "ผู้เขียนกล่าวถึงเรื่องนี้ไว้ในหนังสือเล่มแรก", "She said: \"it isn't here\", and he went - slowly - to the old mill", "ÉTÉ À LA MER AVEC LES ÉLÈVES DE L'ÉCOLE"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = ["前の文章です。" + texts[0] + "後の文章もここにあります。", "บทนำ" + texts[1] + "จบ", "Then: she said: “it isn’t here”, and he went\u00a0– slowly\u00a0– to the old\u00a0mill.", "été à la mer avec les élèves de l’école", "全く別の内容を持つ文書で、何も共有しない。", None, "plain words only in this one here"]
+    got = dc.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item"], r["covered_words"] == r["item_words"]) for r in got) == [(i, i, True) for i in range(4)]
