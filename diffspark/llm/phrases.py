@@ -1,16 +1,21 @@
 """Phrase collocations from count streams in prefix and suffix order.
 
-Counting goes level by level: a phrase of m words can only be frequent if its first and its last m - 1 words are, so each level
-counts few phrases beside the frequent ones.  What a level has found goes to the next as a bitmap of fixed size; a bit set
-by chance only lets a phrase be counted in vain.  Every cut of every frequent phrase is then a row of two streams, one in the order of
-its first part and one in the order of the rest.  The stream of counts, in phrase order, is merged with the one for the counts left
-of the cut and with the other for the counts right of it.  A phrase that is another one without its last or first word meets
-that longer one's count there too, so the same two merges give the extension counts.
+Counting goes level by level: a phrase of m words can only be frequent if its first and its last m - 1 words are.  Each level has two
+passes over the coded text.  The first counts candidates by a few bits of their hash only, which travels in about two bytes each; the second counts
+exactly, but only candidates whose bits were counted often enough.  What a level knows goes to the tasks as a bitmap of bounded size; a
+bit set by chance only lets a phrase be counted in vain.
+
+The frequent phrases with their counts are then put in prefix order (by their words from the first) and read as a stream: the phrases
+that a phrase begins with stand right before it, so their counts, left of its cuts, are on a stack, and a phrase learns of the
+longer ones that begin with it.  In suffix order (by the words from the last) the same reading gives the counts right of the cuts and the
+longer phrases that end with it.  Nothing is looked up by hashing; the counts of the single outer words come by merge joins.
 Words and phrases are named by 64-bit hashes of language and words; results are exact up to a hash collision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,8 +27,9 @@ from diffspark.llm import textbatch as tb
 LONGEST = 5
 #: Words of a row of coded text, and hashes that a task gathers before it counts them.
 CHUNK_WORDS, GATHERED = 1 << 19, 1 << 21
-#: Bits of the bitmap that goes to every task: 2^26 are 8 MB, at every size of the corpus.
-FILTER_BITS = 26
+#: Bits of the bitmaps that go to every task: half as many as the corpus has words, between 2^16 and this many (2^30 are 128 MB).
+FILTER_BITS = 30
+#: Buckets that are counted together; hashes whose first bits agree.
 _SLOT_BITS = 16
 #: Parts in which the rows of one language are ranked before they meet.
 RANK_PARTS = 64
@@ -35,187 +41,311 @@ _APART[[0x20, 0x09]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
 def phrase_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words along the last axis; a single word is its own."""
+    """Hashes of all runs of ``size`` words; a single word is its own."""
     if size == 1:
         return words
-    n = words.shape[-1] - size + 1
-    value = np.zeros((*words.shape[:-1], max(n, 0)), np.uint64)
-    for j in range(size if n > 0 else 0):
-        value = value * _BASE + words[..., j : j + n]
+    n = max(len(words) - size + 1, 0)
+    value = np.zeros(n, np.uint64)
+    for j in range(size if n else 0):
+        value = value * _BASE + words[j : j + n]
     return tb.mix(value + np.uint64(size))
 
 
-def _code(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """Two kinds of rows: ``lang, words, core`` with the word hashes of a stretch of text, 0 between pieces (runs that start in the first
-    ``core`` words belong to the row), and ``lang, hash, word, n`` with the words of a batch and their numbers."""
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(languages, bytes, starts, ends, language of word, hash of word, owner, piece)`` of pieces of a batch of texts and languages."""
+    names, lang_of = np.unique(np.array(batch.column(1).fill_null("und").to_pylist(), object), return_inverse=True)
+    # Mixed once more, so that a word that is the name of a language hashes like any other.
+    lang_hash = tb.mix(np.array([tb.hashes(x := np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0] for s in names], np.uint64))
+    for first, _, data, offsets in tb.pieces(batch.column(0)):
+        data = tb.lowered(data)
+        starts, ends, owner = tb.spans(data, offsets, _APART)
+        if not len(starts):
+            continue
+        lang = lang_of[first + owner]
+        words = tb.mix(tb.hashes(data, starts, ends) ^ lang_hash[lang])
+        words[words == 0] = 1
+        yield names, data.tobytes(), starts, ends, lang, words, owner, np.cumsum(_PIECE_END[data])[starts]
+
+
+def _code(told: DataFrame) -> DataFrame:
+    """``(lang, words, core, n)``: the word hashes of stretches of text, 0 between pieces.  Runs that start in the first ``core`` words
+    belong to the row; ``n`` of these are words."""
 
     def run(batches):
         for batch in batches:
-            names, lang_of = np.unique(np.array(batch.column(1).fill_null("und").to_pylist(), object), return_inverse=True)
-            # Mixed once more, so that a word that is the name of a language hashes like any other.
-            lang_hash = tb.mix(np.array([tb.hashes(x := np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0] for s in names], np.uint64))
-            for first, _, data, offsets in tb.pieces(batch.column(0)):
-                data = tb.lowered(data)
-                starts, ends, owner = tb.spans(data, offsets, _APART)
-                if not len(starts):
-                    continue
-                lang = lang_of[first + owner]
-                words = tb.mix(tb.hashes(data, starts, ends) ^ lang_hash[lang])
-                words[words == 0] = 1
-                piece = np.cumsum(_PIECE_END[data])[starts]
+            for names, _, _, _, lang, words, owner, piece in _words(batch):
                 for k in np.unique(lang):
                     own = np.flatnonzero(lang == k)
-                    w = words[own]
                     apart = np.flatnonzero((piece[own][1:] != piece[own][:-1]) | (owner[own][1:] != owner[own][:-1])) + 1
-                    coded = np.insert(w, apart, np.uint64(0))
+                    coded = np.insert(words[own], apart, np.uint64(0))
                     for at in range(0, len(coded), CHUNK_WORDS):
                         core = min(CHUNK_WORDS, len(coded) - at)
-                        yield _coded_row(names[k], coded[at : at + core + LONGEST - 1].tobytes(), core)
-                    distinct, place, count = np.unique(w, return_index=True, return_counts=True)
-                    place = own[place]
-                    raw = data.tobytes()
-                    texts = [raw[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
-                    for at in range(0, len(distinct), 50_000):
-                        part = slice(at, at + 50_000)
-                        n = len(distinct[part])
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([names[k]] * n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), _signed(distinct[part]),
-                                pa.array(texts[part], pa.binary()).cast(pa.string()), pa.array(count[part]),
-                            ],
-                            ["lang", "words", "core", "hash", "word", "n"],
-                        )
-
-    def _coded_row(lang, words, core):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([words], pa.binary()), pa.array([core], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())],
-            ["lang", "words", "core", "hash", "word", "n"],
-        )
+                        n = int(np.count_nonzero(coded[at : at + core]))
+                        part = coded[at : at + core + LONGEST - 1].tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([names[k]]), pa.array([part], pa.binary()), pa.array([core]), pa.array([n])], ["lang", "words", "core", "n"])
 
-    told = docs.select(F.col(text_col), F.col(lang_col).cast("string").alias("_lang"))
-    return told.mapInArrow(run, "lang string, words binary, core bigint, hash bigint, word string, n bigint")
+    return told.mapInArrow(run, "lang string, words binary, core bigint, n bigint")
 
 
 class _Filter:
     """A bitmap of hashes, known on every task."""
 
-    def __init__(self, hashes: DataFrame, bits: int):
+    def __init__(self, slots: DataFrame, bits: int):
         self.shift = np.uint64(64 - bits)
-        slot_bits = min(bits, _SLOT_BITS)
-        spark = hashes.sparkSession
-
-        def build(batches):
-            slot, block = None, None
-            for batch in batches:
-                place = batch.column(0).to_numpy()
-                of = place >> slot_bits
-                cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
-                for part in np.split(place, cuts) if len(place) else []:
-                    if part[0] >> slot_bits != slot:
-                        if block is not None:
-                            yield _slot(slot, block)
-                        slot, block = part[0] >> slot_bits, np.zeros(1 << slot_bits, bool)
-                    block[part & ((1 << slot_bits) - 1)] = True
-            if block is not None:
-                yield _slot(slot, block)
-
-        def _slot(slot, block):
-            return pa.RecordBatch.from_arrays([pa.array([int(slot)]), pa.array([np.packbits(block, bitorder="little").tobytes()], pa.binary())], ["slot", "bits"])
-
-        place = F.shiftrightunsigned("hash", 64 - bits).alias("place")
-        slots = hashes.select(place).withColumn("slot", F.shiftright("place", slot_bits)).repartition("slot").sortWithinPartitions("place")
         whole = np.zeros(1 << (bits - 3), np.uint8)
-        width = 1 << (slot_bits - 3)
+        width = len(whole) >> max(bits - _SLOT_BITS, 0)
         # At most 2^bits / 8 bytes, whatever the number of hashes.
-        for row in slots.select("place").mapInArrow(build, "slot bigint, bits binary").collect():
-            whole[row["slot"] * width : (row["slot"] + 1) * width] |= np.frombuffer(row["bits"], np.uint8)
-        self.shared = spark.sparkContext.broadcast(whole)
+        for row in slots.collect():
+            whole[row["slot"] * width : (row["slot"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+        self.shared = slots.sparkSession.sparkContext.broadcast(whole)
+        self.any = bool(whole.any())
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         place = hashes >> self.shift
         return (self.shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _starts(words: np.ndarray, core: int, size: int, seen: _Filter | None) -> np.ndarray:
-    """Places below ``core`` where a run of ``size`` words in one piece starts, both shorter runs of which ``seen`` holds."""
-    n = min(core, len(words) - size + 1)
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    inside = words != 0
-    whole = inside[:n].copy()
-    for j in range(1, size):
-        whole &= inside[j : j + n]
-    at = np.flatnonzero(whole)
-    if seen is not None:
-        known = seen(phrase_hashes(words, size - 1)[: n + 1])
-        at = at[known[at] & known[at + 1]]
-    return at
+def _candidates(size: int, shorter: _Filter | None, bucket: _Filter | None = None) -> Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]:
+    """Places below ``core`` and hashes of runs of ``size`` words in one piece, both shorter runs of which ``shorter`` holds and which
+    ``bucket`` holds."""
 
+    def of(words: np.ndarray, core: int) -> tuple[np.ndarray, np.ndarray]:
+        n = max(min(core, len(words) - size + 1), 0)
+        inside = words != 0
+        whole = inside[:n].copy()
+        for j in range(1, size):
+            whole &= inside[j : j + n]
+        at = np.flatnonzero(whole)
+        if shorter is not None and n:
+            known = shorter(phrase_hashes(words, size - 1)[: n + 1])
+            at = at[known[at] & known[at + 1]]
+        hashes = phrase_hashes(words, size)[at]
+        if bucket is not None:
+            held = bucket(hashes)
+            at, hashes = at[held], hashes[held]
+        return at, hashes
 
-def _level(coded: DataFrame, size: int, seen: _Filter) -> DataFrame:
-    """``(hash, n)`` of the phrases of ``size`` words that can be frequent, counted within tasks."""
+    return of
 
-    def run(batches):
+
+def _coded_rows(batches) -> Iterator[tuple[np.ndarray, int]]:
+    for batch in batches:
+        for raw, core in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            yield np.frombuffer(raw.as_buffer(), np.uint64), core
+
+
+def _buckets(coded: DataFrame, bits: int, least: int, candidates) -> _Filter:
+    """The first ``bits`` bits that candidates of ``least`` or more occurrences together have."""
+    low = min(bits, _SLOT_BITS)
+    shift, mask = np.uint64(64 - bits), (1 << low) - 1
+
+    def count(batches):
         gathered, held = [], 0
 
         def counted():
-            distinct, n = np.unique(np.concatenate(gathered), return_counts=True)
-            for at in range(0, len(distinct), 100_000):
-                yield pa.RecordBatch.from_arrays([_signed(distinct[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["hash", "n"])
+            places, n = np.unique(np.concatenate(gathered), return_counts=True)
+            slots = (places >> np.uint64(low)).astype(np.int64)
+            cuts = np.flatnonzero(slots[1:] != slots[:-1]) + 1
+            lows, few = (places & np.uint64(mask)).astype("<u2"), np.minimum(n, 255).astype(np.uint8)
+            parts = list(zip([0, *cuts], [*cuts, len(slots)], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(slots[a]) for a, _ in parts], pa.int64()), pa.array([lows[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([few[a:b].tobytes() for a, b in parts], pa.binary())],
+                ["slot", "lows", "counts"],
+            )
 
-        for batch in batches:
-            for raw, core in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = np.frombuffer(raw.as_buffer(), np.uint64)
-                at = _starts(words, core, size, seen)
-                if len(at):
-                    gathered.append(phrase_hashes(words, size)[at])
-                    held += len(at)
-                if held >= GATHERED:
-                    yield from counted()
-                    gathered, held = [], 0
+        for words, core in _coded_rows(batches):
+            _, hashes = candidates(words, core)
+            if len(hashes):
+                gathered.append(hashes >> shift)
+                held += len(hashes)
+            if held >= GATHERED:
+                yield from counted()
+                gathered, held = [], 0
         if gathered:
             yield from counted()
 
-    return coded.select("words", "core").mapInArrow(run, "hash bigint, n bigint")
+    def add(batches):
+        slot, total = None, None
+        for batch in batches:
+            for at, lows, few in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if at != slot:
+                    if slot is not None:
+                        yield from bitmap(slot, total)
+                    slot, total = at, np.zeros(1 << low, np.int64)
+                # A count of 255 may be more, but any count that large is enough by itself or is counted on exactly.
+                total[np.frombuffer(lows.as_buffer(), "<u2")] += np.frombuffer(few.as_buffer(), np.uint8)
+        if slot is not None:
+            yield from bitmap(slot, total)
+
+    def bitmap(slot, total):
+        enough = total >= min(least, 255)
+        if enough.any():
+            yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([np.packbits(enough, bitorder="little").tobytes()], pa.binary())], ["slot", "bits"])
+
+    counted = coded.select("words", "core").mapInArrow(count, "slot bigint, lows binary, counts binary")
+    dealt = counted.repartition("slot").sortWithinPartitions("slot")
+    return _Filter(dealt.mapInArrow(add, "slot bigint, bits binary"), bits)
+
+
+def _merged(packed: DataFrame, least: int, width: int) -> DataFrame:
+    """``(lang, hash, n, words, word)`` of the entries with ``least`` occurrences, from packed rows that share slots."""
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
+                if row[:2] != key:
+                    if held:
+                        yield merged(key, held)
+                    key, held = row[:2], []
+                held.append(row[2:])
+        if held:
+            yield merged(key, held)
+
+    def merged(key, rows):
+        hashes = np.concatenate([np.frombuffer(h.as_buffer(), np.uint64) for h, *_ in rows])
+        counts = np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for _, c, *_ in rows])
+        distinct, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+        total = np.bincount(group, counts, minlength=len(distinct)).astype(np.int64)
+        kept = total >= least
+        place = pa.array(first[kept])
+        n = len(place)
+        if width:
+            own = np.concatenate([np.frombuffer(w.as_buffer(), np.uint64) for _, _, w, _ in rows]).reshape(-1, width)[first[kept]]
+            words = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel().view(np.int64)), width).cast(pa.list_(pa.int64()))
+            text = pa.nulls(n, pa.string())
+        else:
+            words = pa.nulls(n, pa.list_(pa.int64()))
+            text = pa.concat_arrays([s.values for *_, s in rows]).take(place)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[1]] * n, pa.string()), pa.array(distinct[kept].view(np.int64)), pa.array(total[kept]), words, text], ["lang", "hash", "n", "words", "word"]
+        )
+
+    dealt = packed.repartition("slot", "lang").sortWithinPartitions("slot", "lang")
+    return dealt.mapInArrow(run, "lang string, hash bigint, n bigint, words array<bigint>, word string")
+
 
+_PACKED = "slot bigint, lang string, hashes binary, counts binary, words binary, text array<string>"
 
-def _cuts(coded: DataFrame, filters: dict[int, _Filter]) -> DataFrame:
-    """``(lang, hash, words array, cut, left, right)`` of the phrases whose hashes the filters of their sizes hold, one row per cut."""
+
+def _packed(slot_bits: int, lang, hashes: np.ndarray, counts: np.ndarray, words: np.ndarray | None, texts: list[str] | None):
+    """One row for each slot from sorted distinct hashes."""
+    slots = (hashes >> np.uint64(64 - slot_bits)).astype(np.int64)
+    cuts = np.flatnonzero(slots[1:] != slots[:-1]) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(slots)], strict=True):
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(slots[a])]),
+                pa.array([lang], pa.string()),
+                pa.array([hashes[a:b].tobytes()], pa.binary()),
+                pa.array([counts[a:b].astype(np.int64).tobytes()], pa.binary()),
+                pa.array([None if words is None else words[a:b].tobytes()], pa.binary()),
+                pa.array([None if texts is None else texts[a:b]], pa.list_(pa.string())),
+            ],
+            ["slot", "lang", "hashes", "counts", "words", "text"],
+        )
+
+
+def _single_words(told: DataFrame, bucket: _Filter, slot_bits: int, least: int) -> DataFrame:
+    """The frequent words as they are spelled, counted exactly."""
 
     def run(batches):
-        seen: set[int] = set()  # emitted by this task and not to be repeated; starts anew when large
+        held: dict[str, list] = {}
+        size = 0
+
+        def flush():
+            for lang, parts in held.items():
+                hashes, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                texts = [t for p in parts for t in p[2]]
+                distinct, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+                total = np.bincount(group, counts, minlength=len(distinct)).astype(np.int64)
+                yield from _packed(slot_bits, lang, distinct, total, None, [texts[i].decode() for i in first])
+
         for batch in batches:
-            for raw, core, lang in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = np.frombuffer(raw.as_buffer(), np.uint64)
-                for size, known in filters.items():
-                    at = _starts(words, core, size, None)
-                    hashes = phrase_hashes(words, size)[at]
-                    hit = known(hashes)
-                    distinct, first = np.unique(hashes[hit], return_index=True)
-                    new = [i for i, h in enumerate(distinct.tolist()) if h not in seen]
-                    if not new:
-                        continue
-                    distinct, at = distinct[new], at[hit][first[new]]
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.update(distinct.tolist())
-                    own = words[at[:, None] + np.arange(size)]
-                    listed = pa.FixedSizeListArray.from_arrays(_signed(own.ravel()), size).cast(pa.list_(pa.int64()))
-                    for cut in range(1, size):
-                        left, right = phrase_hashes(own[:, :cut], cut)[:, 0], phrase_hashes(own[:, cut:], size - cut)[:, 0]
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * n, pa.string()), _signed(distinct), listed, pa.array([cut] * n, pa.int32()), _signed(left), _signed(right)],
-                            ["lang", "hash", "words", "cut", "left", "right"],
-                        )
-
-    made = coded.select("words", "core", "lang").mapInArrow(run, "lang string, hash bigint, words array<bigint>, cut int, left bigint, right bigint")
-    return made.distinct()
+            for names, raw, starts, ends, lang, words, _, _ in _words(batch):
+                at = np.flatnonzero(bucket(words))
+                for k in np.unique(lang[at]):
+                    own = at[lang[at] == k]
+                    distinct, first, n = np.unique(words[own], return_index=True, return_counts=True)
+                    place = own[first]
+                    texts = [raw[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+                    held.setdefault(names[k], []).append((distinct, n, texts))
+                    size += len(distinct)
+                if size >= GATHERED // 4:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return _merged(told.mapInArrow(run, _PACKED), least, 0)
+
+
+def _level(coded: DataFrame, size: int, candidates, slot_bits: int, least: int) -> DataFrame:
+    """The frequent phrases of ``size`` words among the candidates, counted exactly."""
+
+    def run(batches):
+        gathered, held = [], 0
+
+        def flush():
+            hashes, own = (np.concatenate([g[i] for g in gathered]) for i in (0, 1))
+            counts = np.concatenate([g[2] for g in gathered])
+            distinct, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+            total = np.bincount(group, counts, minlength=len(distinct)).astype(np.int64)
+            yield from _packed(slot_bits, None, distinct, total, own[first], None)
+
+        for words, core in _coded_rows(batches):
+            at, hashes = candidates(words, core)
+            if not len(at):
+                continue
+            distinct, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            gathered.append((distinct, words[at[first][:, None] + np.arange(size)], n))
+            held += len(distinct)
+            if held >= GATHERED // 4:
+                yield from flush()
+                gathered, held = [], 0
+        if gathered:
+            yield from flush()
+
+    return _merged(coded.select("words", "core").mapInArrow(run, _PACKED), least, size)
+
+
+def _streamed(phrases: DataFrame, backwards: bool, extension_percent: int) -> DataFrame:
+    """``phrases`` read in prefix order, or backwards in suffix order.
+
+    Adds to ``left`` (``right`` backwards) the counts of the phrases of two or more words that a phrase begins (ends) with, shortest
+    first, and sets ``inner`` where a phrase one word longer has ``extension_percent`` of its occurrences.  A phrase lies in one
+    partition with all that begin with its first two words, and only the phrases that the current one begins with are held.
+    """
+    order = F.reverse("words") if backwards else F.col("words")
+    side = "right" if backwards else "left"
+    dealt = phrases.withColumn("_order", order)
+    dealt = dealt.repartition(F.get("_order", F.lit(0)), F.get("_order", F.lit(1))).sortWithinPartitions("_order")
+    names = phrases.columns
+    at = names.index(side)
+
+    def run(batches):
+        stack: list[tuple[list[int], dict]] = []
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                own = row.pop("_order")
+                while stack and stack[-1][0] != own[: len(stack[-1][0])]:
+                    done.append(stack.pop()[1])
+                row[side] = [r["a"] for _, r in stack]
+                if stack and len(stack[-1][0]) == len(own) - 1 and 100 * row["a"] >= extension_percent * stack[-1][1]["a"]:
+                    stack[-1][1]["inner"] = True
+                stack.append((own, row))
+            if done:
+                yield told(done)
+        if stack:
+            yield told([r for _, r in stack])
+
+    def told(rows):
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("hash", pa.int64()), ("words", pa.list_(pa.int64())), ("a", pa.int64()), ("inner", pa.bool_()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
+    assert at >= 0 and schema.names == names
+    return dealt.mapInArrow(run, phrases.schema)
 
 
 def collocations(
@@ -232,55 +362,59 @@ def collocations(
     """
     if extension_percent < 100:
         raise ValueError("extension_percent must be 100 or more")
-    every = storage.kept(_code(docs, text_col, lang_col), "coded-words")
-    coded = every.where("words is not null")
-    spelled = storage.kept(every.where("word is not null").groupBy("lang", "hash", "word").agg(F.sum("n").alias("n")), "words")
-    totals = spelled.groupBy("lang").agg(F.sum("n").alias("total"))
-    spelled = spelled.where(F.col("n") >= least)
-    counts, filters = spelled.select("hash", "n"), {}
-    tables, seen = [], _Filter(counts, filter_bits)
+    told = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
+    coded = storage.kept(_code(told), "coded-words")
+    totals = storage.kept(coded.groupBy("lang").agg(F.sum("n").alias("total")), "language-words")
+    size_of_all = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
+    bits = min(max(size_of_all.bit_length() - 1, 16), max(filter_bits, 3))
+    slot_bits = min(max(size_of_all.bit_length() - 18, 4), 20)
+
+    seen = _buckets(coded, bits, least, _candidates(1, None))
+    singles = storage.kept(_single_words(told, seen, slot_bits, least).select("lang", "hash", "n", "word"), "words")
+    levels = []
+    # The words' bitmap holds some that are not frequent, which the next level's own count leaves out.
     for size in range(2, LONGEST + 1):
-        level = _level(coded, size, seen).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        level = storage.kept(level, f"phrases-{size}")
-        tables.append(level)
-        seen = filters[size] = _Filter(level, filter_bits)
-        counts = counts.unionByName(level)
-        if not level.head(1):
+        if not seen.any:
             break
-    cuts = storage.kept(_cuts(coded, filters), "cuts")
-
-    stream = counts.select(F.col("hash").alias("of"), F.col("n").alias("count"))
-    whole = cuts.join(stream.hint("merge"), F.col("hash") == F.col("of")).drop("of").withColumnRenamed("count", "a")
-    prefixes = whole.join(stream.hint("merge"), F.col("left") == F.col("of")).drop("of").withColumnRenamed("count", "l")
-    both = prefixes.join(stream.hint("merge"), F.col("right") == F.col("of")).drop("of").withColumnRenamed("count", "r")
-    both = storage.kept(both, "cut-counts")
-
-    # A phrase without its last word is the left part of the last cut, one without its first word the right part of the first.
-    extended = both.select(
-        F.explode(
-            F.array(
-                F.when(F.col("cut") == F.size("words") - 1, F.struct(F.col("left").alias("inner"), F.col("l").alias("own"), "a")),
-                F.when(F.col("cut") == 1, F.struct(F.col("right").alias("inner"), F.col("r").alias("own"), "a")),
-            )
-        ).alias("e")
+        seen_here = _buckets(coded, bits, least, _candidates(size, seen))
+        level = _level(coded, size, _candidates(size, seen, seen_here), slot_bits, least)
+        levels.append(storage.kept(level.select("hash", "words", F.col("n").alias("a")), f"phrases-{size}"))
+        seen = seen_here
+    storage.delete(coded)
+
+    none = F.lit(None).cast("array<bigint>")
+    stream = told.sparkSession.createDataFrame([], "hash bigint, words array<bigint>, a bigint")
+    for level in levels:
+        stream = stream.unionByName(level)
+    stream = stream.select("hash", "words", "a", F.lit(False).alias("inner"), none.alias("left"), none.alias("right"))
+    streamed = _streamed(_streamed(stream, False, extension_percent), True, extension_percent).where("not inner")
+
+    outer = streamed.select("hash", "words", "a", "left", "right", F.get("words", F.lit(0)).alias("first_word"), F.element_at("words", -1).alias("last_word"))
+    heads = singles.select(F.col("hash").alias("first_word"), "lang", F.col("n").alias("l1"))
+    tails = singles.select(F.col("hash").alias("last_word"), F.col("n").alias("r1"))
+    outer = outer.join(heads.hint("merge"), "first_word").join(tails.hint("merge"), "last_word").join(totals, "lang")
+    lefts, rights = F.concat(F.array("l1"), "left"), F.concat(F.array("r1"), "right")
+    whole = outer.select("hash", "lang", "words", "a", "total", lefts.alias("lefts"), rights.alias("rights"))
+    cuts = F.expr(
+        """transform(sequence(1, size(lefts)), k -> struct(
+          cast(1000 as decimal(4,0)) * (cast(a as decimal(17,0)) * cast(total as decimal(17,0)))
+            div (cast(get(lefts, k - 1) as decimal(19,0)) * cast(get(rights, size(lefts) - k) as decimal(19,0))) as score,
+          k as cut, get(lefts, k - 1) as l, get(rights, size(lefts) - k) as r))"""
     )
-    inner = extended.where(100 * F.col("e.a") >= extension_percent * F.col("e.own")).select(F.col("e.inner").alias("hash")).distinct()
-
-    scored = both.join(totals, "lang").withColumn(
-        "score", F.expr("cast(1000 as decimal(4,0)) * (cast(a as decimal(17,0)) * cast(total as decimal(17,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    )
-    lowest = scored.groupBy("hash", "lang", "words", "a", "total").agg(F.min(F.struct("score", "cut", "l", "r")).alias("low"))
-    lowest = storage.kept(lowest.join(inner, "hash", "left_anti"), "scored")
-
-    letters = spelled.select(F.col("hash").alias("word_hash"), "word")
-    placed = lowest.select("hash", F.posexplode("words").alias("at", "word_hash")).join(letters, "word_hash")
+    scored = storage.kept(whole.withColumn("low", F.array_min(cuts)).select("hash", "lang", "words", "a", "total", "low"), "scored")
+
+    # Each part of a language gives no more than its first rows, and their equals, to the one task that ranks them.
+    by_count = [F.col("low.score").desc(), F.col("a").desc()]
+    part = Window.partitionBy("lang", F.pmod("hash", F.lit(RANK_PARTS))).orderBy(*by_count)
+    near = scored.withColumn("_near", F.rank().over(part)).where(F.col("_near") <= first)
+    near = near.withColumn("_near", F.rank().over(Window.partitionBy("lang").orderBy(*by_count))).where(F.col("_near") <= first)
+    near = storage.kept(near.drop("_near"), "leading")
+    letters = singles.select(F.col("hash").alias("word_hash"), "word")
+    placed = near.select("hash", F.posexplode("words").alias("at", "word_hash")).join(letters, "word_hash")
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
-    named = lowest.join(placed.groupBy("hash").agg(phrase.alias("phrase")), "hash")
-    order = [F.col("low.score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    # Each part of a language gives no more than its first rows to the one task that ranks them.
-    part = Window.partitionBy("lang", F.pmod("hash", F.lit(RANK_PARTS))).orderBy(*order)
-    near = named.withColumn("_near", F.row_number().over(part)).where(F.col("_near") <= first)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
+    named = near.join(placed.groupBy("hash").agg(phrase.alias("phrase")), "hash")
+    order = [*by_count, F.col("phrase").asc()]
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     return ranked.select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), F.col("total").alias("n"), F.col("low.score").alias("score")
     )
