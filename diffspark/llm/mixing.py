@@ -64,6 +64,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     quality_col: str | None = None,
+    quality: DataFrame | None = None,
     weights: Sequence[float] = (5, 2, 1),
     max_epochs: int = 3,
     seed: int = 42,
@@ -75,18 +76,25 @@ def mix(
     NULL text has no words and is never taken.  A NULL source is a source of its own.  A quality weight that is NULL counts as 1; one
     that is NaN or not above 0 is drawn after all others.  Rows that repeat an id draw the same key and follow each other by size; NULL ids are
     id 0 in the draw.  No rows give no rows.  Other columns are not read.
+    Weights stand in ``quality_col`` or come as a table ``quality (id, weight)`` of distinct ids, which meets the documents when their
+    texts have become sizes; a document that it does not name has weight 1.
     """
-    quality = F.lit(1.0) if quality_col is None else F.coalesce(F.col(quality_col).cast("double"), F.lit(1.0))
-    drawn = F.when((quality > 0) & ~F.isnan(quality), sampling_key(id_col, quality, seed)).otherwise(F.lit(float("inf")))
+    own = F.lit(None) if quality_col is None else F.col(quality_col)
     told = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).isNull().cast("int").alias("_null"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_name"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        drawn.alias("_key"),
+        own.cast("double").alias("_quality"),
     )
     # Texts are read once; from here on a document is a few numbers.
     told = storage.kept(told, "sizes")
+    if quality is not None:
+        judged = quality.select(F.col("id").alias("_judged"), F.col("weight").cast("double").alias("_weight"))
+        told = told.join(judged, F.col("_id") == F.col("_judged"), "left").withColumn("_quality", F.coalesce("_weight", "_quality"))
+    chance = F.coalesce("_quality", F.lit(1.0))
+    drawn = F.when((chance > 0) & ~F.isnan(chance), sampling_key("_id", chance, seed)).otherwise(F.lit(float("inf")))
+    told = told.select("_id", *_SOURCE, "_size", drawn.alias("_key"))
     sizes = told.groupBy(*_SOURCE).agg(F.sum("_size").alias("source_size"))
     targets = storage.kept(source_targets(sizes, weights, max_epochs), "targets")
     order = [F.col("_key").asc(), F.col("_id").asc(), F.col("_size").asc()]

@@ -121,11 +121,9 @@ def op11_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources takes of every document; documents judged good are four times as likely drawn as those judged bad."""
-    judged = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("judged_id")).agg(F.max("quality").alias("judged"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    docs = docs.join(judged, F.col("doc_id") == F.col("judged_id"), "left")
+    judged = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("judged"))
     weight = F.when(F.col("judged") == 1, 2.0).when(F.col("judged") == 0, 0.5).otherwise(1.0)
-    mixed = mixing.mix(docs.withColumn("weight", weight), quality_col="weight")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), quality=judged.select("id", weight.alias("weight")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
