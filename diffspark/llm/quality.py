@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 
 from diffspark.llm import textbatch as tb
 
+#: Text whose measures a task holds at once, beyond a single longer document.
+PIECE_BYTES = 1 << 20
+
 #: Phrases of boilerplate lines (licences, cookie notices, site furniture).
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of service", "terms of use", "cookie", "javascript", "subscribe",
@@ -72,8 +75,9 @@ def line_fault(line: str, words: int, rules: LineRules) -> str | None:
     return None
 
 
-def _measure(texts: pa.Array, rules: LineRules) -> Iterator[dict[str, np.ndarray | list]]:
-    for first, last, data, offsets in tb.pieces(texts):
+def _measure(texts: pa.Array, rules: LineRules) -> Iterator[tuple[int, dict[str, np.ndarray | list]]]:
+    """The first row and the measures of some texts at a time."""
+    for first, last, data, offsets in tb.pieces(texts, PIECE_BYTES):
         n = last - first
         starts, ends, owner = tb.spans(data, offsets)
         word_hash = tb.hashes(data, starts, ends)
@@ -127,7 +131,7 @@ def _measure(texts: pa.Array, rules: LineRules) -> Iterator[dict[str, np.ndarray
                 begin = min(b + 1, int(offsets[i + 1]))  # with its line end
             parts.append(raw[begin : offsets[i + 1]])
             cleaned.append(b"".join(parts).decode())
-        yield {
+        yield first, {
             "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup,
             "n_repeat_words": n_repeat, "base_failed": failed, "kept": kept,
             "n_cut_lines": np.array([len(c) for c in cut]), "cleaned": cleaned,
@@ -147,21 +151,18 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
     def run(batches):
         for batch in batches:
-            parts = list(_measure(batch.column(1), rules))
-            if not parts:
-                continue
-            columns = {k: [x for p in parts for x in p[k]] for k in parts[0]}
-            names, arrays = [id_col], [batch.column(0)]
-            for k in _FIELDS:
-                names.append(k)
-                arrays.append(pa.array(np.asarray(columns[k], np.int64)))
-            for k in ("base_failed", "kept"):
-                names.append(k)
-                arrays.append(pa.array(np.asarray(columns[k], bool)))
-            if with_text:
-                names.append("cleaned")
-                arrays.append(pa.array(columns["cleaned"], pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            for first, measures in _measure(batch.column(1), rules):
+                names, arrays = [id_col], [batch.column(0).slice(first, len(measures["kept"]))]
+                for k in _FIELDS:
+                    names.append(k)
+                    arrays.append(pa.array(np.asarray(measures[k], np.int64)))
+                for k in ("base_failed", "kept"):
+                    names.append(k)
+                    arrays.append(pa.array(np.asarray(measures[k], bool)))
+                if with_text:
+                    names.append("cleaned")
+                    arrays.append(pa.array(measures["cleaned"], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} bigint" for k in _FIELDS) + ", base_failed boolean, kept boolean"
@@ -169,17 +170,20 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that pass, with all their columns, in one pass without a join; failing lines are cut from the text."""
+    """The documents that pass, with all their columns, in one pass without a join; failing lines are cut from the text.
+
+    A NULL or empty text has no words and fails.  Rows that repeat are judged each on its own; other columns and NULLs in them pass through,
+    whatever their names; no rows give no rows.  A document is in one task's memory as a whole.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            parts = list(_measure(batch.column(at), rules))
-            if not parts:
-                continue
-            kept = pa.array([bool(x) for p in parts for x in p["kept"]])
-            text = pa.array([x for p in parts for x in p["cleaned"]], batch.schema.field(at).type)
-            arrays = [text if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(kept)
+            for first, measures in _measure(batch.column(at), rules):
+                kept = pa.array(np.asarray(measures["kept"], bool))
+                some = batch.slice(first, len(kept))
+                text = pa.array(measures["cleaned"], batch.schema.field(at).type)
+                arrays = [text if i == at else c for i, c in enumerate(some.columns)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(kept)
 
     return docs.mapInArrow(run, docs.schema)
