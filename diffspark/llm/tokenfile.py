@@ -8,7 +8,6 @@ low bytes.  A block is decoded with two table lookups and no loop over tokens.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.llm import storage
-from diffspark.llm.wordbpe import library
+from diffspark.llm.wordbpe import library, units
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
@@ -49,17 +48,16 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 def _tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         lib = library(vocabulary)
-        end = array(lib.code, [END_ID]).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = [np.frombuffer(lib.encode(t) + end, lib.code) for t in some.column(1).to_pylist()]
+            for found in units(batch.column(1)):
+                ids, counts = lib.ids_of(found)
+                n, ends = len(counts), np.cumsum(counts)
                 # Ids of such vocabularies rise as words get rarer, so they already pack well.
-                streams = [pack(x) for x in ids]
+                streams = [pack(np.append(ids[a:b], END_ID)) for a, b in zip([0, *ends.tolist()], ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0),
-                        pa.array([len(x) for x in ids], pa.int64()),
+                        batch.column(0).slice(found.first, n),
+                        pa.array(np.diff(ends, prepend=0) + 1),
                         pa.array([c for c, _ in streams], pa.binary()),
                         pa.array([d for _, d in streams], pa.binary()),
                     ],
