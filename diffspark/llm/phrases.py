@@ -25,8 +25,9 @@ from diffspark.llm import storage
 from diffspark.llm import textbatch as tb
 
 LONGEST = 5
-#: Words of a row of coded text, and hashes that a task gathers before it counts them.
-CHUNK_WORDS, GATHERED = 1 << 19, 1 << 21
+#: Bytes of text that are cut into words at once, words of a row of coded text, and hashes that a task gathers before it counts them.
+PIECE_BYTES = 1 << 20
+CHUNK_WORDS, GATHERED = 1 << 17, 1 << 20
 #: Bits of the bitmaps that go to every task: half as many as the corpus has words, between 2^16 and this many (2^30 are 128 MB).
 FILTER_BITS = 30
 #: Buckets that are counted together; hashes whose first bits agree.
@@ -57,7 +58,7 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bytes, np.ndarra
     names, lang_of = np.unique(np.array(batch.column(1).fill_null("und").to_pylist(), object), return_inverse=True)
     # Mixed once more, so that a word that is the name of a language hashes like any other.
     lang_hash = tb.mix(np.array([tb.hashes(x := np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0] for s in names], np.uint64))
-    for first, _, data, offsets in tb.pieces(batch.column(0)):
+    for first, _, data, offsets in tb.pieces(batch.column(0), PIECE_BYTES):
         data = tb.lowered(data)
         starts, ends, owner = tb.spans(data, offsets, _APART)
         if not len(starts):
