@@ -12,8 +12,12 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose content is never text of the page's article: code, styles, form controls, metadata.
-SILENT = frozenset("button datalist form head iframe input math noscript object option script select style svg template textarea title".split())
+#: Elements whose content is never text of the page's article: code, styles, form controls and their labels, metadata.
+SILENT = frozenset(
+    "button datalist head iframe input label legend meter noscript object optgroup option output progress script select style svg template textarea title".split()
+)
+#: A form with this share of a page's words is the page, not a form on it.
+PAGE_FORM = 0.5
 #: A start tag of a block ends an open element of these kinds first, up to the given container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -37,6 +41,7 @@ _WORDS = re.compile(r"[a-z]+")
 class Block:
     text: str
     features: list[str]
+    form: int = 0  # the outermost form around it, from 1
 
 
 class _Open:
@@ -58,6 +63,8 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[_Open] = []
         self.silent = 0
+        self.links = 0
+        self.forms = 0
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[Block] = []
@@ -77,10 +84,12 @@ class _Reader(HTMLParser):
             self.parts.append(" ")
         if tag == "body":  # ends a head that was left open
             self.stack.clear()
-            self.silent = 0
+            self.silent = self.links = 0
         if tag not in VOID:
             self.stack.append(_Open(tag, attrs))
             self.silent += tag in SILENT
+            self.links += tag == "a"
+            self.forms += tag == "form"
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -98,19 +107,21 @@ class _Reader(HTMLParser):
 
     def drop(self, depth: int):
         self.silent -= sum(o.tag in SILENT for o in self.stack[depth:])
+        self.links -= sum(o.tag == "a" for o in self.stack[depth:])
         del self.stack[depth:]
 
     def handle_data(self, data):
         if self.silent:
             return
         self.parts.append(data)
-        if any(o.tag == "a" for o in self.stack):
+        if self.links:
             self.linked += len(data.split())
 
     def cut(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.features(text)))
+            inside = any(o.tag == "form" for o in self.stack)
+            self.blocks.append(Block(text, self.features(text), self.forms if inside else 0))
         self.parts.clear()
         self.linked = 0
 
@@ -127,15 +138,25 @@ class _Reader(HTMLParser):
         if any(o.hidden for o in self.stack):
             out.append("hidden")
         words = len(text.split())
-        out.append(f"words={min(words, 64).bit_length()}")
+        size = min(words, 64).bit_length()
+        out.append(f"words={size}")
         share = self.linked / max(1, words)
-        out.append(f"links={'none' if not share else 'some' if share < 0.5 else 'most'}")
+        links = "none" if not share else "some" if share < 0.5 else "most"
+        out.append(f"links={links}")
+        if not places:  # nothing but the text says what it is
+            out += [f"plain words={size}", f"plain links={links}", f"plain tag={tags[-1] if tags else 'none'}"]
         out.append(f"stop={text[-1] in '.!?…。:;'}")
         return out
 
     def close(self):
         super().close()
         self.cut()
+        words: dict[int, int] = {}
+        for block in self.blocks:
+            words[block.form] = words.get(block.form, 0) + len(block.text.split())
+        for block in self.blocks:
+            page = words[block.form] >= PAGE_FORM * sum(words.values())
+            block.features.append(f"form={'none' if not block.form else 'page' if page else 'small'}")
 
 
 def blocks(html: str | None) -> list[Block]:

@@ -47,6 +47,10 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     def said(tag: str) -> str:
         text = _sentence(rng)
         truth.append(text)
+        if rng.random() < 0.05:
+            symbol = _words(rng, 1, 1)
+            truth[-1] = f"{text} {symbol}"
+            return f"<{tag}>{text} <math><mi>{symbol}</mi></math></{tag}>"
         if rng.random() < 0.2:
             head, _, tail = text.partition(" ")
             return f'<{tag}><a href="#">{head}</a> {tail}</{tag}>' if tail else f"<{tag}>{head}</{tag}>"
@@ -77,11 +81,21 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         inner += furniture("comments")
     marks = ["content", "post", "entry-content", "article-body", "story"]
     article = f"<{frame}>{inner}</{frame}>" if frame in ("article", "main") else wrap(frame, marks, inner)
+    if rng.random() < 0.35:  # nothing around the article says what it is
+        cell = f"<table><tr><td>{inner}</td></tr></table>"
+        article = rng.choice([inner, f"<div>{inner}</div>", f'<div class="col-{rng.randint(1, 12)}">{inner}</div>', cell, f"<section><div>{inner}</div></section>"])
     after = [furniture(p) for p in rng.sample(places, rng.randint(0, 4))]
-    form = f"<form><label>{_words(rng, 1, 3)}</label><input name='q'><button>{_words(rng, 1, 1)}</button></form>" if rng.random() < 0.4 else ""
+    form = ""
+    if rng.random() < 0.4:
+        asked = rng.choice(["", "", f"<p>{_words(rng, 2, 8)}</p>", f"<h3>{_words(rng, 1, 4)}</h3>", _words(rng, 1, 5)])
+        form = f"<form>{asked}<label>{_words(rng, 1, 3)}</label><input name='q'><button>{_words(rng, 1, 1)}</button></form>"
+    if rng.random() < 0.1:
+        form += f"<noscript><p>{_sentence(rng)}</p></noscript>"
     middle = "".join(before) + form + article + "".join(after)
     if rng.random() < 0.4:
         middle = wrap("div", ["page", "wrapper", "container", "layout"], middle)
+    if rng.random() < 0.15 and "<form" not in middle:
+        middle = f'<form action="/">{middle}</form>'
     return f"<html><head><title>{_words(rng, 1, 5)}</title></head><body>{middle}</body></html>", truth
 
 

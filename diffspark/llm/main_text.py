@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from diffspark.llm.html_blocks import Block, blocks
 from diffspark.llm.html_training import labelled_pages
 
-TRAINING_PAGES = 300  # bound of the labelled sample
+TRAINING_PAGES = 500  # bound of the labelled sample
 STEPS = 200
 RATE = 0.1
 PENALTY = 1e-3
@@ -123,7 +123,8 @@ def main_text(html: str | None, tagger: Tagger) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), tagger: Tagger | None = None) -> DataFrame:
     """``(*keep, text)`` of every page, one pass without a shuffle; the text is empty if there is none.
 
-    NULL and empty pages give an empty text; repeated rows stand alone; columns not in ``keep`` are not read.
+    NULL and empty pages give an empty text; repeated rows stand alone; no rows give no rows; columns not in ``keep`` are not read, so
+    only names among ``keep`` and ``text`` could clash.  A page of any length is read as a whole by its task.
     """
     tagger = tagger or default_tagger()
 

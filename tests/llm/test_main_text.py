@@ -63,3 +63,25 @@ def test_odd_pages(spark, tagger):
 def test_list_items_and_cells_are_blocks():
     page = "<article><ul><li>a<li>b <ul><li>c</li></ul> d</ul><table><tr><td>1<td>2<tr><td>3</table></article>"
     assert [b.text for b in blocks(page)] == ["a", "b", "c", "d", "1", "2", "3"]
+
+
+WORDS = "the quick brown foxes of this long paragraph jump over lazy dogs while readers go on and on with their reading today"
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<body>{}</body>", "<body><div>{}</div></body>", "<body><div class='col-8'>{}</div></body>", "<body><table><tr><td>{}</td></tr></table></body>",
+        "<body><form action='/'><article>{}</article></form></body>", "<body><form action='/'><div>{}</div></form></body>",
+    ],
+)
+def test_articles_without_a_marked_container(tagger, frame):
+    paragraphs = [f"{WORDS.capitalize()} number {i}." for i in range(5)]
+    inner = "<h1>A title of the page</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = frame.replace("<body>", '<body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">More</a></li></ul></nav>').replace("</body>", "<footer>&copy; someone</footer></body>")
+    assert mt.main_text(page.format(inner), tagger) == "\n".join(["A title of the page", *paragraphs])
+
+
+def test_formulas_stay_and_small_forms_go(tagger):
+    page = f"<article><p>{WORDS} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><form><p>Sign up here</p><input><button>Go</button></form><p>{WORDS}.</p></article>"
+    assert mt.main_text(page, tagger) == f"{WORDS} x=1 holds.\n{WORDS}."
