@@ -15,8 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diffspark.operators.ordered import BLOCK, cut_blocks, require, running
 
@@ -40,7 +43,7 @@ def _rank_values(count: Column, positives: Column, score: str) -> tuple[dict, di
     return values, totals
 
 
-def _ranked(scored, keys, y, score, ordinal, blocks, per_block=None) -> DataFrame:
+def _ranked(scored, keys, y, score, ordinal, blocks, **more) -> DataFrame:
     rows = scored.select(
         *keys,
         F.col(ordinal),
@@ -49,7 +52,7 @@ def _ranked(scored, keys, y, score, ordinal, blocks, per_block=None) -> DataFram
     )
     order = [F.col(score).desc(), F.col(ordinal).desc()]
     values, totals = _rank_values(F.lit(1).cast("long"), F.col(y), score)
-    return running(cut_blocks(rows, keys, order, blocks), keys, order, values, totals=totals, per_block=per_block)
+    return running(cut_blocks(rows, keys, order, blocks), keys, order, values, totals=totals, **more)
 
 
 def rank_rows(
@@ -111,32 +114,86 @@ def _summarise_cells(scored, keys, y, score, blocks) -> DataFrame:
     )
 
 
+_BEST = ("f1", "low", "best_tp", "predicted")
+
+
+def _block_sums(keys: Sequence[str], y: str, score: str):
+    """What a block adds to the metrics of its keys: one row for the inner runs of a key, one for each run at an edge.
+
+    Rows of equal score are a run, whose last row speaks for all of it.  Only a block's first and last run of a key can go on in
+    a neighbouring block; they are passed on with their score.
+    """
+
+    def sums(column: dict[str, pa.Array], starts: np.ndarray) -> pa.Table:
+        got = {n: column[n].to_numpy(zero_copy_only=False) for n in (y, score, "tp", "seen", "_before_tp", "_before_seen", "_run_end", "_edge", *_TOTALS)}
+        n = len(got[score])
+        # A key's rows fall into stretches: a run at an edge is one, all its inner runs are another.
+        fresh = np.zeros(n, bool)
+        fresh[starts] = True
+        ends = got["_run_end"].astype(bool)
+        edge = got["_edge"].astype(bool)
+        fresh[1:] |= (edge[1:] != edge[:-1]) | (edge[1:] & ends[:-1])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], n) - 1
+
+        def total(values):
+            return np.add.reduceat(values, first)
+
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ap = np.where(got[y] == 1, got["tp"] / got["seen"], 0.0)
+            nan = np.isnan(got[score])
+            hits, predicted = got["tp"] - got["nan_pos"], got["seen"] - got["nan_all"]
+            cell_all, cell_pos = (np.where(ends, got[a] - got[b], 0) for a, b in (("seen", "_before_seen"), ("tp", "_before_tp")))
+            above = np.where(nan, got["n_pos"], hits).astype(np.float64)
+            auc = np.where(ends & ~edge, (cell_all - cell_pos).astype(np.float64) * above, 0.0)
+            precision, recall = hits / predicted, hits / got["n_pos"]
+            f1 = np.where(ends & ~edge & ~nan & (hits > 0), 2 * precision * recall / (precision + recall), -1.0)
+        # The highest F1 of a stretch; of equal ones the lowest threshold, which stands last.
+        top = np.maximum.reduceat(f1, first)
+        stretch = np.repeat(np.arange(len(first)), last - first + 1)
+        best = np.maximum.reduceat(np.where(f1 == top[stretch], np.arange(n), -1), first)
+        some = top >= 0
+        lowest = np.minimum.reduceat(np.where(nan, np.inf, got[score]), first)
+        place = pa.array(first)
+        missing = lambda values, there, kind: pa.array(values, kind, mask=~there)
+        at_edge = edge[first]
+        return pa.Table.from_arrays(
+            [
+                *[column[k].take(place) for k in keys],
+                missing(got[score][last], at_edge, pa.float64()),
+                pa.array(total(ap)),
+                pa.array(total(auc)),
+                missing(top, some, pa.float64()),
+                missing(-got[score][best], some, pa.float64()),
+                missing(hits[best], some, pa.int64()),
+                missing(predicted[best], some, pa.int64()),
+                missing(lowest, np.isfinite(lowest) | (lowest < 0), pa.float64()),
+                pa.array(total(cell_all)),
+                pa.array(total(cell_pos)),
+                *[pa.array(got[c][last]) for c in ("tp", "seen", *_TOTALS)],
+            ],
+            [*keys, "_edge_score", "_ap", "_auc", *_BEST, "_lowest", "cell_all", "cell_pos", "tp", "seen", *_TOTALS],
+        )
+
+    return sums
+
+
 def _summarise_rows(scored, keys, y, score, ordinal, blocks) -> DataFrame:
     """Metrics with the row order inside equal scores.
 
-    The ranked rows are already together by ``(key, block)``, so equal scores are combined there
-    without a shuffle.  Only a block's first and last score can continue in a neighbouring block;
-    those few partial cells are merged by score, everything else goes straight into the sums.
+    A block hands on a few sums for each key; runs of equal scores at the edges of blocks are first put together by score.
     """
-    edges = {"_first": ("max", F.col(score)), "_last": ("min", F.col(score))}
-    ranked = _ranked(scored, keys, y, score, ordinal, blocks, edges)
-    at_edge = (F.col(score) == F.col("_first")) | (F.col(score) == F.col("_last"))
-    pieces = ranked.groupBy(*keys, BLOCK, score).agg(
-        F.count(F.lit(1)).alias("cell_all"),
-        F.sum(y).alias("cell_pos"),
-        F.sum(F.when(F.col(y) == 1, _ratio(F.col("tp"), F.col("seen")))).alias("ap_part"),
-        F.max("tp").alias("tp"),
-        F.max("seen").alias("seen"),
-        *[F.max(c).alias(c) for c in _TOTALS],
-        F.bool_or(at_edge).alias("_edge"),
-    )
-    inner = ~F.col("_edge")
-    merged = pieces.groupBy(*keys, F.when(F.col("_edge"), F.col(score)).alias("_edge_score")).agg(
-        F.sum("ap_part").alias("_ap"),
-        F.sum(F.when(inner, _auc_part(score))).alias("_auc"),
-        F.max(F.when(inner, _f1_candidate(score))).alias("_best"),
-        F.min(F.when(~F.isnan(score), F.col(score))).alias("_lowest"),
-        *[F.sum(c).alias(c) for c in ("cell_all", "cell_pos")],
+    doubles = ("_edge_score", "_ap", "_auc", "f1", "low", "_lowest")
+    longs = ("best_tp", "predicted", "cell_all", "cell_pos", "tp", "seen", *_TOTALS)
+    order = ["_edge_score", "_ap", "_auc", *_BEST, "_lowest", "cell_all", "cell_pos", "tp", "seen", *_TOTALS]
+    kinds = {**dict.fromkeys(doubles, T.DoubleType()), **dict.fromkeys(longs, T.LongType())}
+    schema = T.StructType([*[scored.select(k).schema[0] for k in keys], *[T.StructField(c, kinds[c]) for c in order]])
+    sums = _ranked(scored, keys, y, score, ordinal, blocks, runs_of=score, reduce=(_block_sums(list(keys), y, score), schema))
+    best = F.when(F.col("f1").isNotNull(), F.struct("f1", "low", F.col("best_tp").alias("tp"), "predicted"))
+    merged = sums.groupBy(*keys, "_edge_score").agg(
+        *[F.sum(c).alias(c) for c in ("_ap", "_auc", "cell_all", "cell_pos")],
+        F.max(best).alias("_best"),
+        F.min("_lowest").alias("_lowest"),
         *[F.max(c).alias(c) for c in ("tp", "seen", *_TOTALS)],
     )
     edge = F.col("_edge_score").isNotNull()

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diffspark.constants import PATIENCE
-from diffspark.operators.ordered import BLOCK, cut_blocks, running
+from diffspark.operators.ordered import BATCH_ROWS, BLOCK, cut_blocks, running, whole_block
 from diffspark.session import checkpointed
 
 START = -1.0  # the value the first epoch has to beat
@@ -23,7 +26,7 @@ def weighted_loss(batches: DataFrame, by: Sequence[str], loss: str = "loss", n:
 
 
 def _positions(log: DataFrame, keys, order, metric, blocks) -> DataFrame:
-    """Blocks with ``position`` and the best earlier metric (NaN never counts)."""
+    """Blocks with ``position``, the best earlier metric (NaN never counts) and whether the run has other blocks."""
     blocked = cut_blocks(log, keys, order, blocks)
     value = F.when(~F.isnan(metric), F.col(metric))
     placed = running(
@@ -32,59 +35,106 @@ def _positions(log: DataFrame, keys, order, metric, blocks) -> DataFrame:
         order,
         {"_earlier": ("sum", F.lit(1).cast("long")), "_best_before": ("max", value)},
         inclusive=False,
+        spans="_spans",
     )
     return placed.withColumn("position", F.col("_earlier") + 1).drop("_earlier")
 
 
-def _accepted_with_delta(records: DataFrame, keys: Sequence[str], metric: str, min_delta: float, blocks: int | None) -> DataFrame:
-    """Positions of accepted improvements when an epoch must beat the accepted best by ``min_delta``.
+def _accepted_with_delta(rows: DataFrame, keys: Sequence[str], metric: str, min_delta: float) -> DataFrame:
+    """``rows`` with ``improved``, when an epoch must beat the accepted best by ``min_delta``.
 
-    An accepted epoch always beats every earlier one, so only strict prefix maxima (``records``) can be accepted, and they
-    rise along a run.  After one is accepted, the next is therefore the first record above its value plus ``min_delta``:
-    counting the records up to that value, in one ranked pass, names it.  The accepted ones are those reached from the
-    start by these steps, found by doubling the steps; every join key is one record, so no run is one task's work.
+    An accepted epoch always beats every earlier one, so only strict prefix maxima (records) can be accepted.  They rise
+    along a run; after one is accepted, the next is the first record above its value plus ``min_delta``.  Inside a block
+    these steps are pointers in an array, and doubling them tells for every record which one is accepted last when it
+    is the first.  A run over several blocks is then followed block by block, one search in each; the bars that its blocks
+    start with are at most two a block and go to all tasks, which mark their own rows.
     """
-    own = [*[F.col(k) for k in keys], F.col("position")]
-    values = records.select(*own, F.col(metric).cast("double").alias("_v"))
-    beaten = (F.col("_v") + F.lit(min_delta)).alias("_v")
-    starts = values.select(*keys).distinct().select(
-        *[F.col(k) for k in keys], F.lit(0).cast("long").alias("position"), F.lit(START + min_delta).alias("_v")
-    )
-    rows = values.select(*own, "_v", F.lit(0).alias("_asks")).unionByName(
-        values.select(*own, beaten, F.lit(1).alias("_asks"))
-    ).unionByName(starts.withColumn("_asks", F.lit(1)))
-    order = [F.col("_v").asc(), F.col("_asks").asc(), F.col("position").asc()]
-    is_record = (F.col("_asks") == 0).cast("long")
-    ranked = checkpointed(running(cut_blocks(rows, keys, order, blocks), keys, order, {"_seen": ("sum", is_record)}))
-    at = ranked.where("_asks = 0").select(*keys, F.col("_seen").alias("_rank"), F.col("position").alias("_to"))
-    asks = ranked.where("_asks = 1").select(*own, (F.col("_seen") + 1).alias("_rank"))
-    step = checkpointed(asks.join(at, [*keys, "_rank"]).select(*own, "_to"))
-    reached = ranked.where("position = 0").select(*own)
-    while step.head(1):
-        reached = checkpointed(reached.union(reached.join(step, [*keys, "position"]).select(*keys, "_to")))
-        onward = step.select(*keys, F.col("position").alias("_to"), F.col("_to").alias("_further"))
-        step = checkpointed(step.join(onward, [*keys, "_to"]).select(*own, F.col("_further").alias("_to")))
-    return reached.where("position > 0")
+    names, kinds = list(keys), {k: rows.schema[k].dataType.simpleString() for k in keys}
+    key_columns = ", ".join(f"`{k}` {t}" for k, t in kinds.items())
+    key_columns = key_columns + ", " if names else ""
+
+    def exits(batches):
+        block = whole_block(batches, names)
+        if block is None:
+            return
+        column, starts, ends = block
+        across = column["_spans"].to_numpy(zero_copy_only=False)
+        value = column[metric].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        beats = column["_beats"].to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if not across[a]:
+                continue
+            v = value[a:b][beats[a:b]]
+            last, step = np.arange(len(v)), np.append(np.searchsorted(v, v + min_delta, "right"), len(v))
+            while (step[:-1] < len(v)).any():
+                last = np.where(step[:-1] < len(v), np.append(last, 0)[step[:-1]], last)
+                step = step[step]
+            yield pa.RecordBatch.from_arrays(
+                [column[k].slice(a, 1) for k in names]
+                + [column[BLOCK].slice(a, 1), pa.array([v.tobytes()], pa.binary()), pa.array([v[last].tobytes()], pa.binary())],
+                [*names, BLOCK, "_from", "_last"],
+            )
+
+    def bars(batches):
+        key, bar = None, 0.0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (own := tuple(row[k] for k in names)) != key:
+                    key, bar = own, START + min_delta
+                yield pa.RecordBatch.from_pylist([{**{k: row[k] for k in names}, BLOCK: row[BLOCK], "_bar": bar}], schema=bar_schema(batch))
+                first = int(np.searchsorted(np.frombuffer(row["_from"]), bar, "right"))
+                last = np.frombuffer(row["_last"])
+                if first < len(last):
+                    bar = float(last[first]) + min_delta
+
+    def bar_schema(batch):
+        return pa.schema([*[batch.schema.field(k) for k in names], batch.schema.field(BLOCK), pa.field("_bar", pa.float64())])
+
+    def mark(batches):
+        block = whole_block(batches, names)
+        if block is None:
+            return
+        column, starts, ends = block
+        value = column[metric].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        beats = column["_beats"].to_numpy(zero_copy_only=False).astype(bool)
+        bar_of = column["_bar"].to_numpy(zero_copy_only=False)
+        improved = np.zeros(len(value), bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            at = a + np.flatnonzero(beats[a:b])
+            v = value[at]
+            i = int(np.searchsorted(v, bar_of[a], "right"))
+            while i < len(v):
+                improved[at[i]] = True
+                i = int(np.searchsorted(v, v[i] + min_delta, "right"))
+        yield from pa.Table.from_arrays([column[c] for c in kept] + [pa.array(improved)], [*kept, "improved"]).to_batches(BATCH_ROWS)
+
+    kept = [c for c in rows.columns if c not in ("_beats", "_spans")]
+    told = rows.mapInArrow(exits, f"{key_columns}{BLOCK} int, _from binary, _last binary")
+    dealt = (told.repartition(*names) if names else told.coalesce(1)).sortWithinPartitions(*names, BLOCK)
+    started = dealt.mapInArrow(bars, f"{key_columns}{BLOCK} int, _bar double")
+    started = started.select(*[F.col(k).alias(f"_k_{k}") for k in names], F.col(BLOCK).alias("_k_block"), "_bar")
+    on = [F.col(BLOCK) == F.col("_k_block")] + [F.col(k) == F.col(f"_k_{k}") for k in names]
+    joined = rows.join(F.broadcast(started), on, "left").select(*rows.columns, F.coalesce("_bar", F.lit(START + min_delta)).alias("_bar"))
+    return joined.mapInArrow(mark, T.StructType([*[rows.schema[c] for c in kept], T.StructField("improved", T.BooleanType())]))
 
 
 def _tracked(log, keys, order, metric, min_delta, blocks) -> DataFrame:
-    """Epochs with ``position``, ``improved``, ``no_improve`` and the last improvement ``_last``."""
+    """Epochs with ``position``, ``improved``, ``no_improve`` and the last improvement ``_last``.
+
+    Improvements only rise, so the last one has the highest position and the highest value."""
     rows = _positions(log, keys, order, metric, blocks)
     before = F.greatest(F.coalesce("_best_before", F.lit(START)), F.lit(START))
     beats = ~F.isnan(metric) & F.col(metric).isNotNull() & (F.col(metric) > before)
     if min_delta == 0.0:
-        marked = rows.withColumn("improved", beats)
+        marked = rows.withColumn("improved", beats).drop("_spans")
     else:
-        accepted = _accepted_with_delta(rows.where(beats), keys, metric, min_delta, blocks)
-        marked = (
-            rows.join(accepted.withColumn("_hit", F.lit(True)), [*keys, "position"], "left")
-            .withColumn("improved", F.coalesce("_hit", F.lit(False)))
-            .drop("_hit")
-        )
-    improvement = F.when(F.col("improved"), F.struct("position", F.col(metric).alias("value")))
-    tracked = running(marked, keys, order, {"_last": ("max", improvement)})
-    waited = F.col("position") - F.coalesce("_last.position", F.lit(0))
-    return tracked.withColumn("no_improve", waited).drop("_best_before")
+        # Read by both branches of the next pass, so the marks are worked out once.
+        marked = checkpointed(_accepted_with_delta(rows.withColumn("_beats", beats), keys, metric, min_delta))
+    at, value = (F.when(F.col("improved"), F.col(c)) for c in ("position", metric))
+    tracked = running(marked, keys, order, {"_last_at": ("max", at), "_last_value": ("max", value)})
+    waited = F.col("position") - F.coalesce("_last_at", F.lit(0))
+    last = F.struct(F.col("_last_at").alias("position"), F.col("_last_value").alias("value"))
+    return tracked.withColumns({"no_improve": waited, "_last": last}).drop("_best_before", "_last_at", "_last_value")
 
 
 def mark_improvements(
