@@ -49,27 +49,51 @@ def box_matrix(n: int, window: int) -> np.ndarray:
     return matrix
 
 
-@lru_cache(maxsize=64)
-def resize_matrix(n_in: int, n_out: int) -> np.ndarray:
-    """(n_out, n_in) matrix of smoothing followed by linear interpolation."""
+def _resize_taps(n_in: int, n_out: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Source pixels and weights of some output pixels, one line each: two corners, smoothed."""
     factor = n_in / n_out
     sigma = max(0.0, (factor - 1.0) / 2.0)
     radius = int(4.0 * sigma + 0.5)
     steps = np.arange(-radius, radius + 1)
     bell = np.exp(-0.5 * (steps / sigma) ** 2) if sigma > 0 else np.ones(1)
     bell = bell / bell.sum()
-    centre = (np.arange(n_out) + 0.5) * factor - 0.5
+    centre = (rows + 0.5) * factor - 0.5
     low = np.floor(centre).astype(int)
     share = centre - low
+    sources, weights = [], []
+    for corner, part in ((low, 1.0 - share), (low + 1, share)):
+        sources.append(reflect_pixel(reflect_pixel(corner, n_in)[:, None] + steps, n_in))
+        weights.append(bell * part[:, None])
+    return np.concatenate(sources, axis=1), np.concatenate(weights, axis=1)
+
+
+@lru_cache(maxsize=64)
+def resize_matrix(n_in: int, n_out: int) -> np.ndarray:
+    """(n_out, n_in) matrix of smoothing followed by linear interpolation."""
     rows = np.arange(n_out)
     matrix = np.zeros((n_out, n_in))
-    for corner, part in ((low, 1.0 - share), (low + 1, share)):
-        middle = reflect_pixel(corner, n_in)
-        for step, weight in zip(steps, bell, strict=True):
-            np.add.at(matrix, (rows, reflect_pixel(middle + step, n_in)), weight * part)
+    sources, weights = _resize_taps(n_in, n_out, rows)
+    np.add.at(matrix, (rows[:, None], sources), weights)
     return matrix
 
 
+@lru_cache(maxsize=64)
+def resize_bands(n_in: int, n_out: int, block: int = 16) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """The same weights as bands ``(first row, end, first source, end, weights)``: ``block`` output pixels with the sources they use.
+
+    Together they hold a few numbers for each source pixel, whatever the number of output pixels.
+    """
+    bands = []
+    for first in range(0, n_out, block):
+        rows = np.arange(first, min(n_out, first + block))
+        sources, weights = _resize_taps(n_in, n_out, rows)
+        low, high = int(sources.min()), int(sources.max()) + 1
+        band = np.zeros((len(rows), high - low))
+        np.add.at(band, (rows[:, None] - first, sources - low), weights)
+        bands.append((first, first + len(rows), low, high, band))
+    return bands
+
+
 def nonzero(matrix: np.ndarray) -> list[tuple[int, int, float]]:
     """``(dst, src, weight)`` entries of a matrix."""
     return [(int(d), int(s), float(matrix[d, s])) for d, s in zip(*np.nonzero(matrix), strict=True)]

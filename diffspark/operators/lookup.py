@@ -1,56 +1,3 @@
-"""Joins of a large table with a dimension that is usually, but not provably, small."""
-
-from __future__ import annotations
-
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+"""How much of a dimension goes to the tasks at once."""
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
-
-_FIXED = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "bigint": 8, "double": 8, "date": 4, "timestamp": 8}
-
-
-def row_bytes(df: DataFrame) -> Column:
-    """Size of a row's values in bytes; nested values by the length of their JSON text."""
-    sizes = []
-    for field in df.schema:
-        kind, value = field.dataType.simpleString(), F.col(field.name)
-        inner = kind.removeprefix("array<").removesuffix(">")
-        if kind in _FIXED:
-            size = F.lit(_FIXED[kind])
-        elif kind in ("string", "binary"):
-            size = F.octet_length(value)
-        elif kind.startswith("array<") and inner in _FIXED:
-            size = F.size(value) * _FIXED[inner]
-        else:
-            size = F.octet_length(F.to_json(F.struct(value)))
-        sizes.append(F.greatest(F.coalesce(size, F.lit(0)), F.lit(1)).cast("long"))
-    return sum(sizes[1:], sizes[0])
-
-
-def lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    salt_from: Sequence[str] | None = None,
-) -> DataFrame:
-    """Join ``facts`` with a dimension after measuring the dimension.
-
-    Up to ``BROADCAST_BYTES`` the dimension is broadcast.  Beyond that both sides are shuffled on the key
-    *and* a salt, the dimension once per salt, so that a key holding a third of the facts is spread
-    over ``SALTS`` tasks.  ``salt_from`` names the fact columns the salt is hashed from.
-    """
-    size = dimension.agg(F.sum(row_bytes(dimension)).alias("s")).first()["s"] or 0
-    if size <= BROADCAST_BYTES:
-        return facts.join(F.broadcast(dimension), list(on), how)
-    salt = F.pmod(F.xxhash64(*(salt_from or facts.columns)), F.lit(SALTS)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return (
-        facts.withColumn("_salt", salt)
-        .join(dimension.withColumn("_salt", salts).hint("merge"), [*on, "_salt"], how)
-        .drop("_salt")
-    )

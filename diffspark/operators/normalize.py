@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffspark.constants import GCN_EPSILON, LCN_EPSILON, LCN_WINDOW, TARGET_SIZE
-from diffspark.operators.axis_weights import box_matrix, nonzero, reflect_edge, resize_matrix, window_span
+from diffspark.operators.axis_weights import box_matrix, nonzero, reflect_edge, resize_bands, resize_matrix, window_span
 
-_PIXELS_AT_ONCE = 2_000_000  # bounds the working arrays of one task to 16 MB each
+_CACHED_PIXELS = 1 << 16  # of all frames worked on together: half a MB for each working array
 
 
 # ---------------------------------------------------------------- one row per frame
@@ -40,14 +40,13 @@ def _gcn(images: np.ndarray, eps: float) -> np.ndarray:
     return centred.reshape(images.shape)
 
 
-def _box_means(images: np.ndarray, window: int) -> np.ndarray:
-    """Mean of the window around each pixel, reflected at the edges; one axis after the other."""
+def _box_means(lines: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Mean of the window around each pixel of ``n`` lines, given with the lines before and after; one axis after the other."""
     before, after = window_span(window)
-    for axis in (1, 2):
-        n = images.shape[axis]
-        padded = np.take(images, reflect_edge(np.arange(-before, n + after), n), axis=axis)
-        images = _window_sums(padded, n, window, axis) / window
-    return images
+    lines = _window_sums(lines, n, window, 1) / window
+    w = lines.shape[2]
+    padded = np.take(lines, reflect_edge(np.arange(-before, w + after), w), axis=2)
+    return _window_sums(padded, w, window, 2) / window
 
 
 def _window_sums(padded: np.ndarray, n: int, window: int, axis: int) -> np.ndarray:
@@ -69,17 +68,43 @@ def _window_sums(padded: np.ndarray, n: int, window: int, axis: int) -> np.ndarr
         width *= 2
 
 
-def _lcn(images: np.ndarray, window: int, eps: float) -> np.ndarray:
-    """Both local moments come from one box pass over the images and their squares side by side."""
-    first, second = np.split(_box_means(np.concatenate([images, images * images]), window), 2)
-    second -= first * first
+def _lcn(images: np.ndarray, first: int, end: int, window: int, eps: float) -> np.ndarray:
+    """Local contrast of a strip of lines; both local moments come from one box pass over the pixels and their squares."""
+    before, after = window_span(window)
+    lines = images[:, reflect_edge(np.arange(first - before, end + after), images.shape[1])]
+    mean, second = np.split(_box_means(np.concatenate([lines, lines * lines]), end - first, window), 2)
+    second -= mean * mean
     np.maximum(second, 0.0, out=second)
-    return (images - first) / (np.sqrt(second) + eps)
-
-
-def _resize(images: np.ndarray, size: tuple[int, int]) -> np.ndarray:
-    _, h, w = images.shape
-    return resize_matrix(h, size[0]) @ images @ resize_matrix(w, size[1]).T
+    return (images[:, first:end] - mean) / (np.sqrt(second) + eps)
+
+
+def _strips(images: np.ndarray, halo: int) -> Iterator[tuple[int, int]]:
+    """Stretches of lines whose working arrays stay in a core's cache."""
+    n, h, w = images.shape
+    lines = max(16, 2 * halo, _CACHED_PIXELS // max(1, n * w))
+    for first in range(0, h, lines):
+        yield first, min(h, first + lines)
+
+
+def _finish(images: np.ndarray, window: int | None, eps: float, size: tuple[int, int] | None) -> np.ndarray:
+    """Local contrast (unless ``window`` is None) and resize, a strip of lines at a time."""
+    if window is None and size is None:
+        return images
+    n, h, w = images.shape
+    out = np.empty_like(images) if size is None else np.zeros((n, *size))
+    for first, end in _strips(images, window or 0):
+        strip = images[:, first:end] if window is None else _lcn(images, first, end, window, eps)
+        if size is None:
+            out[:, first:end] = strip
+            continue
+        narrow = np.empty((n, end - first, size[1]))
+        for x0, x1, low, high, weights in resize_bands(w, size[1]):
+            narrow[:, :, x0:x1] = strip[:, :, low:high] @ weights.T
+        for y0, y1, low, high, weights in resize_bands(h, size[0]):
+            a, b = max(first, low), min(end, high)
+            if a < b:
+                out[:, y0:y1] += weights[:, a - low : b - low] @ narrow[:, a - first : b - first]
+    return out
 
 
 def normalize_frames(
@@ -93,20 +118,24 @@ def normalize_frames(
     lcn: bool = True,
     gcn_eps: float = GCN_EPSILON,
     lcn_eps: float = LCN_EPSILON,
-    assembly: Mapping[str, tuple[int, np.ndarray]] | None = None,
+    assembly: Sequence[Mapping[str, tuple[int, np.ndarray]]] | None = None,
     assemble_as: str | None = None,
     double: bool = False,
 ) -> DataFrame:
     """GCN, LCN and resize of frames ``(..., h, w, pixels)``; other columns pass through.
 
     ``size=None`` keeps the frame size.  ``window_column`` takes the LCN window from the row.
-    ``assembly`` maps names to ``(side, sources)``; a frame whose ``assemble_as`` column holds such
-    a name is first placed on that square image (``sources`` as in ``geometry.assembly_lists``).
+    ``assembly`` are groups of names with ``(side, runs)``; a frame whose ``assemble_as`` column holds such
+    a name is first placed on that square image (``runs`` as in ``geometry.assembly_lists``).  Each group is a broadcast of
+    its own, which a task fetches when it meets one of the group's names.
     ``windows`` gives every frame once per LCN window, with the window in ``lcn_window``; the work before LCN is done once.
     Output pixels are float32, or float64 with ``double``.
     """
     carried = [c for c in frames.columns if c not in ("h", "w", pixels, assemble_as)]
-    shared = frames.sparkSession.sparkContext.broadcast(dict(assembly)) if assembly else None
+    sc = frames.sparkSession.sparkContext
+    shared = {name: (i, group) for i, group in enumerate(map(sc.broadcast, map(dict, assembly or []))) for name in group.value}
+    numbers = {name: i for i, name in enumerate(shared)}
+    names = list(shared)
     schema = T.StructType(
         [frames.schema[c] for c in carried]
         + [
@@ -121,10 +150,19 @@ def normalize_frames(
         if gcn:
             images = _gcn(images, gcn_eps)
         for win in wins:
-            out = _lcn(images, win, lcn_eps) if lcn else images
-            yield win, (out if size is None else _resize(out, size)).astype(np.float64 if double else np.float32)
+            yield win, _finish(images, win if lcn else None, lcn_eps, size).astype(np.float64 if double else np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+
+        def place(code: int) -> tuple[int, np.ndarray, np.ndarray]:
+            if code not in places:
+                side, runs = shared[names[code]][1].value[names[code]]
+                inside = np.arange(runs["length"].sum()) - np.repeat(np.cumsum(runs["length"]) - runs["length"], runs["length"])
+                target = np.repeat(runs["target"], runs["length"]) + inside
+                places[code] = side, target, np.repeat(runs["source"], runs["length"]) + inside * np.repeat(runs["stride"], runs["length"])
+            return places[code]
+
         for batch in batches:
             hs = batch.column("h").to_numpy(zero_copy_only=False)
             ws = batch.column("w").to_numpy(zero_copy_only=False)
@@ -133,10 +171,8 @@ def normalize_frames(
                 if window_column
                 else np.full(len(hs), window)
             )
-            places = list(shared.value.values()) if shared else []
             codes = np.full(len(hs), -1)
             if shared:
-                numbers = {name: i for i, name in enumerate(shared.value)}
                 codes = np.array([numbers.get(name, -1) for name in batch.column(assemble_as).to_pylist()])
             shapes = np.stack([hs, ws, wins, codes], axis=1).astype(np.int64)
             arrays = batch.column(pixels)
@@ -144,17 +180,20 @@ def normalize_frames(
             flat = arrays.values.to_numpy(zero_copy_only=False)
             for h, w, win, code in np.unique(shapes, axis=0):
                 rows = np.flatnonzero((shapes == (h, w, win, code)).all(axis=1))
-                side, sources = places[code] if code >= 0 else (None, None)
+                side, target, source = place(code) if code >= 0 else (None, None, None)
                 if (starts[rows + 1] - starts[rows] != h * w).any():
                     raise ValueError(f"a frame does not hold {h} x {w} pixels")
-                at_once = max(1, int(_PIXELS_AT_ONCE // max(1, h * w, (side or 0) ** 2)))
+                at_once = max(1, int(_CACHED_PIXELS // max(1, h * w, (side or 0) ** 2)))
                 for first in range(0, len(rows), at_once):
                     part = rows[first : first + at_once]
                     taken = [flat[s : s + h * w] for s in starts[part]]
                     if side is None:
                         images = np.stack(taken).reshape(len(part), h, w)
-                    else:  # source -1 picks the appended zero
-                        images = np.stack([np.append(t, 0)[sources] for t in taken]).reshape(len(part), side, side)
+                    else:
+                        images = np.zeros((len(part), side * side), flat.dtype)
+                        for image, t in zip(images, taken, strict=True):
+                            image[target] = t[source]
+                        images = images.reshape(len(part), side, side)
                     for used, out in transform(images.astype(np.float64), windows or [int(win)]):
                         area = out.shape[1] * out.shape[2]
                         offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * area)

@@ -17,7 +17,7 @@ from diffspark.session import checkpointed
 
 
 def assembly_of(panels: DataFrame, frame_widths: dict[str, int], module_rows: int = AGIPD_MODULE_SS) -> DataFrame:
-    """Assembly lists of all detectors, written once so that every later job only reads them."""
+    """Assembly runs of all detectors, written once so that every later job only reads them."""
     width = F.coalesce(*[F.when(F.col("detector") == d, F.lit(w)) for d, w in frame_widths.items()])
     stacked = F.when(F.col("module").isNotNull() & (F.col("detector") == "AGIPD"), F.lit(module_rows)).otherwise(F.lit(0))
     cells = geometry.assembly_cells(geometry.panel_pixels(panels, width, stacked))
@@ -31,17 +31,9 @@ def preprocess_assembled(
     return normalize_frames(frames, size, window)
 
 
-def assembly_arrays(lists: DataFrame) -> dict[str, tuple[int, np.ndarray]] | None:
-    """Assembly lists as arrays to hand to the tasks, or None when they are too large together.
-
-    Their size is measured first; it is one number per image cell and detector type.
-    """
-    cells = lists.agg(F.sum(F.size("sources").cast("long")).alias("n")).first()["n"] or 0
-    if 4 * cells > BROADCAST_BYTES:
-        return None
-    found = lists.select("detector", "side", "sources").toArrow()
-    rows = zip(found["detector"].to_pylist(), found["side"].to_pylist(), found["sources"], strict=True)
-    return {name: (side, sources.values.to_numpy(zero_copy_only=False)) for name, side, sources in rows}
+def assembly_arrays(lists: DataFrame) -> list[dict[str, tuple[int, np.ndarray]]]:
+    """Assembly runs to hand to the tasks, in groups of detectors of at most ``BROADCAST_BYTES``."""
+    return geometry.assembly_arrays(lists, BROADCAST_BYTES)
 
 
 def preprocess_panels(
@@ -52,8 +44,6 @@ def preprocess_panels(
     A frame of a detector without geometry is taken as an image.
     """
     arrays = assembly_arrays(lists)
-    if arrays is None:
-        return normalize_frames(geometry.assemble_frames(frames, lists).drop("assembled"), size, window)
     named = frames.withColumn("_assemble_as", F.col("detector"))
     return normalize_frames(named, size, window, assembly=arrays, assemble_as="_assemble_as")
 
@@ -67,7 +57,8 @@ def preprocess_routed(
     has no list falls back to the assembled route, with the reason kept.
     """
     routed = catalog.route_frames(frames)
-    usable = [r["detector"] for r in lists.select("detector").collect()]  # one row per detector type
+    arrays = assembly_arrays(lists)
+    usable = [name for group in arrays for name in group]  # one for each detector type
     wanted = F.col("route") != "assembled"
     lost = wanted & ~F.coalesce(F.col("detector").isin(*usable), F.lit(False))
     marked = routed.withColumns(
@@ -77,16 +68,7 @@ def preprocess_routed(
         }
     )
     name = F.when(F.col("route") != "assembled", F.col("detector"))
-    arrays = assembly_arrays(lists)
-    if arrays is not None:
-        return normalize_frames(
-            marked.withColumn("_assemble_as", name), size, window, assembly=arrays, assemble_as="_assemble_as"
-        )
-    renamed = marked.withColumnRenamed("detector", "_detector").withColumn(
-        "detector", F.when(F.col("route") != "assembled", F.col("_detector"))
-    )
-    placed = geometry.assemble_frames(renamed, lists).drop("detector", "assembled")
-    return normalize_frames(placed.withColumnRenamed("_detector", "detector"), size, window)
+    return normalize_frames(marked.withColumn("_assemble_as", name), size, window, assembly=arrays, assemble_as="_assemble_as")
 
 
 def apply_preprocess(frames: DataFrame, fn: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
@@ -137,8 +119,7 @@ def shape_report(files: DataFrame, lists: DataFrame, size: tuple[int, int] = TAR
     ``files`` has ``detector, description, h, w`` with ``h x w`` the stored frame as an image.
     """
     routed = catalog.route_frames(files)
-    # A list is as long as an image; only its side is needed here.
-    sides = lists.select("detector", "side", (F.array_max("sources") + 1).alias("_needs"))
+    sides = lists.select("detector", "side", F.col("needs").alias("_needs"))
     joined = routed.join(sides, "detector", "left")
     uses = F.col("route") != "assembled"
     fits = ~uses | (F.col("side").isNotNull() & (F.col("_needs") <= F.col("h") * F.col("w")))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from diffspark.functions import arrays
@@ -241,3 +242,36 @@ def test_finite_flag(spark):
     df = frames(spark, [np.array([[1.0, np.nan]]), np.array([[1.0, -np.inf]]), np.array([[1.0, 2.0]])])
     got = [r["f"] for r in df.orderBy("frame_id").select(arrays.all_finite(F.col("pixels")).alias("f")).collect()]
     assert got == [False, False, True]
+
+
+def test_runs_go_with_the_lines_of_panels(spark):
+    panels = spark.createDataFrame([panel(f"p{i}", i, (600.0 * i, -50.0), (1.0, 0.0), (0.0, 1.0), (100 * i, 100 * (i + 1), 0, 500), (100, 500)) for i in range(4)], PANELS)
+    lists = preprocessing.assembly_of(panels, {"D": 500})
+    row = lists.select("side", "needs", F.size("runs").alias("n"), F.sum(F.lit(1)).over(Window.partitionBy("side")).alias("rows")).first()
+    assert (row["needs"], row["n"], row["rows"]) == (200_000, 400, 1)
+    image = np.random.default_rng(1).random((400, 500)).astype(np.float32)
+    out = arrays_of(geometry.assemble_frames(frames(spark, [image], detector="D"), lists))[0]
+    side, middle = row["side"], row["side"] // 2
+    expected = np.zeros((side, side), np.float32)
+    for i in range(4):
+        expected[middle - 50 : middle + 50, middle + 600 * i : middle + 600 * i + 500] = image[100 * i : 100 * (i + 1)]
+    assert np.array_equal(out, expected)
+
+
+def test_panels_far_apart_fail(spark):
+    panels = spark.createDataFrame([panel("a", 0, (1e6, 0.0), (1.0, 0.0), (0.0, 1.0), (0, 2, 0, 3))], PANELS)
+    with pytest.raises(Exception, match="too far apart"):
+        preprocessing.assembly_of(panels, {"D": 3})
+
+
+def test_display_range_is_that_of_sorted_pixels(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate((0, 1, 2, 3, 10, 999, 1000, 1001))] + [(98, None), (99, [None, 2.0, float("nan"), 3.0])]
+    df = spark.createDataFrame(rows, "i int, pixels array<double>")
+    query = df.select("i", arrays.display_range(F.col("pixels")).alias("r"))
+    assert "Sort" not in query._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: tuple(r["r"]) for r in query.collect()}
+    for i, values in rows:
+        lit = np.array([v for v in values or [] if v is not None and v > 0])
+        want = tuple(np.percentile(lit, [1, 99.9])) if len(lit) else (0.0, 1.0)
+        assert got[i] == pytest.approx(want)
