@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.operators.ordered import number_rows
+from diffspark.sources.json_elements import json_elements
 
 
 def discover(spark: SparkSession, folder: str, pattern: str, on_empty: str = "error") -> DataFrame:
@@ -75,8 +76,9 @@ def label_map_entries(texts: DataFrame, text: str = "value", keys: Sequence[str]
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
-    """A label file holding one JSON object, however it is laid out."""
-    return label_map_entries(spark.read.text(path, wholetext=True))
+    """A label file holding one JSON object, however it is laid out, read by as many tasks as it has splits."""
+    entries = json_elements(spark, path, "object")
+    return label_map_entries(entries.select(F.concat(F.lit("{"), "text", F.lit("}")).alias("value")))
 
 
 def split_sets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -9,6 +9,7 @@ from diffspark.constants import GEOMETRY_NAMES, JUNGFRAU_DISTANCE
 from diffspark.operators.geometry import set_distance
 from diffspark.operators.ordered import require
 from diffspark.sources.files import read_lines
+from diffspark.sources.json_elements import json_elements
 
 _NUMBER = r"([+-]?\s*(?:\d+\.?\d*|\.\d+)?(?:[eE][+-]?\d+)?)\s*"
 _NUMBERS = "corner_x corner_y coffset clen res min_fs max_fs min_ss max_ss".split()
@@ -119,13 +120,15 @@ _JSON_PANEL = (
 )
 
 
-def panels_from_json(texts: DataFrame, text: str = "value", detector: str = "detector") -> DataFrame:
+def panels_from_json(texts: DataFrame, text: str = "value", detector: str = "detector", order: str | None = None) -> DataFrame:
     """Panel rows from JSON arrays of panel objects with parent slices ``[[ss0, ss1, _], [fs0, fs1, _]]``.
 
-    A malformed document fails the job.
+    A malformed document fails the job.  Where each row is a part of a document, ``order`` is the place of its first panel.
     """
     parsed = F.from_json(text, f"array<struct<{_JSON_PANEL.replace(' array', ':array').replace(' string', ':string').replace(' int', ':int')}>>", {"mode": "FAILFAST"})
-    rows = texts.select(detector, F.posexplode(parsed).alias("panel_order", "p"))
+    place = F.lit(0) if order is None else F.col(order)
+    rows = texts.select(detector, place.alias("_first"), F.posexplode(parsed).alias("_at", "p"))
+    rows = rows.withColumn("panel_order", F.col("_first") + F.col("_at"))
     cut = lambda i, j: F.get(F.get(F.col("p.parent_data_slice"), F.lit(i)), F.lit(j))
     return rows.select(
         detector,
@@ -141,8 +144,10 @@ def panels_from_json(texts: DataFrame, text: str = "value", detector: str = "det
 
 
 def read_geometry_json(spark: SparkSession, path: str, detector: str) -> DataFrame:
-    """Panels of one geometry JSON file."""
-    return panels_from_json(spark.read.text(path, wholetext=True).withColumn("detector", F.lit(detector)))
+    """Panels of one geometry JSON file, read by as many tasks as it has splits."""
+    entries = json_elements(spark, path, "array")
+    texts = entries.select(F.lit(detector).alias("detector"), F.concat(F.lit("["), "text", F.lit("]")).alias("value"), "ordinal")
+    return panels_from_json(texts, order="ordinal")
 
 
 def load_geometry(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,13 +105,53 @@ def nested_results(flat: DataFrame) -> DataFrame:
     return flat.select("fold_id", "test_detector", block("cross").alias("cross"), block("in_domain").alias("in_domain"))
 
 
-def append_epochs(rows: DataFrame, path: str) -> None:
-    """Append epoch rows to a log."""
-    rows.select([F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in EPOCH_LOG.split(", ")]).write.mode(
-        "append"
-    ).parquet(path)
+def append_epochs(rows: DataFrame, path: str, attempt: str | None = None) -> None:
+    """Append epoch rows to a log, once however often the write is repeated.
+
+    An append has a name, ``attempt``; without one it is named by its rows, so that the same rows are never added twice.  The
+    rows are written to a folder of their own, and a marker that names the folder is put in place in one step at the
+    end; rows without a marker are not read.  An append whose name has a marker already adds nothing.
+    """
+    spark = rows.sparkSession
+    told = rows.select([F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in EPOCH_LOG.split(", ")])
+    if attempt is None:
+        whole = told.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*told.columns)).alias("x"), F.sum(F.hash(*told.columns)).alias("s")).first()
+        attempt = "-".join(str(v) for v in whole)
+    name = hashlib.sha256(attempt.encode()).hexdigest()
+    fs, at = _filesystem(spark, path)
+    marker = at(f"{_COMMITS}/{name}")
+    if fs.exists(marker):
+        return
+    folder = f"{name}-{uuid.uuid4().hex}"
+    told.write.parquet(f"{path}/{_ROWS}/{folder}")
+    staged = at(f"{_STAGED}/{folder}")
+    out = fs.create(staged, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    fs.mkdirs(at(_COMMITS))
+    if fs.exists(marker) or not fs.rename(staged, marker):
+        # Another write of the same append was faster; its rows count.
+        fs.delete(staged, False)
+        fs.delete(at(f"{_ROWS}/{folder}"), True)
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:
-    """An epoch log."""
-    return spark.read.schema(EPOCH_LOG).parquet(path)
+    """An epoch log: the rows of all appends that were completed."""
+    fs, at = _filesystem(spark, path)
+    folders = []
+    if fs.exists(at(_COMMITS)) and fs.listStatus(at(_COMMITS)):
+        # One short line for each append.
+        folders = [r["value"] for r in spark.read.text(f"{path}/{_COMMITS}").collect()]
+    if not folders:
+        return spark.createDataFrame([], EPOCH_LOG)
+    return spark.read.schema(EPOCH_LOG).parquet(*[f"{path}/{_ROWS}/{f}" for f in sorted(folders)])
+
+
+# Folders of a log; Spark leaves out what begins with an underscore when it reads the folder above.
+_ROWS, _COMMITS, _STAGED = "appends", "commits", "_staged"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: jvm.Path(root, name)

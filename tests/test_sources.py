@@ -184,6 +184,38 @@ def test_epoch_log_appends(spark, tmp_path):
     assert [r["epoch"] for r in tables.read_epochs(spark, path).orderBy("epoch").collect()] == [1, 2]
 
 
+def epoch_rows(spark, *epochs):
+    rows = [("r", e, 0.1, 0.2, 0.3, 0.4, 0.5) for e in epochs]
+    return spark.createDataFrame(rows, "run string, epoch int, train_loss double, val_loss double, val_ap double, val_auc double, val_f1 double")
+
+
+def test_repeated_append_adds_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    assert tables.read_epochs(spark, path).collect() == []
+    tables.append_epochs(epoch_rows(spark, 1, 2), path)
+    tables.append_epochs(epoch_rows(spark, 2, 1), path)
+    tables.append_epochs(epoch_rows(spark, 3), path, attempt="r-3")
+    tables.append_epochs(epoch_rows(spark, 3).withColumn("val_f1", F.lit(0.9)), path, attempt="r-3")
+    assert sorted(r["epoch"] for r in tables.read_epochs(spark, path).collect()) == [1, 2, 3]
+
+
+def test_append_that_failed_before_its_marker(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tables.append_epochs(epoch_rows(spark, 1), path)
+
+    def fails(v):
+        raise ValueError("lost")
+
+    broken = epoch_rows(spark, 2, 3).withColumn("epoch", F.udf(fails, "int")("epoch"))
+    with pytest.raises(Exception, match="lost"):
+        tables.append_epochs(broken, path, attempt="second")
+    # Rows that were written, and no marker: as if the driver had been lost in between.
+    epoch_rows(spark, 2, 3).write.parquet(f"{path}/appends/left-over")
+    assert [r["epoch"] for r in tables.read_epochs(spark, path).collect()] == [1]
+    tables.append_epochs(epoch_rows(spark, 2, 3), path, attempt="second")
+    assert sorted(r["epoch"] for r in tables.read_epochs(spark, path).collect()) == [1, 2, 3]
+
+
 GEOMETRY = """; a comment = not read
 clen = 0.1
 res = 10000 ; pixels per metre
