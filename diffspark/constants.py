@@ -29,8 +29,6 @@ DATA_KEYS = (
 )
 EXPECTED_KEY = "entry/data/data"
 LABEL_KEY = "entry_1/labels/hit"
-JUNGFRAU_LABEL_KEY = "entry_0000/processing/peakfinder/isHit"
-DESCRIPTION_KEY = "entry_1/instrument_1/detector_1/description"
 
 # Buckets of a session split, in filling order, and the bucket of held-out sessions.
 TRAIN, VAL, IN_DOMAIN_TEST = "train", "val", "in_domain_test"
@@ -46,9 +44,8 @@ LCN_WINDOW = 9
 LCN_WINDOWS_COMPARED = (3, 9, 15, 31)
 TARGET_SIZE = (224, 224)
 
-# AGIPD frames: 16 modules of 512 x 128 pixels, each made of 8 panels of 64 x 128.
-AGIPD_MODULES, AGIPD_MODULE_SS, AGIPD_MODULE_FS, AGIPD_PANEL_SS = 16, 512, 128, 64
+# AGIPD frames: modules of 512 x 128 pixels, each made of 8 panels of 64 x 128.
+AGIPD_MODULE_SS, AGIPD_MODULE_FS, AGIPD_PANEL_SS = 512, 128, 64
 
 # Training-loop defaults.
 PATIENCE = 10
-MIN_DELTA = 1e-4
