@@ -1,9 +1,11 @@
 """Fuzzy line deduplication with DataFrame functions only: MinHash, banding, exact Jaccard, distributed union-find.
 
-A line is trimmed and lower-cased; equal lines are one *node* from there on.  Its signature is one-permutation MinHash over the
-character shingles that begin at a word (in scripts without spaces, at every character): each band takes the four smallest
-hashes at or above its own start in the hash range, going round at the top, so two lines of similarity s agree in a band
-with probability s^4.  Lines that agree in a band are candidates; candidates link when the Jaccard similarity of *all* their
+A line is trimmed and lower-cased; equal lines are one *node* from there on.  Its signature is one-permutation MinHash over a
+share of its character shingles that the text itself picks: in lines of many words those that begin at a word, in lines of fewer than
+``MANY_WORDS`` also those that begin with one of about half of all letters and digits, and in scripts without spaces those at every
+character.  Lines a quarter longer than that have both signatures, so that two similar lines always share a kind.  Each band takes the four
+smallest hashes at or above its own start in the hash range, going round at the top, so two lines of similarity s agree in a band
+with probability about s^4.  Lines that agree in a band are candidates; candidates link when the Jaccard similarity of *all* their
 character shingles reaches the threshold.
 Nodes are named by 64-bit hashes of their text, so results are exact up to a hash collision.
 """
@@ -17,24 +19,41 @@ from diffspark.llm import linking, storage
 
 SHINGLE = 8
 BANDS, MINS_PER_BAND = 8, 4
+#: Lines of so many words take the shingles at their words alone.
+MANY_WORDS = 32
 #: Nodes (8 bytes each) up to which the list of candidate lines is broadcast; a longer list is shuffled.
 BROADCAST_NODES = 1_000_000
 _SEGMENT = 32
 
 # Scripts written without spaces (Thai to Lao, Burmese, Khmer, East Asian, and the planes beyond the first).
 _UNSPACED = r"฀-໿က-႟ក-៿⺀-꓏가-힣豈-﫿＀-￯\x{10000}-\x{10FFFF}"
+# The white space that is no part of a line; every second letter and digit.
+_BLANK = " \t\n\x0b\x0c\r"
+_HALF = "acegikmoqsuwy02468"
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, line_no, line, node)`` of every line that is not blank, numbered from 0 among all lines of its text."""
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
-    return cut.select("id", "line_no", F.lower(F.trim("raw")).alias("line")).where("line != ''").withColumn("node", F.xxhash64("line"))
+    return cut.select("id", "line_no", F.lower(F.btrim(F.col("raw"), F.lit(_BLANK))).alias("line")).where("line != ''").withColumn("node", F.xxhash64("line"))
 
 
-def anchored_hashes(line: str) -> Column:
-    """Hashes of the shingles of column ``line`` that begin at a word."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?:^|[ {_UNSPACED}])(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
-    return F.transform(found, lambda x: F.xxhash64(x))
+def anchored_hashes(line: str, dense: bool) -> Column:
+    """Hashes of the picked shingles of column ``line``, none if the line has no signature of this kind."""
+    words = F.size(F.split(line, " "))
+    at_word = rf"(?<![^ {_UNSPACED}])"
+    start = rf"(?:{at_word}|(?=[{_HALF}]|[^\x00-\x7f]))" if dense else at_word
+    found = F.regexp_extract_all(line, F.lit(f"(?s){start}(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
+    has = words < MANY_WORDS * 5 // 4 if dense else words >= MANY_WORDS
+    return F.when(has, F.transform(found, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
 
 
 def all_hashes(line: str) -> Column:
@@ -53,23 +72,33 @@ def all_hashes(line: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(segments, of)))
 
 
-def band_keys(of_line: DataFrame) -> DataFrame:
-    """The rows of ``of_line`` with one ``k0, k1, ...`` per band in place of ``line``."""
+def _with_keys(of_line: DataFrame, dense: bool, names: list[str]) -> DataFrame:
+    """The rows with one column per band of one kind of signature, NULL where a line has none."""
     edges = [(-(1 << 63)) + ((1 << 64) // BANDS) * j for j in range(BANDS)]
     # A generator of one row keeps the optimiser from writing the expensive array into every expression that uses it.
-    carried = [c for c in of_line.columns if c != "line"]
-    hashed = of_line.select(*carried, F.explode(F.array(anchored_hashes("line"))).alias("hashes"))
+    carried = of_line.columns
+    hashed = of_line.select(*carried, F.explode(F.array(anchored_hashes("line", dense))).alias("_hashes"))
     starts = F.array(*[F.lit(e) for e in edges])
-    low = F.sort_array("hashes")
+    low = F.sort_array("_hashes")
     ring = F.concat(low, F.slice(low, 1, MINS_PER_BAND))
-    ordered = hashed.select(*carried, F.explode(F.array(F.struct(ring.alias("ring"), F.sort_array(F.concat("hashes", starts)).alias("all")))).alias("s"))
+    both = F.struct(ring.alias("ring"), F.sort_array(F.concat("_hashes", starts)).alias("all"))
+    ordered = hashed.select(*carried, F.explode(F.array(both)).alias("_s"))
 
     def key(edge: Column, j: Column) -> Column:
-        at = F.array_position(F.col("s.all"), edge).cast("int") - j  # 1 + hashes below the start
-        return F.xxhash64(j, F.slice(F.col("s.ring"), at, MINS_PER_BAND))
+        at = F.array_position(F.col("_s.all"), edge).cast("int") - j  # 1 + hashes below the start
+        return F.xxhash64(j, F.lit(dense), F.slice(F.col("_s.ring"), at, MINS_PER_BAND))
+
+    some = F.when(F.size("_s.ring") > 0, F.transform(starts, key))
+    keyed = ordered.select(*carried, F.explode(F.array(some)).alias("_keys"))
+    return keyed.select(*carried, *[F.get("_keys", F.lit(b)).alias(name) for b, name in enumerate(names)])
 
-    keyed = ordered.select(*carried, F.explode(F.array(F.transform(starts, key))).alias("keys"))
-    return keyed.select(*carried, *[F.get("keys", F.lit(b)).alias(f"k{b}") for b in range(BANDS)])
+
+KEYS = [f"k{b}" for b in range(2 * BANDS)]
+
+
+def band_keys(of_line: DataFrame) -> DataFrame:
+    """The rows of ``of_line`` with one ``k0, k1, ...`` per band in place of ``line``."""
+    return _with_keys(_with_keys(of_line, True, KEYS[:BANDS]), False, KEYS[BANDS:]).drop("line")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -79,12 +108,14 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Blank lines, NULL and empty texts give no rows; repeated rows give repeated lines, of which those at the head's place
     are kept; no rows give no rows.  Other columns are not read.
     """
-    told = lines(docs, id_col, text_col)
+    # Under names of their own, so that no other column is met.
+    texts_of = docs.select(F.col(id_col).alias("_line_id"), F.col(text_col).alias("_line_text"))
+    told = lines(texts_of, "_line_id", "_line_text")
     # Texts are cut into lines once for the keys of all lines, and once more for the few documents with candidate lines.
     every = storage.kept(band_keys(told), "band-keys")
-    keys = every.groupBy("node").agg(*[F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS)])
+    keys = every.groupBy("node").agg(*[F.min(k).alias(k) for k in KEYS])
     keys = storage.kept(keys, "node-keys")
-    postings = keys.select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), F.col("node").alias("id"))
+    postings = keys.select(F.explode(F.array_compact(F.array(*KEYS))).alias("key"), F.col("node").alias("id"))
 
     def verifier(candidates: DataFrame):
         wanted = candidates.select(F.col("id").alias("node")).distinct()
@@ -94,8 +125,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         holders = every.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
         holders = storage.kept(holders, "holders")
         ids = holders.select(F.col("id").alias("holder")).distinct()
-        held = docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(F.col("holder")), "left_semi")
-        some = lines(held, id_col, text_col).select("node", "line").join(wanted, "node", "left_semi")
+        held = texts_of.join(F.broadcast(ids) if few else ids, F.col("_line_id").eqNullSafe(F.col("holder")), "left_semi")
+        some = lines(held, "_line_id", "_line_text").select("node", "line").join(wanted, "node", "left_semi")
         texts = storage.kept(some.groupBy("node").agg(F.first("line").alias("line")), "candidate-lines")
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -122,14 +153,15 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The documents with all their columns, their repeated lines cut; documents of which no line with words is left go.
 
-    Blank lines stay where they are.  A document without any line (NULL, empty, blank) is kept as it is.  ``id_col`` must be unique.
+    Blank lines (white space only, carriage returns too) stay where they are.  Other columns pass through, whatever their names.  A document without any line (NULL, empty, blank) is kept as it is.  ``id_col`` must be unique.
     """
     found = line_components(docs, id_col, text_col, percent)
-    cut = found.groupBy(F.col("id").alias("_line_id")).agg(
-        F.count(F.lit(1)).alias("_all"), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_cut")
+    of, every, gone = (fresh(docs, n) for n in ("_line_id", "_lines", "_gone"))
+    cut = found.groupBy(F.col("id").alias(of)).agg(
+        F.count(F.lit(1)).alias(every), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias(gone)
     )
-    cut = cut.where(F.size("_cut") > 0)
-    rest = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_cut", i))
-    marked = docs.join(cut, docs[id_col].eqNullSafe(cut["_line_id"]), "left").where("_cut is null or size(_cut) < _all")
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
+    cut = cut.where(F.size(gone) > 0)
+    rest = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone, i))
+    marked = docs.join(cut, docs[id_col].eqNullSafe(cut[of]), "left").where(F.col(gone).isNull() | (F.size(gone) < F.col(every)))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
     return marked.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

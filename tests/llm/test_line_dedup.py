@@ -96,3 +96,54 @@ def test_all_hashes_of_long_lines(spark):
     for n in (1, 7, 8, 9, 39, 40, 41, 500):
         row = spark.createDataFrame([(text[:n],)], "line string").select(F.size(ld.all_hashes("line"))).first()
         assert row[0] == len(shingles(text[:n]))
+
+
+def edited(rng, text):
+    at = rng.randrange(len(text))
+    return text[:at] + rng.choice("xyz") + text[at + 1 :]
+
+
+def test_recall_by_the_shape_of_lines(spark):
+    """Pairs of full Jaccard 0.8 or more that meet in a band, for lines of many and few words, of long words and of none."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    shapes = {"60 words": (60, 2, 7), "35 words": (35, 2, 7), "25 words": (25, 2, 7), "13 words": (13, 4, 9), "8 words": (8, 8, 14), "6 words": (6, 12, 20)}
+    shapes |= {"4 words": (4, 20, 30), "3 words": (3, 30, 40), "one run": (1, 110, 140)}
+    lines, pairs = [], []
+    for name, (count, low, high) in shapes.items():
+        found = 0
+        while found < 60:
+            a = " ".join(word(low, high) for _ in range(count))
+            b = edited(rng, a)
+            if 100 * len(shingles(a) & shingles(b)) >= 80 * len(shingles(a) | shingles(b)):
+                pairs.append((name, len(lines), len(lines) + 1))
+                lines += [a, b]
+                found += 1
+    urls = [f"https://example.com/{word(8, 12)}/{word(20, 40)}" for _ in range(60)]
+    keyed = ld.band_keys(spark.createDataFrame(list(enumerate(lines + urls)), "i int, line string")).collect()
+    keys = {r["i"]: {k for k in r[1:] if k is not None} for r in keyed}
+    for name in shapes:
+        own = [(a, b) for n, a, b in pairs if n == name]
+        assert sum(bool(keys[a] & keys[b]) for a, b in own) >= 0.95 * len(own), name
+    # Different addresses of one site do not all share a key.
+    at = range(len(lines), len(lines) + len(urls))
+    assert sum(bool(keys[a] & keys[b]) for a in at for b in at if a < b) < 0.1 * len(urls) * len(urls) / 2
+
+
+def test_carriage_returns_and_tabs_are_white_space(spark):
+    text = "First line of a letter here.\r\n\r\nSecond line of a letter here.\r\n\t\r\nThird line of a letter here.\r\n"
+    rows = [(1, text), (2, "\r\n" + text + "And a line of its own.\t"), (3, "\r\n \t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in ld.drop_repeated_lines(docs).collect()}
+    assert got[1] == text and got[3] == "\r\n \t" and got[2].split("\n")[-1] == "And a line of its own.\t" and "letter" not in got[2]
+    assert {(r["id"], r["line_no"]) for r in ld.line_components(docs).collect() if r["id"] == 1} == {(1, 0), (1, 2), (1, 4)}
+
+
+def test_clashing_names_of_other_columns(spark):
+    names = ["holder", "_cut", "_all", "_line_id", "_lines", "_gone", "id", "node", "line", "raw", "k0", "component", "_line_text"]
+    rows = [(1, "A line of text that is long enough.", *range(13)), (2, "A line of text that is long enough.\nAnother.", *range(13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    assert ld.line_components(docs).count() == 3
+    got = ld.drop_repeated_lines(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], (2, "Another.", *range(13))]

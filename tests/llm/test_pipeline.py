@@ -78,3 +78,14 @@ def test_empty_and_odd_rows(spark, folder):
     odd = spark.createDataFrame([(None, docs[11], None, None, None), (11, docs[11], "en", "s", 5), (11, docs[11], "en", "s", 5)], empty.schema)
     for _, stage in cp.STAGES:
         assert stage(spark, odd, path).count() >= 1
+
+
+def test_clashing_names_and_a_very_long_text(spark, folder):
+    path, docs, _ = folder
+    names = ["id", "component_id", "found", "holder", "_cut", "_kept", "_found", "item", "kept", "cleaned", "ids", "node"]
+    rows = [(i, t, *range(12)) for i, t in docs.items()] + [(99, "\n".join(sentence(40) for _ in range(4000)), *range(12))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, table, path)
+        assert got.columns == table.columns and 99 in {r["doc_id"] for r in got.collect()}, name
+    assert cp.STAGES[-1][1](spark, table, path).where("doc_id = 99").first()["n_tokens"] > 100_000
