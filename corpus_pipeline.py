@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run` writes it as Parquet to the shared folder and gives what
 it reads back to the next one.  All stages but the last return the columns of ``documents``.
+
+Whatever the stage, a NULL text counts as empty, a NULL or repeated ``doc_id`` stays a row of its own unless a stage says otherwise, other
+columns (NULL or not, whatever their names) pass through, no rows give no rows, and a text is read as a whole by one task however long
+it is.
 """
 
 from __future__ import annotations
@@ -18,30 +22,35 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that fail."""
+    """Documents that pass, without the lines that fail.  A text without words fails."""
     return quality.keep_clean(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand in an earlier one or earlier in the same; those left without words go."""
+    """Documents without the lines that stand in an earlier one or earlier in the same; those left without words go.
+
+    Earlier is by id, NULL first, then by line; ids must be unique, because lines are cut by id.  A document that had no line with words stays."""
     return line_dedup.drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the smallest id; of rows that repeat its id, all."""
+    """Of each component of similar documents, the one with the smallest id; of rows that repeat its id, all.
+
+    A text without words is like no other and stays, and so does every row with a NULL id."""
     components = ngram_join.jaccard_components(docs).where("id = component_id or id is null").select("id").distinct()
-    return docs.join(components, docs["doc_id"].eqNullSafe(components["id"]), "left_semi")
+    kept = components.select(F.col("id").alias(line_dedup.fresh(docs, "_kept")))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept.columns[0]]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold half of a test item."""
+    """Documents that do not hold half of a test item.  Rows with the id of one that does go with it, also where that id is NULL."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminated(docs, benchmark).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found"]), "left_anti")
+    found = decontaminate.contaminated(docs, benchmark).select(F.col("doc_id").alias(line_dedup.fresh(docs, "_found"))).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[found.columns[0]]), "left_anti")
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of the decoded text of each document."""
+    """Token count and digests of the ids and of the decoded text of each row; a text without words has no ids and decodes to nothing."""
     coded = bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY))
     return coded.select(
         "doc_id",
