@@ -27,8 +27,10 @@ from diffspark.llm import textbatch as tb
 LONGEST = 5
 #: Bytes of text that are cut into words at once, words of a row of coded text, and hashes that a task gathers before it counts them.
 PIECE_BYTES = 1 << 20
-CHUNK_WORDS, GATHERED = 1 << 17, 1 << 20
-#: Bits of the bitmaps that go to every task: half as many as the corpus has words, between 2^16 and this many (2^30 are 128 MB).
+CHUNK_WORDS, GATHERED = 1 << 14, 1 << 19
+#: Rows of a batch that are worked on at once.
+ROWS_AT_ONCE = 1000
+#: Bits of the bitmaps that go to every task: one for about twelve words of the corpus, between 2^16 and this many (2^30 are 128 MB).
 FILTER_BITS = 30
 #: Buckets that are counted together; hashes whose first bits agree.
 _SLOT_BITS = 16
@@ -55,6 +57,13 @@ def phrase_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``(languages, bytes, starts, ends, language of word, hash of word, owner, piece)`` of pieces of a batch of texts and languages."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield from _some_words(batch.slice(at, ROWS_AT_ONCE))
+    # What the batch's working arrays took goes back, so that workers stay small.
+    pa.default_memory_pool().release_unused()
+
+
+def _some_words(batch: pa.RecordBatch):
     names, lang_of = np.unique(np.array(batch.column(1).fill_null("und").to_pylist(), object), return_inverse=True)
     # Mixed once more, so that a word that is the name of a language hashes like any other.
     lang_hash = tb.mix(np.array([tb.hashes(x := np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0] for s in names], np.uint64))
@@ -134,6 +143,7 @@ def _coded_rows(batches) -> Iterator[tuple[np.ndarray, int]]:
     for batch in batches:
         for raw, core in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             yield np.frombuffer(raw.as_buffer(), np.uint64), core
+        pa.default_memory_pool().release_unused()
 
 
 def _buckets(coded: DataFrame, bits: int, least: int, candidates) -> _Filter:
@@ -367,7 +377,7 @@ def collocations(
     coded = storage.kept(_code(told), "coded-words")
     totals = storage.kept(coded.groupBy("lang").agg(F.sum("n").alias("total")), "language-words")
     size_of_all = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
-    bits = min(max(size_of_all.bit_length() - 1, 16), max(filter_bits, 3))
+    bits = min(max(size_of_all.bit_length() - 4, 16), max(filter_bits, 3))
     slot_bits = min(max(size_of_all.bit_length() - 18, 4), 20)
 
     seen = _buckets(coded, bits, least, _candidates(1, None))
