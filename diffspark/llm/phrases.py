@@ -85,6 +85,7 @@ def _code(told: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for names, _, _, _, lang, words, owner, piece in _words(batch):
+                rows = []
                 for k in np.unique(lang):
                     own = np.flatnonzero(lang == k)
                     apart = np.flatnonzero((piece[own][1:] != piece[own][:-1]) | (owner[own][1:] != owner[own][:-1])) + 1
@@ -92,8 +93,9 @@ def _code(told: DataFrame) -> DataFrame:
                     for at in range(0, len(coded), CHUNK_WORDS):
                         core = min(CHUNK_WORDS, len(coded) - at)
                         n = int(np.count_nonzero(coded[at : at + core]))
-                        part = coded[at : at + core + LONGEST - 1].tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([names[k]]), pa.array([part], pa.binary()), pa.array([core]), pa.array([n])], ["lang", "words", "core", "n"])
+                        rows.append((names[k], coded[at : at + core + LONGEST - 1].tobytes(), core, n))
+                kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "words", "core", "n"])
 
     return told.mapInArrow(run, "lang string, words binary, core bigint, n bigint")
 
@@ -243,19 +245,21 @@ _PACKED = "slot bigint, lang string, hashes binary, counts binary, words binary,
 def _packed(slot_bits: int, lang, hashes: np.ndarray, counts: np.ndarray, words: np.ndarray | None, texts: list[str] | None):
     """One row for each slot from sorted distinct hashes."""
     slots = (hashes >> np.uint64(64 - slot_bits)).astype(np.int64)
-    cuts = np.flatnonzero(slots[1:] != slots[:-1]) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(slots)], strict=True):
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(slots[a])]),
-                pa.array([lang], pa.string()),
-                pa.array([hashes[a:b].tobytes()], pa.binary()),
-                pa.array([counts[a:b].astype(np.int64).tobytes()], pa.binary()),
-                pa.array([None if words is None else words[a:b].tobytes()], pa.binary()),
-                pa.array([None if texts is None else texts[a:b]], pa.list_(pa.string())),
-            ],
-            ["slot", "lang", "hashes", "counts", "words", "text"],
-        )
+    cuts = (np.flatnonzero(slots[1:] != slots[:-1]) + 1).tolist()
+    parts = list(zip([0, *cuts], [*cuts, len(slots)], strict=True)) if len(slots) else []
+    counts = counts.astype(np.int64)
+    # One batch, because every batch costs the receiver buffers of its own.
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([int(slots[a]) for a, _ in parts], pa.int64()),
+            pa.array([lang] * len(parts), pa.string()),
+            pa.array([hashes[a:b].tobytes() for a, b in parts], pa.binary()),
+            pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary()),
+            pa.array([None if words is None else words[a:b].tobytes() for a, b in parts], pa.binary()),
+            pa.array([None if texts is None else texts[a:b] for a, b in parts], pa.list_(pa.string())),
+        ],
+        ["slot", "lang", "hashes", "counts", "words", "text"],
+    )
 
 
 def _single_words(told: DataFrame, bucket: _Filter, slot_bits: int, least: int) -> DataFrame:
@@ -311,7 +315,7 @@ def _level(coded: DataFrame, size: int, candidates, slot_bits: int, least: int)
             distinct, first, n = np.unique(hashes, return_index=True, return_counts=True)
             gathered.append((distinct, words[at[first][:, None] + np.arange(size)], n))
             held += len(distinct)
-            if held >= GATHERED // 4:
+            if held >= GATHERED:
                 yield from flush()
                 gathered, held = [], 0
         if gathered:
