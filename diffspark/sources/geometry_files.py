@@ -14,6 +14,8 @@ from diffspark.sources.json_elements import json_elements
 _NUMBER = r"([+-]?\s*(?:\d+\.?\d*|\.\d+)?(?:[eE][+-]?\d+)?)\s*"
 _NUMBERS = "corner_x corner_y coffset clen res min_fs max_fs min_ss max_ss".split()
 _SHARED = ("clen", "coffset", "res")
+#: More partitions than any table of entries has.
+_MANY = 1 << 20
 
 
 def geometry_entries(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -40,15 +42,20 @@ def geometry_entries(lines: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def _axis(vector: Column, axis: str) -> Column:
-    """Coefficient of ``x``, ``y`` or ``z`` in a vector such as ``-0.99x +0.004y``; a bare sign is one."""
-    raw = F.regexp_replace(F.regexp_extract(vector, _NUMBER + axis, 1), r"\s", "")
-    return (
-        F.when(~vector.contains(axis), 0.0)
-        .when(raw.isin("", "+"), 1.0)
-        .when(raw == "-", -1.0)
-        .otherwise(raw.try_cast("double"))
-    )
+def _step(rows: DataFrame) -> DataFrame:
+    """``rows`` as they are, no partition joined with another one.  Spark compiles what stands before and after it on its own: as one
+    method the whole parsing is larger than what the JVM's compiler takes, and is interpreted."""
+    return rows.coalesce(_MANY)
+
+
+def _axis_text(vector: Column, axis: str) -> Column:
+    """What stands before ``x``, ``y`` or ``z`` in a vector such as ``-0.99x +0.004y``; NULL without the letter."""
+    return F.when(vector.contains(axis), F.regexp_replace(F.regexp_extract(vector, _NUMBER + axis, 1), r"\s", ""))
+
+
+def _axis_number(raw: Column) -> Column:
+    """Coefficient of an axis from its text; a bare sign is one, no text zero."""
+    return F.when(raw.isNull(), 0.0).when(raw.isin("", "+"), 1.0).when(raw == "-", -1.0).otherwise(raw.try_cast("double"))
 
 
 def panels_from_entries(entries: DataFrame, order: str, detector: str = "detector") -> DataFrame:
@@ -58,10 +65,12 @@ def panels_from_entries(entries: DataFrame, order: str, detector: str = "detecto
     One aggregation by panel and one by detector; panel values override the detector's.
     """
     is_vector = F.col("key").isin("fs", "ss")
-    typed = entries.withColumns(
+    # The texts are cut out in a step of their own: an expression that uses one several times would run its pattern as often.
+    texts = _step(entries).withColumns({f"_{a}": F.when(is_vector, _axis_text(F.col("value"), a)) for a in "xyz"})
+    typed = texts.withColumns(
         {
             "_number": F.when(~is_vector, F.col("value").try_cast("double")),
-            **{f"_{a}": F.when(is_vector, _axis(F.col("value"), a)) for a in "xyz"},
+            **{f"_{a}": F.when(is_vector, _axis_number(F.col(f"_{a}"))) for a in "xyz"},
         }
     )
 
@@ -69,6 +78,7 @@ def panels_from_entries(entries: DataFrame, order: str, detector: str = "detecto
         hit = F.col("key") == key
         return F.max_by(F.when(hit, F.col(column)), F.when(hit, F.col(order)))
 
+    typed = _step(typed)
     here = F.col("panel").isNotNull()
     per_panel = typed.where(here).groupBy(detector, "panel").agg(
         *[latest(k).alias(k) for k in _NUMBERS],

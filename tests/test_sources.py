@@ -340,3 +340,16 @@ def test_one_frame_is_read_from_one_file(spark, tmp_path):
     held = back.groupBy(F.input_file_name().alias("f")).agg(F.min(F.struct("path", "frame_idx")).alias("a"), F.max(F.struct("path", "frame_idx")).alias("b"))
     spans = sorted((tuple(r["a"]), tuple(r["b"])) for r in held.collect())
     assert len(spans) > 1 and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_axes_of_a_vector_are_cut_out_once(spark):
+    rows = [("D", "p1", "fs", "-0.99x +0.004y", 1), ("D", "p1", "ss", "y - z", 2), ("D", "p1", "res", "10", 3), ("D", "p1", "clen", "1", 4)]
+    rows += [("D", "p1", k, "3", i) for i, k in enumerate(("corner_x", "corner_y", "min_fs", "max_fs", "min_ss", "max_ss"), 5)]
+    panels = geometry_files.panels_from_entries(spark.createDataFrame(rows, "detector string, panel string, key string, value string, line int"), "line")
+    got = panels.first()
+    assert got["fs_vec"] == pytest.approx([-0.099, 0.0004, 0.0]) and got["ss_vec"] == pytest.approx([0.0, 0.1, -0.1])
+    # One pattern search for each axis of a line, however often its result is used.
+    plan = panels._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace(") == 3
+    # Parsing and aggregation are compiled apart, as methods small enough for the JVM's compiler.
+    assert plan.count("Repartition") >= 2
