@@ -37,35 +37,84 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ``count`` ranks of two streams written by :func:`pack`."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
+    return _ranks(_LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count], np.frombuffer(data, np.uint8))
+
+
+def _ranks(lengths: np.ndarray, octets: np.ndarray) -> np.ndarray:
+    """Ranks from their byte lengths and bytes."""
     starts = np.cumsum(lengths) - lengths
-    octets = np.frombuffer(data + b"\0\0\0", np.uint8)
-    at = starts[:, None] + np.arange(4)
-    wide = octets[np.minimum(at, len(octets) - 1)].astype(np.uint8).view("<u4").ravel()
+    octets = np.concatenate([octets, np.zeros(3, np.uint8)])
+    wide = octets[starts].astype(np.uint32)
+    for j in range(1, int(lengths.max(initial=1))):
+        wide |= octets[starts + j].astype(np.uint32) << np.uint32(8 * j)
     return wide & _KEEP[lengths - 1]
 
 
+def pack_all(ranks: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control and data bytes of many runs of ranks, given one after the other, as :func:`pack` makes them of each."""
+    ranks = np.asarray(ranks, np.uint32)
+    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    bytes_of = -(-counts // 4)
+    fields = np.zeros(4 * int(bytes_of.sum()), np.uint8)
+    first, ends = 4 * (np.cumsum(bytes_of) - bytes_of), np.cumsum(counts)
+    fields[np.arange(len(ranks)) + np.repeat(first - (ends - counts), counts)] = extra
+    f = fields.reshape(-1, 4)
+    control = f[:, 0] | (f[:, 1] << 2) | (f[:, 2] << 4) | (f[:, 3] << 6)
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    stops = np.concatenate([[0], np.cumsum(extra + np.int64(1))])[np.concatenate([[0], ends])]
+    return _binary(control, np.concatenate([[0], np.cumsum(bytes_of)])), _binary(data, stops)
+
+
+def _binary(data: np.ndarray, stops: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(stops) - 1, [None, pa.py_buffer(stops.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def unpack_all(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The ranks of many runs written by :func:`pack` or :func:`pack_all`, one after the other."""
+    octets, values = (np.frombuffer(b"".join(a.to_pylist()), np.uint8) for a in (control, data))
+    fields = _LENGTHS[octets].ravel()
+    padded = 4 * -(-counts // 4)
+    place = np.arange(len(fields)) - np.repeat(np.cumsum(padded) - padded, padded)
+    return _ranks(fields[place < np.repeat(counts, padded)], values)
+
+
+def _runs(counts: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of rows of about ``BLOCK_TOKENS`` tokens, or one row each."""
+    ends = np.cumsum(counts)
+    out, a = [], 0
+    while a < len(ends):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_TOKENS, "right"))
+        out.append((a, max(b, a + 1)))
+        a = out[-1][1]
+    return out
+
+
 def _tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+    """Coded ids of every document; one row of each task also has how often each id stands in all of the task's (``seen``)."""
+
     def run(batches):
         lib = library(vocabulary)
+        total, last = np.zeros(max(lib.words) + 1, np.int64), None
         for batch in batches:
             for found in units(batch.column(1)):
                 ids, counts = lib.ids_of(found)
                 n, ends = len(counts), np.cumsum(counts)
                 # Ids of such vocabularies rise as words get rarer, so they already pack well.
-                streams = [pack(np.append(ids[a:b], END_ID)) for a, b in zip([0, *ends.tolist()], ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(found.first, n),
-                        pa.array(np.diff(ends, prepend=0) + 1),
-                        pa.array([c for c, _ in streams], pa.binary()),
-                        pa.array([d for _, d in streams], pa.binary()),
-                    ],
-                    ["doc_id", "n_tokens", "control", "data"],
+                coded = np.insert(ids.astype(np.uint32), ends, END_ID)
+                total += np.bincount(coded, minlength=len(total))
+                control, data = pack_all(coded, counts + 1)
+                if last is not None:
+                    yield last
+                last = pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(found.first, n), pa.array(counts + 1), control, data, pa.nulls(n, pa.binary())],
+                    ["doc_id", "n_tokens", "control", "data", "seen"],
                 )
+        if last is not None:
+            seen = pa.array([zlib.compress(total.astype("<i8").tobytes())] + [None] * (last.num_rows - 1), pa.binary())
+            yield last.set_column(4, "seen", seen)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, control binary, data binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, control binary, data binary, seen binary")
 
 
 def _frequencies(coded: DataFrame) -> np.ndarray:
@@ -74,17 +123,13 @@ def _frequencies(coded: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, c, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                got = np.bincount(unpack(c, d, n))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            for seen in batch.column(0):
+                got = np.frombuffer(zlib.decompress(seen.as_buffer()), "<i8")
+                total = got + (total if len(total) else 0)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    rows = coded.select("n_tokens", "control", "data").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = coded.select("seen").where("seen is not null").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ids = np.array([r["id"] for r in rows], np.int64)
     counts = np.array([r["n"] for r in rows], np.int64)
     return ids[np.lexsort((ids, -counts))].astype(np.uint32)
@@ -96,7 +141,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     ``path/blocks`` has one row per block: ``part, start`` (tokens of earlier blocks of the part), ``doc_ids, counts, control,
     data``; ``path/ranks`` the id of each rank; ``path/parts`` the first token number of each part.  A NULL or empty text is
     one ``END_ID``.  Rows with equal or NULL ids keep a row each (NULL first, equal ids by their ids' bytes).  Other
-    columns are not read.  Encoding, counting and writing each pass over the data once; the rows move once, coded.
+    columns are not read.  Encoding (which counts too) and writing each pass over the data once; the rows move once, coded.
     """
     spark = docs.sparkSession
     coded = storage.kept(_tokenise(docs, vocabulary, id_col, text_col), "token-ids")
@@ -132,16 +177,21 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
             return row
 
         for batch in batches:
-            for doc, n, c, d in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                pending.append((doc, n, unpack(c, d, n)))
-                held += n
-                if held >= BLOCK_TOKENS:
-                    yield block()
+            documents, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for a, b in _runs(counts):
+                own = counts[a:b]
+                ids = unpack_all(batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), own)
+                to = np.cumsum(own)
+                for doc, n, y in zip(documents[a:b], own.tolist(), to.tolist(), strict=True):
+                    pending.append((doc, n, ids[y - n : y]))
+                    held += n
+                    if held >= BLOCK_TOKENS:
+                        yield block()
         if pending:
             yield block()
 
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(count, "doc_id", F.xxhash64("doc_id", "data"))
+    ordered = coded.drop("seen").withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(count, "doc_id", F.xxhash64("doc_id", "data"))
     ordered.sortWithinPartitions("doc_id", "control", "data").mapInArrow(
         run,
         "part int, start bigint, n_tokens bigint, doc_ids array<bigint>, counts array<bigint>, control binary, data binary",

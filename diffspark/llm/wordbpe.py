@@ -3,7 +3,7 @@
 Text is normalised, cut into words by a pattern, and each word is merged on its own; so any text can be cut at white space first.
 A batch is cut with numpy: stretches without white space are *pieces*; a piece of printable ASCII without apostrophe or ``<`` is lower-cased and cut
 into runs of letters, single digits and runs of marks, which are its words.  Any other piece is a unit as it stands, left to the library's own
-normaliser and pre-tokeniser, so that every code point counts as the library says.  Each distinct unit of a batch is encoded once.
+normaliser and pre-tokeniser, so that every code point counts as the library says.  A unit that the table of units does not hold is encoded once in a batch.
 """
 
 from __future__ import annotations
@@ -39,10 +39,15 @@ _CLASS[[ord("'"), ord("<")]] = _ODD
 _CLASS[tb.BLANK] = 0
 
 
+# Units of Latin-1 letters, digits and marks, which the library lower-cases letter by letter and cuts like ASCII.
+_LATIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~¡¿]+")
+_LATIN_WORDS = regex.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 @dataclass(frozen=True)
 class Units:
-    """Distinct units of a run of texts: their hashes, places in ``raw`` and which of them need the library's normaliser; and the
-    unit and text number of every occurrence."""
+    """The units of a run of texts in their order: their hashes, places in ``raw``, which of them need the library's normaliser, and
+    the number of their text."""
 
     first: int
     last: int
@@ -51,7 +56,6 @@ class Units:
     starts: np.ndarray
     ends: np.ndarray
     odd: np.ndarray
-    which: np.ndarray
     owner: np.ndarray
 
     def texts(self, at: np.ndarray) -> list[bytes]:
@@ -77,8 +81,7 @@ def units(texts: pa.Array) -> Iterator[Units]:
         at = np.flatnonzero(begins)
         piece = np.searchsorted(starts, at, "right") - 1
         to = np.minimum(np.append(at[1:], len(data)), ends[piece])
-        distinct, place, which = np.unique(tb.hashes(data, at, to), return_index=True, return_inverse=True)
-        yield Units(first, last, data.tobytes(), distinct, at[place], to[place], odd[piece[place]], which, owner[piece])
+        yield Units(first, last, data.tobytes(), tb.hashes(data, at, to), at, to, odd[piece], owner[piece])
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -99,22 +102,26 @@ class Table:
         self.used = self.entries = 0
 
     def look_up(self, found: Units, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where those of each unit start and how many they are; ``encode(places of units)`` makes what is missing."""
+        """Ids, and where those of each unit start and how many they are; ``encode(places of units)`` makes what is missing.  Only units
+        that the table does not have are sorted, to find the distinct ones."""
         if 2 * self.used > len(self.flat) or self.entries >= TABLE_ENTRIES:
             self.hashes[:], self.used, self.entries = 0, 0, 0
         place = (found.hashes >> self.shift).astype(np.int64)
         known = self.hashes[place] == found.hashes
-        start, length = np.where(known, self.start[place], 0).astype(np.int64), np.where(known, self.length[place], 0).astype(np.int64)
-        new = np.flatnonzero(~known)
-        if not len(new):
+        start, length = self.start[place].astype(np.int64), self.length[place].astype(np.int64)
+        missing = np.flatnonzero(~known)
+        if not len(missing):
             return self.flat, start, length
+        distinct, new, which = np.unique(found.hashes[missing], return_index=True, return_inverse=True)
+        new = missing[new]
         flat, n = encode(new)
-        start[new], length[new] = self.used + np.cumsum(n) - n, n
+        begin = self.used + np.cumsum(n) - n
+        start[missing], length[missing] = begin[which], n[which]
         if self.used + len(flat) > len(self.flat):  # more than there is room for: of use here, not kept
             return np.concatenate([self.flat[: self.used], flat]), start, length
         self.flat[self.used : self.used + len(flat)] = flat
         self.used, self.entries = self.used + len(flat), self.entries + len(new)
-        self.hashes[place[new]], self.start[place[new]], self.length[place[new]] = found.hashes[new], start[new], n
+        self.hashes[place[new]], self.start[place[new]], self.length[place[new]] = distinct, begin, n
         return self.flat, start, length
 
 
@@ -144,8 +151,6 @@ class Vocabulary:
         self.end: str = self.spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.words = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.ends = np.zeros(max(self.words) + 1, bool)
-        self.ends[[i for t, i in self.ids.items() if t.endswith(self.end)]] = True
         self.type = np.uint16 if max(self.words) < 1 << 16 else np.uint32
 
         self.table = Table(self.type)
@@ -157,8 +162,7 @@ class Vocabulary:
     def ids_of(self, found: Units) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
         flat, start, length = self.table.look_up(found, lambda at: self.of(found, at))
-        n = length[found.which]
-        return ragged(flat, start[found.which], n), np.bincount(found.owner, n, minlength=found.last - found.first).astype(np.int64)
+        return ragged(flat, start, length), np.bincount(found.owner, length, minlength=found.last - found.first).astype(np.int64)
 
     def of(self, found: Units, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units ``at``, one after the other, and their numbers."""
@@ -189,7 +193,12 @@ def together(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, ki
 
 
 class Library(Vocabulary):
-    """Units encoded by the library, many in one string."""
+    """Units encoded by the library, many at once."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        letters = byte_letters()
+        self.spelling = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
 
     @property
     def code(self) -> str:
@@ -203,26 +212,44 @@ class Library(Vocabulary):
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # Plain words stay apart at a space, and the last token of each has the suffix.
-        ids = self._ids(b" ".join(texts).decode("ascii"))
-        stops = np.flatnonzero(self.ends[ids])
-        if len(stops) != len(texts):
-            return self._one_by_one(texts)
-        return ids, np.diff(stops, prepend=-1)
+        # Plain words are normalised and cut already, and their bytes stand for themselves; so the library's model takes them as they are.
+        return self._modelled(b" ".join(texts).decode("ascii").split(" "))
+
+    def _modelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised words, spelled with the letters that stand for their bytes."""
+        told = list(map(self.tokenizer.model.tokenize, words))
+        counts = np.array(list(map(len, told)), np.int64)
+        return np.fromiter((t.id for word in told for t in word), self.type, int(counts.sum())), counts
 
     def _odd(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        told = [t.decode() for t in texts]
+        latin = np.array([_LATIN.fullmatch(t) is not None for t in told])
+        groups = []
+        own = np.flatnonzero(latin)
+        if len(own):
+            words = [_LATIN_WORDS.findall(told[i].lower()) for i in own.tolist()]
+            spelled = " ".join([w for of_unit in words for w in of_unit]).translate(self.spelling)
+            flat, counts = self._modelled(spelled.split(" "))
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(list(map(len, words)))]
+            groups.append((own, flat, np.diff(ends, prepend=0)))
+        own = np.flatnonzero(~latin)
+        if len(own):
+            groups.append((own, *self._strange([told[i] for i in own.tolist()])))
+        return together(groups, len(texts), self.type)
+
+    def _strange(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Between special tokens each unit is normalised and cut on its own.
         if not self.special:
             return self._one_by_one(texts)
         mark, number = next(iter(self.special.items()))
-        ids = self._ids(mark.join([t.decode() for t in texts]))
+        ids = self._ids(mark.join(texts))
         stops = np.flatnonzero(ids == number)
         if len(stops) != len(texts) - 1:  # a text that holds the mark itself
             return self._one_by_one(texts)
         return np.delete(ids, stops), np.diff(stops, prepend=-1, append=len(ids)) - 1
 
-    def _one_by_one(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._ids(t.decode()) for t in texts]
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._ids(t) for t in texts]
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 

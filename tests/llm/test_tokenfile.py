@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from diffspark.llm import storage, tokenfile
+from diffspark.llm import storage, tokenfile, wordbpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,3 +56,33 @@ def test_repeated_ids_and_empty_table(spark):
     path = storage.shared_path(spark, "test-token-files")
     tokenfile.write(docs.limit(0), path, PATH)
     assert tokenfile.read(spark, path).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.sampled_from([0, 255, 256, 65535, 65536, 2**24]), max_size=9), min_size=1, max_size=8))
+def test_many_runs_at_once(runs):
+    counts = np.array([len(r) for r in runs], np.int64)
+    flat = np.array([x for r in runs for x in r], np.uint32)
+    control, data = tokenfile.pack_all(flat, counts)
+    assert list(zip(control.to_pylist(), data.to_pylist(), strict=True)) == [tokenfile.pack(np.array(r, np.uint32)) for r in runs]
+    assert tokenfile.unpack_all(control, data, counts).tolist() == flat.tolist()
+
+
+def test_frequencies_without_another_look_at_the_ids(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (2, None), (3, "the")], "doc_id long, text string").repartition(2)
+    coded = tokenfile._tokenise(docs, PATH, "doc_id", "text")
+    the = Tokenizer.from_file(PATH).encode("the", add_special_tokens=False).ids[0]
+    # Counts alone, no streams: the most frequent ids are that word and the end of a document, three times each.
+    assert sorted(tokenfile._frequencies(coded.select("seen"))[:2].tolist()) == sorted([the, 1])
+
+
+def test_latin_units_against_the_library(monkeypatch):
+    """Words of Latin-1 letters, digits and marks go to the library's model without its normaliser, with the same ids."""
+    library, tokenizer = wordbpe.Library(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(8)
+    signs = [chr(c) for c in range(32, 256)] + [chr(c) for c in range(0xC0, 0x100)] * 3
+    texts = ["Élan ÉTÉ, ¿qué? ¡Sí! über-Straße2024 ÿ Þ ×÷", "l'été <|endoftext|> µ ª º"] + ["".join(rng.choice(signs) for _ in range(60)) for _ in range(300)]
+    for text in texts:
+        assert library.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, library.type).tobytes(), text
+    monkeypatch.setattr(wordbpe.Library, "_strange", None)
+    assert library.encode("Élan été qué ¡aña!") and wordbpe.Library(PATH).encode("naïve Fräulein, garçon")
