@@ -181,6 +181,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and links with nothing; a NULL id keeps its row, in the component of its text; repeated ids give
     repeated rows, each in the component of its own text.  Other columns are not read.  No rows give no rows.
     """
+    storage.small_batches(docs.sparkSession)
     keys = storage.kept(set_keys(docs, id_col, text_col, size), "set-keys")
     heads = keys.where("node is not null").groupBy("node").agg(F.min("id").alias("head"), F.first("n_shingles").alias("n"))
     heads = storage.kept(heads, "set-heads")

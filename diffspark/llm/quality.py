@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from diffspark.llm import storage
 from diffspark.llm import textbatch as tb
 
 #: Text whose measures a task holds at once, beyond a single longer document.
@@ -176,6 +177,7 @@ def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineR
     whatever their names; no rows give no rows.  A document is in one task's memory as a whole.
     """
     at = docs.columns.index(text_col)
+    storage.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -21,6 +21,19 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark) -> None:
+    """From now on the session's rows go to Python workers in batches of a few MB.
+
+    Spark's own limits, 10,000 rows or 64 MB, let a batch of long texts or packed rows take as much several times over: in the JVM's
+    buffers, which double as they grow, and in the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def delete(*tables: DataFrame) -> None:
     """Remove tables written by :func:`kept` once nothing reads them any more."""
     for df in tables:
