@@ -1,12 +1,11 @@
 """Fuzzy line deduplication with DataFrame functions only: MinHash, banding, exact Jaccard, distributed union-find.
 
-A line is trimmed and lower-cased; equal lines are one *node* from there on.  Its signature is one-permutation MinHash over a
-share of its character shingles that the text itself picks: in lines of many words those that begin at a word, in lines of fewer than
-``MANY_WORDS`` also those that begin with one of about half of all letters and digits, and in scripts without spaces those at every
-character.  Lines a quarter longer than that have both signatures, so that two similar lines always share a kind.  Each band takes the four
-smallest hashes at or above its own start in the hash range, going round at the top, so two lines of similarity s agree in a band
-with probability about s^4.  Lines that agree in a band are candidates; candidates link when the Jaccard similarity of *all* their
-character shingles reaches the threshold.
+A line is trimmed and lower-cased; equal lines are one *node* from there on.  Its signature is one-permutation MinHash over all its
+shingles of 8 bytes: the smallest hash in each of 32 parts of the hash range.  Each band takes the four smallest of these at or above its
+own start, going round at the top, so two lines of similarity s agree in a band with probability about s^4.  Lines that agree in a
+band are candidates; candidates link when the Jaccard similarity of all their *character* shingles reaches the threshold.
+Before that, bitmaps of the character shingles rule out pairs that differ in too many bits to reach it; this loses none.
+Hashes are made in rows of their own, not inside array functions, so Spark compiles that work.
 Nodes are named by 64-bit hashes of their text, so results are exact up to a hash collision.
 """
 
@@ -19,17 +18,19 @@ from diffspark.llm import linking, storage
 
 SHINGLE = 8
 BANDS, MINS_PER_BAND = 8, 4
-#: Lines of so many words take the shingles at their words alone.
-MANY_WORDS = 32
+#: Shingles that a part of the hash range keeps on average, the others having larger hashes; a part that stays empty does so in
+#: similar lines alike.
+PER_PART = 3
+#: Bytes from which a line's repeated words do not count as shingles of it.
+LONG = 512
+#: Longs of the bitmap of a candidate line.
+BITMAP = 16
 #: Nodes (8 bytes each) up to which the list of candidate lines is broadcast; a longer list is shuffled.
 BROADCAST_NODES = 1_000_000
-_SEGMENT = 32
+_SEGMENT, _BYTES_AT_ONCE, _PARTS_AT_ONCE = 32, 1024, 8
 
-# Scripts written without spaces (Thai to Lao, Burmese, Khmer, East Asian, and the planes beyond the first).
-_UNSPACED = r"฀-໿က-႟ក-៿⺀-꓏가-힣豈-﫿＀-￯\x{10000}-\x{10FFFF}"
-# The white space that is no part of a line; every second letter and digit.
+# Fixed value: the white space that is no part of a line.
 _BLANK = " \t\n\x0b\x0c\r"
-_HALF = "acegikmoqsuwy02468"
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -46,18 +47,17 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.select("id", "line_no", F.lower(F.btrim(F.col("raw"), F.lit(_BLANK))).alias("line")).where("line != ''").withColumn("node", F.xxhash64("line"))
 
 
-def anchored_hashes(line: str, dense: bool) -> Column:
-    """Hashes of the picked shingles of column ``line``, none if the line has no signature of this kind."""
-    words = F.size(F.split(line, " "))
-    at_word = rf"(?<![^ {_UNSPACED}])"
-    start = rf"(?:{at_word}|(?=[{_HALF}]|[^\x00-\x7f]))" if dense else at_word
-    found = F.regexp_extract_all(line, F.lit(f"(?s){start}(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
-    has = words < MANY_WORDS * 5 // 4 if dense else words >= MANY_WORDS
-    return F.when(has, F.transform(found, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
+def all_hashes(line: str) -> Column:
+    """Distinct hashes of all character shingles of column ``line``; a shorter line is one shingle."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    found = F.when(F.char_length(line) > SHINGLE, found).otherwise(F.array(line))
+    # A match may begin between the two halves of a character beyond the first plane.
+    found = F.when(F.col(line).rlike(r"[\x{10000}-\x{10FFFF}]"), _cut_shingles(line)).otherwise(found)
+    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
 
-def all_hashes(line: str) -> Column:
-    """Distinct hashes of all character shingles of column ``line``; a shorter line is one shingle.
+def _cut_shingles(line: str) -> Column:
+    """All character shingles of a line, cut out one by one.
 
     The line is cut into segments first, because finding the n-th character of a string takes n steps.
     """
@@ -67,38 +67,70 @@ def all_hashes(line: str) -> Column:
 
     def of(segment: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.char_length(segment) - SHINGLE + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.xxhash64(F.substr(segment, i, F.lit(SHINGLE))))
+        return F.transform(places, lambda i: F.substr(segment, i, F.lit(SHINGLE)))
 
-    return F.array_distinct(F.flatten(F.transform(segments, of)))
+    return F.flatten(F.transform(segments, of))
 
 
-def _with_keys(of_line: DataFrame, dense: bool, names: list[str]) -> DataFrame:
-    """The rows with one column per band of one kind of signature, NULL where a line has none."""
-    edges = [(-(1 << 63)) + ((1 << 64) // BANDS) * j for j in range(BANDS)]
-    # A generator of one row keeps the optimiser from writing the expensive array into every expression that uses it.
-    carried = of_line.columns
-    hashed = of_line.select(*carried, F.explode(F.array(anchored_hashes("line", dense))).alias("_hashes"))
-    starts = F.array(*[F.lit(e) for e in edges])
-    low = F.sort_array("_hashes")
-    ring = F.concat(low, F.slice(low, 1, MINS_PER_BAND))
-    both = F.struct(ring.alias("ring"), F.sort_array(F.concat("_hashes", starts)).alias("all"))
-    ordered = hashed.select(*carried, F.explode(F.array(both)).alias("_s"))
+def _exploded(of_line: DataFrame, length: str, at_once: int, cut: str, carried: list[str]) -> DataFrame:
+    """``carried``, ``_n``, ``_first`` and the ``_hash`` of each shingle.  ``cut`` is cut off for ``at_once`` shingles from ``_at``, shingles from that."""
+    parts = of_line.withColumn("_n", F.expr(f"greatest({length} - {SHINGLE - 1}, 1)"))
+    parts = parts.withColumn("_at", F.explode(F.expr(f"sequence(0, _n - 1, {at_once})")))
+    parts = parts.select(*carried, "_n", "_at", F.expr(cut).alias("_cut"))
+    places = parts.withColumn("_place", F.explode(F.expr(f"sequence(1, least({at_once}, _n - _at))")))
+    return places.select(*carried, "_n", F.expr("_at + _place = 1").alias("_first"), F.expr(f"xxhash64(substring(_cut, _place, {SHINGLE}))").alias("_hash"))
 
-    def key(edge: Column, j: Column) -> Column:
-        at = F.array_position(F.col("_s.all"), edge).cast("int") - j  # 1 + hashes below the start
-        return F.xxhash64(j, F.lit(dense), F.slice(F.col("_s.ring"), at, MINS_PER_BAND))
 
-    some = F.when(F.size("_s.ring") > 0, F.transform(starts, key))
-    keyed = ordered.select(*carried, F.explode(F.array(some)).alias("_keys"))
-    return keyed.select(*carried, *[F.get("_keys", F.lit(b)).alias(name) for b, name in enumerate(names)])
+KEYS = [f"k{b}" for b in range(BANDS)]
 
 
-KEYS = [f"k{b}" for b in range(2 * BANDS)]
+def band_keys(of_line: DataFrame) -> DataFrame:
+    """The rows of ``of_line`` with one ``k0, k1, ...`` per band in place of ``line``, which the other columns must determine.
 
+    Equal rows are one.
+    """
+    parts = BANDS * MINS_PER_BAND
+    carried = [c for c in of_line.columns if c != "line"]
+    # The rows of a line stay in its task from here on.
+    own = of_line.repartition(*carried).distinct()
+    distinct = F.octet_length(F.array_join(F.array_distinct(F.split("line", " ")), " "))
+    own = own.select(*carried, F.when(F.octet_length("line") > LONG, distinct).otherwise(F.octet_length("line")).alias("_about"), F.col("line").cast("binary").alias("_bytes"))
+    hashed = _exploded(own, "octet_length(_bytes)", _BYTES_AT_ONCE, f"substring(_bytes, _at + 1, {_BYTES_AT_ONCE + SHINGLE - 1})", [*carried, "_about"])
+    # The first bits name the part, the next 32 the height in it.  High ones are no part's least if it has any other.  The first shingle
+    # stays, so that no line is without any.
+    width = parts.bit_length() - 1
+    low = f"(_hash >>> {32 - width} & {(1 << 32) - 1}) * _about < {PER_PART * parts << 32}"
+    hashed = hashed.where(f"{low} or _first").withColumn("_part", F.expr(f"cast(_hash >>> {64 - width} as int)"))
+    # A few parts at a time: each least is one more test for every row.
+    some = hashed.withColumn("_group", F.expr(f"_part div {_PARTS_AT_ONCE}")).withColumn("_part", F.expr(f"_part % {_PARTS_AT_ONCE}"))
+    some = some.groupBy(*carried, "_group").agg(*[F.min(F.when(F.col("_part") == j, F.col("_hash"))).alias(f"_l{j}") for j in range(_PARTS_AT_ONCE)])
+    least = some.groupBy(*carried).agg(
+        *[F.min(F.when(F.col("_group") == j // _PARTS_AT_ONCE, F.col(f"_l{j % _PARTS_AT_ONCE}"))).alias(f"_m{j}") for j in range(parts)]
+    )
+    ring = F.array_compact(F.array(*[f"_m{j}" for j in range(parts)]))
+    below = [sum((F.col(f"_m{j}").isNotNull().cast("int") for j in range(MINS_PER_BAND * b)), F.lit(1)).alias(f"_b{b}") for b in range(BANDS)]
+    rings = least.select(*carried, F.explode(F.array(ring)).alias("_ring"), *below)
+    rings = rings.select(*carried, F.concat("_ring", F.slice("_ring", 1, MINS_PER_BAND)).alias("_ring"), *[f"_b{b}" for b in range(BANDS)])
+    return rings.select(*carried, *[F.xxhash64(F.lit(b), F.slice("_ring", F.col(f"_b{b}"), MINS_PER_BAND)).alias(KEYS[b]) for b in range(BANDS)])
 
-def band_keys(of_line: DataFrame) -> DataFrame:
-    """The rows of ``of_line`` with one ``k0, k1, ...`` per band in place of ``line``."""
-    return _with_keys(_with_keys(of_line, True, KEYS[:BANDS]), False, KEYS[BANDS:]).drop("line")
+
+def bitmaps(of_line: DataFrame) -> DataFrame:
+    """``(node, most, bits)``: the bits that the character shingles of ``(node, line)`` set, and the most shingles it can have."""
+    cut = f"substring(line, _at + 1, {_SEGMENT + SHINGLE - 1})"
+    hashed = _exploded(of_line, "char_length(line)", _SEGMENT, cut, ["node"])
+    told = hashed.select("node", "_n", F.expr(f"cast(_hash & {BITMAP - 1} as int)").alias("_long"), F.expr("shiftleft(1L, cast(_hash >>> 58 as int))").alias("_bit"))
+    bits = [F.bit_or(F.when(F.col("_long") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"_x{k}") for k in range(BITMAP)]
+    return told.groupBy("node").agg(F.max("_n").alias("most"), *bits).select("node", "most", F.array(*[f"_x{k}" for k in range(BITMAP)]).alias("bits"))
+
+
+def can_link(percent: int) -> Column:
+    """Whether lines with ``bits_a``, ``bits_b``, ``most_a`` and ``most_b`` can have the similarity.
+
+    A bit that one alone has is a shingle that it alone has, and lines of n shingles together may not have more such
+    shingles than n (100 - percent) / (100 + percent).
+    """
+    apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITMAP)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("most_a") + F.col("most_b"))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -111,10 +143,9 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Under names of their own, so that no other column is met.
     texts_of = docs.select(F.col(id_col).alias("_line_id"), F.col(text_col).alias("_line_text"))
     told = lines(texts_of, "_line_id", "_line_text")
-    # Texts are cut into lines once for the keys of all lines, and once more for the few documents with candidate lines.
-    every = storage.kept(band_keys(told), "band-keys")
-    keys = every.groupBy("node").agg(*[F.min(k).alias(k) for k in KEYS])
-    keys = storage.kept(keys, "node-keys")
+    # Texts are cut into lines for their names, for the keys of all distinct lines, and for the few documents with candidate lines.
+    every = storage.kept(told.select("id", "line_no", "node"), "lines")
+    keys = storage.kept(band_keys(told.select("node", "line")), "node-keys")
     postings = keys.select(F.explode(F.array_compact(F.array(*KEYS))).alias("key"), F.col("node").alias("id"))
 
     def verifier(candidates: DataFrame):
@@ -128,10 +159,15 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = texts_of.join(F.broadcast(ids) if few else ids, F.col("_line_id").eqNullSafe(F.col("holder")), "left_semi")
         some = lines(held, "_line_id", "_line_text").select("node", "line").join(wanted, "node", "left_semi")
         texts = storage.kept(some.groupBy("node").agg(F.first("line").alias("line")), "candidate-lines")
+        bits = storage.kept(bitmaps(texts), "candidate-bits")
+
+        def side(letter: str) -> DataFrame:
+            return bits.select(F.col("node").alias(letter), F.col("most").alias(f"most_{letter}"), F.col("bits").alias(f"bits_{letter}"))
 
         def verify(pairs: DataFrame) -> DataFrame:
             # Lines are an eighth of their shingles' size, so they move and the shingles are made where a pair meets.
-            both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
+            likely = pairs.join(side("a"), "a").join(side("b"), "b").where(can_link(percent)).select("a", "b")
+            both = likely.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
             both = both.join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
             sets = F.struct(all_hashes("la").alias("a"), all_hashes("lb").alias("b"))
             both = both.select("a", "b", F.explode(F.array(sets)).alias("s"))

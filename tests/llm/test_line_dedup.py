@@ -147,3 +147,32 @@ def test_clashing_names_of_other_columns(spark):
     assert ld.line_components(docs).count() == 3
     got = ld.drop_repeated_lines(docs)
     assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], (2, "Another.", *range(13))]
+
+
+def test_bitmaps_rule_out_unlike_lines_and_no_link(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmné漢🙂") for _ in range(rng.randint(2, 9)))
+    pairs = []
+    for n in (1, 2, 6, 20, 60, 120):
+        for _ in range(40):
+            a = " ".join(word() for _ in range(n))
+            b = a
+            for _ in range(rng.choice([0, 1, 2, 5, n, n])):
+                b = edited(rng, b)
+            pairs.append((a, b))
+    pairs += [("x " * 300, "x " * 500 + "y"), ("a" * 200, "a" * 900), ("ab", "abc")]
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    bits = ld.bitmaps(spark.createDataFrame(rows, "node long, line string"))
+    a = bits.select((F.col("node") / 2).cast("long").alias("i"), *[F.col(c).alias(f"{c}_a") for c in ("most", "bits")]).where("node % 2 = 0")
+    b = bits.select(((F.col("node") - 1) / 2).cast("long").alias("i"), *[F.col(c).alias(f"{c}_b") for c in ("most", "bits")]).where("node % 2 = 1")
+    likely = {r["i"] for r in a.join(b, "i").where(ld.can_link(80)).select("i").collect()}
+    share = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    assert {i for i, s in enumerate(share) if s >= 0.8} <= likely
+    unlike = [i for i, s in enumerate(share) if s < 0.5]
+    assert len(unlike) > 40 and sum(i in likely for i in unlike) <= 0.05 * len(unlike)
+
+
+def test_repetitive_lines_have_keys(spark):
+    rows = list(enumerate(["x " * 30_000, "=-" * 5_000, "abc " * 700 + "the end", "z", "漢" * 3_000]))
+    keyed = ld.band_keys(spark.createDataFrame(rows, "i int, line string")).collect()
+    assert sorted(r["i"] for r in keyed) == [0, 1, 2, 3, 4] and all(k is not None for r in keyed for k in r)
