@@ -21,6 +21,8 @@ from diffspark.llm import storage
 PAIRS_PER_ROW = 2
 MORE_PIVOTS = 8
 EDGES_PER_TASK = 500_000
+#: Keys (8 bytes each) up to which the list of those that more than two rows hold is broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -55,32 +57,51 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
+def shared(postings: DataFrame) -> DataFrame:
+    """The distinct postings ``(key, id)`` of the keys that two or more rows hold, written to the shared folder.
+
+    Most shared keys are held by two rows, which their least and greatest id name; only longer groups are looked up again.
+    """
+    dealt = postings.repartition("key")
+    groups = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1")
+    groups = storage.kept(groups, "shared-keys")
+    twos = groups.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("id"))
+    large = groups.where("n > 2").select("key")
+    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large.hint("shuffle_hash")
+    out = storage.kept(twos.union(postings.join(large, "key", "left_semi").select("key", "id")), "shared-postings")
+    storage.delete(groups)
+    return out
+
+
 def connect(
     postings: DataFrame,
-    verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    verify: Callable[[DataFrame], DataFrame],
     fits: Callable[[Column, Column], Column] | None = None,
+    known: DataFrame | None = None,
     rounds: int = 6,
 ) -> DataFrame:
     """``(id, component)`` of the rows linked with another one, from distinct ``postings (key, id, more columns)``.
 
-    ``fits`` says of two postings (structs of all columns) of one key whether they can make a candidate pair.  ``verifier`` takes the
-    ``id`` of all rows that share a key with another one and returns the test: a function of distinct pairs ``(a, b)``,
-    a < b, that returns those that are links.
+    ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that are links.  ``fits`` says of two postings (structs of
+    all columns) of one key whether they can make a candidate pair.  With ``known (id, more columns)`` the postings are :func:`shared`
+    ones, and the struct that ``fits`` gets, in the last pass alone, is a row of ``known``.
     """
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # One row for each key on the hashed side, so a key of any size costs it one row.
-    many = postings.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi")
+    if known is None:
+        many = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # One row for each key on the hashed side, so a key of any size costs it one row.
+        many = postings.join(many.select("key").hint("shuffle_hash"), "key", "left_semi")
+    else:
+        many = postings
     now = storage.kept(many.select("key", F.struct(*postings.columns).alias("row"), F.col("id").alias("label")), "postings")
-    verify = verifier(now.select("row.id"))
     links = None
     labels = None
 
-    def candidates(both: DataFrame) -> DataFrame:
-        if fits is not None:
+    def candidates(both: DataFrame, told: bool = True) -> DataFrame:
+        if fits is not None and told:
             both = both.where(fits(F.col("row"), F.col("other")))
         return both.select(F.least("row.id", "other.id").alias("a"), F.greatest("row.id", "other.id").alias("b")).distinct()
 
-    def absorb(found: DataFrame):
+    def absorb(found: DataFrame, last: bool = False):
         nonlocal links, labels, now
         new = storage.kept(found, "links")
         if not new.head(1):
@@ -88,8 +109,10 @@ def connect(
             return
         links = new if links is None else links.union(new)
         labels = storage.kept(components(links), "labels")
-        known = labels.select(F.col("id").alias("known_id"), "component")
-        fresh = now.join(known, F.col("row.id") == F.col("known_id"), "left")
+        if last:
+            return
+        named = labels.select(F.col("id").alias("named_id"), "component")
+        fresh = now.join(named, F.col("row.id") == F.col("named_id"), "left")
         fresh = fresh.select("key", "row", F.coalesce("component", "label").alias("label"))
         mixed = fresh.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
         after = storage.kept(fresh.join(mixed.select("key"), "key", "left_semi"), "postings")
@@ -104,13 +127,21 @@ def connect(
             break
         # Pivots of each key by chance, more of them in each round, so all rounds together cost little more than the last.
         chance = F.xxhash64("row.id", F.lit(turn))
-        pivots = now.groupBy("key", F.pmod(chance, F.lit(MORE_PIVOTS**turn)).alias("lot")).agg(F.min(F.struct(chance, "label", "row")).alias("pivot"))
-        pivots = pivots.select("key", F.col("pivot.label").alias("other_label"), F.col("pivot.row").alias("other"))
+        lots = now.groupBy("key", F.pmod(chance, F.lit(MORE_PIVOTS**turn)).alias("lot"))
+        if known is None:
+            pivots = lots.agg(F.min(F.struct(chance, "label", "row")).alias("pivot"))
+            pivots = pivots.select("key", F.col("pivot.label").alias("other_label"), F.col("pivot.row").alias("other"))
+        else:  # numbers alone are aggregated without a sort
+            pivots = lots.agg(F.min_by("label", chance).alias("other_label"), F.min_by("row.id", chance).alias("id"))
+            pivots = pivots.select("key", "other_label", F.struct("id").alias("other"))
         pivots = storage.kept(pivots, "pivots")
-        absorb(verify(candidates(now.join(pivots, "key").where("label != other_label"))))
+        absorb(verify(candidates(now.join(pivots, "key").where("label != other_label"), known is None)))
         storage.delete(pivots)
+    if known is not None:
+        wide = known.select("id", F.struct(*known.columns).alias("wide"))
+        now = storage.kept(now.join(wide, F.col("row.id") == F.col("id")).select("key", F.col("wide").alias("row"), "label"), "postings")
     others = now.select("key", F.col("row").alias("other"), F.col("label").alias("other_label"))
-    absorb(verify(candidates(now.join(others, "key").where("label < other_label"))))
+    absorb(verify(candidates(now.join(others, "key").where("label < other_label"))), last=True)
     storage.delete(now)
     if labels is None:
         return postings.sparkSession.createDataFrame([], "id bigint, component bigint")

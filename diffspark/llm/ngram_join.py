@@ -220,7 +220,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             (100 + percent) * rest >= percent * (x["n"] + y["n"])
         )
 
-    labels = linking.connect(postings, lambda _: verify, fits)
+    labels = linking.connect(postings, verify, fits)
     named = heads.join(labels, heads["node"] == labels["id"], "left").select("node", "head", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     named = storage.kept(named.join(lowest, "component").select("node", "component_id"), "set-components")

@@ -176,3 +176,35 @@ def test_repetitive_lines_have_keys(spark):
     rows = list(enumerate(["x " * 30_000, "=-" * 5_000, "abc " * 700 + "the end", "z", "漢" * 3_000]))
     keyed = ld.band_keys(spark.createDataFrame(rows, "i int, line string")).collect()
     assert sorted(r["i"] for r in keyed) == [0, 1, 2, 3, 4] and all(k is not None for r in keyed for k in r)
+
+
+def test_bitmaps_of_long_lines_rule_out_unlike_ones(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmn ") for _ in range(n))
+    pairs = []
+    for same in (800, 1300, 2450):
+        passage = text(same)
+        pairs += [(same, passage + text(2500 - same), passage + text(2500 - same)) for _ in range(20)]
+    rows = [(2 * i + k, p[1 + k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    bits = ld.bitmaps(spark.createDataFrame(rows, "node long, line string"))
+    a = bits.select((F.col("node") / 2).cast("long").alias("i"), *[F.col(c).alias(f"{c}_a") for c in ("most", "bits")]).where("node % 2 = 0")
+    b = bits.select(((F.col("node") - 1) / 2).cast("long").alias("i"), *[F.col(c).alias(f"{c}_b") for c in ("most", "bits")]).where("node % 2 = 1")
+    likely = {r["i"] for r in a.join(b, "i").where(ld.can_link(80)).select("i").collect()}
+    assert likely == {i for i, (same, _, _) in enumerate(pairs) if same == 2450}
+
+
+def test_lines_around_one_passage_are_not_verified(spark, monkeypatch):
+    """All lines share keys, none are similar: they must fail the test of bitmaps in the join, before any pair is written out."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmn ") for _ in range(n))
+    passage = text(700)
+    docs = spark.createDataFrame([(i, f"{text(200)} {passage} {text(200)}") for i in range(60)], "doc_id long, text string")
+    tested, connect = [], ld.linking.connect
+
+    def counted(postings, verify, *more):
+        return connect(postings, lambda pairs: (tested.append(pairs.count()), verify(pairs))[1], *more)
+
+    monkeypatch.setattr(ld.linking, "connect", counted)
+    got = ld.line_components(docs).collect()
+    assert len(got) == 60 and all(r["kept"] for r in got)
+    assert tested and tested[-1] <= 30
